@@ -43,6 +43,12 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op5_exact": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size,
