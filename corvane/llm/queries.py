@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.chat import repaired
+
+    return repaired(table(spark, sf_dir, "conversations")).drop("text")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.simhash import near_duplicates
 
@@ -43,6 +49,18 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.lines import without_repeated_lines
+
+    return without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.license import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.pii import report
 
@@ -57,6 +75,19 @@ SQL = {
                      count(*) OVER (PARTITION BY text_sha256) AS group_size
               FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r""",
+    "op6_lines": r"""
+        WITH l AS (SELECT doc_id, i - 1 AS pos, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+        k AS (SELECT norm, min((doc_id, pos)) AS first FROM l WHERE norm <> '' GROUP BY norm),
+        v AS (SELECT DISTINCT norm, first, unnest(list_concat([norm], list_transform(range(1, length(norm) + 1), lambda j: substring(norm, 1, j - 1) || substring(norm, j + 1)))) AS v
+              FROM k WHERE length(norm) >= 10),
+        n AS (SELECT a.norm, min(b.first) AS other FROM v a JOIN v b ON a.v = b.v AND a.norm <> b.norm AND levenshtein(a.norm, b.norm) <= 1 GROUP BY a.norm),
+        e AS (SELECT k.norm, coalesce(least(first, other), first) AS earliest FROM k LEFT JOIN n ON n.norm = k.norm),
+        m AS (SELECT doc_id, pos, raw, coalesce((doc_id, pos) > earliest, false) AS gone FROM l LEFT JOIN e ON e.norm = l.norm)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+        FROM m GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
 }
 
 
