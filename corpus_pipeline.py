@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corvane.llm import bpe, decontaminate, lines, simhash, toxicity
+from corvane.llm.queries import table
+from corvane.llm.scratch import stored
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network predicts toxic go; the others, and rows with a null doc_id and no toxic namesake, stay."""
+    found = toxicity.toxicity(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    gone = stored(found.filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "toxic")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts, and n_chars follows; all documents stay."""
+    return lines.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them go."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and the digests of the ids and of the decoded bytes."""
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("bpe", encode),
+]
+# A trained network and a latent search can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

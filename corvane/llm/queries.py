@@ -61,6 +61,19 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.toxicity import toxicity, trained
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.pii import report
 
