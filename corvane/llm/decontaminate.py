@@ -96,7 +96,7 @@ def gram_times(tokens: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
                 y = np.bincount(rows, weight * basis[cols, k], n)
                 out[:, k] += np.bincount(cols, weight * y[rows], size)
         used = np.flatnonzero(out.any(1))
-        yield pd.DataFrame({"f": used.astype(np.int32), "v": list(out[used].astype(np.float32))}, columns=["f", "v"])
+        yield pd.DataFrame({"f": used.astype(np.int32), "v": pd.Series(list(out[used].astype(np.float32)), dtype=object)}, columns=["f", "v"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         f, at = np.unique(pdf.f.to_numpy(), return_inverse=True)
@@ -203,7 +203,7 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.get
         for x in batches:
-            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": [np.fromiter((known(w, -1) for w in words_of(t)), np.int32) for t in x.text]})
+            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": pd.Series([np.fromiter((known(w, -1) for w in words_of(t)), np.int32) for t in x.text], x.index, object)})
 
     tokens = stored(docs.select("doc_id", "text").mapInPandas(tokens_of, "doc_id long, ids array<int>"), "passages")
     df, total = document_frequency(tokens, size)
