@@ -41,6 +41,7 @@ def _cut(lines: DataFrame, extra: list[str]) -> DataFrame:
     lies outside the window, with the class and the window's number.
     """
     own = lines.filter(F.col("n") >= SHORTEST).selectExpr(*extra, "n", "norm", "explode(array(n, n - 1)) as c").filter(F.col("c") >= SHORTEST)
+    extra = [x.split(" as ")[-1] for x in extra]  # computed above; from here on by name
     own = own.withColumn("parts", F.greatest(F.lit(2), F.ceil(F.col("c") / WINDOW).cast("int"))).withColumn("width", F.ceil(F.col("c") / F.col("parts")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.selectExpr(*extra, "n", "c", "norm", "j", "least(j * width, c) as head", "c - least((j + 1) * width, c) as tail")
