@@ -30,7 +30,7 @@ def frequent(df: DataFrame, column: str, k: int) -> DataFrame:
         for x in batches:
             kept.update(x[column].value_counts().to_dict())
             kept = misra_gries(kept, k)
-        yield pd.DataFrame({column: list(kept), "n": list(kept.values())}, columns=[column, "n"]).astype({"n": "int64"})
+        yield pd.DataFrame({column: pd.Series(list(kept), dtype=object), "n": pd.Series(list(kept.values()), dtype="int64")})
 
     # The sum of the partial counters, cut once more to the k largest: what is frequent overall
     # keeps a count above zero, since all partial cuts together take at most rows/(k+1) from it.
