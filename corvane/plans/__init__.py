@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("sparse",)
+FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep")
 
 
 def load() -> None:
