@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,10 @@ WORD = re.compile(r"\w+")
 #: Benchmark items that one model and one search take at once; more items make more blocks.
 BLOCK = 1000
 PASSAGE, RANK, EXTRA = 32, 64, 8
+#: Words that a window takes or leaves together; words that are scanned at once.
+GROUP, PIECE = 4, 1 << 16
 #: Least cosine of a candidate; least share of an item's words in common order; the same where the answer is there too.
-COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.65, 0.9
+COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.65, 0.9
 
 
 def words_of(text: str | None) -> list[str]:
@@ -112,11 +115,17 @@ def gram_times(tokens: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
 
 
 class Search:
-    """Items in the latent space, and the scan of one document for them."""
+    """Items in the latent space, and the scan of documents for them.
+
+    Items of about one length make a class, and a class fixes its windows. A window runs
+    over whole groups of GROUP words and starts at every quarter of its length, so that
+    its vector is a difference of two running sums over the groups.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
-        self.table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))])  # the last row is for unknown words
+        self.table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)  # the last row is for unknown words
         self.items = items
+        self.longest = 2 * max(len(ids) for _, ids, _ in items) + 4 * GROUP
         classes: dict[int, list[int]] = {}
         for k, (_, ids, _) in enumerate(items):
             classes.setdefault(round(math.log(len(ids)) / math.log(1.4)), []).append(k)
@@ -125,45 +134,74 @@ class Search:
             length = max(len(items[k][1]) for k in of)
             vectors = np.stack([self.table[items[k][1]].sum(0) for k in of])
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            member = np.zeros((len(self.table), len(of)), np.int16)
-            for column, k in enumerate(of):
-                member[items[k][1], column] = 1
+            member = np.zeros((len(of), len(self.table)), bool)
+            for row, k in enumerate(of):
+                member[row, items[k][1]] = True
             least = np.array([math.ceil(PARAPHRASE * len(items[k][1])) for k in of])
-            self.classes.append((length, of, (vectors / np.where(norms > 0, norms, 1)).T.astype(np.float32), member, least))
-
-    def scan(self, ids: np.ndarray) -> list[tuple[int, float, float, int, int]]:
-        """(item_id, share of its words in common order, the same of its answer, first word, end) for each item that is found."""
-        if not (ids >= 0).any():
-            return []
-        sums = np.vstack([np.zeros((1, self.table.shape[1])), np.cumsum(self.table[ids], 0)])
-        out = []
+            self.classes.append((length, of, (vectors / np.where(norms > 0, norms, 1)).T.copy(), member, least))
+
+    def scan(self, documents: list[np.ndarray]) -> list[tuple[int, int, float, float, int, int]]:
+        """(document, item_id, share of its words in common order, the same of its answer, first word, end) for each item that is found."""
+        best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
+        pieces: list[tuple[int, int, np.ndarray]] = []
+        waiting = 0
+        for k, ids in enumerate(documents):
+            for at in range(0, max(1, len(ids)), PIECE):  # a long document in pieces; each runs on beyond the longest window
+                pieces.append((k, at, ids[at : at + PIECE + self.longest]))
+                waiting += len(pieces[-1][2])
+                if waiting >= PIECE:
+                    self.scan_pieces(pieces, best)
+                    pieces, waiting = [], 0
+        self.scan_pieces(pieces, best)
+        return [(k, self.items[i][0], *found) for (k, i), found in sorted(best.items())]
+
+    def scan_pieces(self, pieces: list[tuple[int, int, np.ndarray]], best: dict[tuple[int, int], tuple[float, float, int, int]]) -> None:
+        """Put what the pieces (document, place in it, ids) hold into best, by document and number of the item."""
+        pieces = [p for p in pieces if (p[2] >= 0).any()]
+        if not pieces:
+            return
+        sizes = np.array([len(ids) for _, _, ids in pieces])
+        groups = -(-sizes // GROUP)
+        base = np.concatenate(([0], np.cumsum(groups)))
+        unknown = len(self.table) - 1
+        flat = np.full(GROUP * base[-1], unknown, np.int32)
+        for at, (_, _, ids) in zip(base.tolist(), pieces, strict=False):
+            flat[GROUP * at : GROUP * at + len(ids)] = np.where(ids >= 0, ids, unknown)
+        sums = np.zeros((base[-1] + 1, self.table.shape[1]))
+        np.cumsum(sum(self.table[flat[k::GROUP]] for k in range(GROUP)), 0, np.float64, sums[1:])
         for length, of, vectors, member, least in self.classes:
-            step = max(1, length // 4)
-            starts = np.arange(0, max(1, len(ids) - length + step), step)
-            regions: dict[int, list[tuple[int, int]]] = {}
-            for at in range(0, len(starts), 256):
-                a = starts[at : at + 256]
-                w = (sums[np.minimum(a + length, len(ids))] - sums[a]).astype(np.float32)
+            wide = -(-length // GROUP)
+            step, reach = max(1, wide // 4), length // 8
+            counts = np.maximum(0, -(-(groups - wide) // step)) + 1
+            piece = np.repeat(np.arange(len(pieces)), counts)
+            starts = base[piece] + step * (np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts))
+            ends = np.minimum(starts + wide, base[piece + 1])
+            first = np.maximum(GROUP * base[piece], GROUP * starts - reach)
+            end = np.minimum(GROUP * base[piece] + sizes[piece], GROUP * ends + reach)
+            offsets = np.arange(GROUP * wide + 2 * reach)
+            for at in range(0, len(starts), 8192):
+                w = (sums[ends[at : at + 8192]] - sums[starts[at : at + 8192]]).astype(np.float32)
                 norms = np.linalg.norm(w, axis=1, keepdims=True)
-                first, end = np.maximum(0, a - length // 8), np.minimum(len(ids), a + length + length // 8)
-                # no more words can be in common order than the span has of the item's
-                held = np.zeros((end[-1] - first[0] + 1, len(of)), np.int32)
-                np.cumsum(member[ids[first[0] : end[-1]]], 0, out=held[1:])
-                near, item = np.nonzero((w @ vectors >= COSINE * np.maximum(norms, 1e-6)) & (held[end - first[0]] - held[first - first[0]] >= least))
-                for i, k in zip(near.tolist(), item.tolist(), strict=True):
-                    regions.setdefault(of[k], []).append((int(first[i]), int(end[i])))
-            for k, found in regions.items():
-                item, words, answer = self.items[k]
-                best = None
-                for a in found:
-                    share = common(words, ids[a[0] : a[1]]) / len(words)
-                    if share >= PARAPHRASE and (best is None or share > best[1]):
-                        told = common(answer, ids[a[0] : a[1]]) / max(1, len(answer))
-                        if share >= COPY or told >= ANSWER:
-                            best = (item, share, told, *a)
-                if best:
-                    out.append(best)
-        return out
+                near, row = np.nonzero(w @ vectors >= COSINE * np.maximum(norms, 1e-6))
+                for part in range(0, len(near), 8192):
+                    i, k = near[part : part + 8192] + at, row[part : part + 8192]
+                    places = first[i, None] + offsets
+                    words = np.where(places < end[i, None], flat[np.minimum(places, len(flat) - 1)], unknown)
+                    # no more words can be in common order than the span has of the item's
+                    fits = member[k[:, None], words].sum(1) >= least[k]
+                    for x, y in zip(i[fits].tolist(), k[fits].tolist(), strict=True):
+                        self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
+
+    def confirm(self, piece: tuple[int, int, np.ndarray], item: int, first: int, end: int, best: dict[tuple[int, int], tuple[float, float, int, int]]) -> None:
+        """Keep the item's best span in the document, if enough of its words are there in order."""
+        document, at, ids = piece
+        _, words, answer = self.items[item]
+        share = common(words, ids[first:end]) / len(words)
+        known = best.get((document, item))
+        if share >= PARAPHRASE and (known is None or share > known[0]):
+            told = common(answer, ids[first:end]) / max(1, len(answer))
+            if share >= COPY or told >= ANSWER:
+                best[document, item] = (share, told, at + first, at + end)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -203,7 +241,8 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.get
         for x in batches:
-            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": pd.Series([np.fromiter((known(w, -1) for w in words_of(t)), np.int32) for t in x.text], x.index, object)})
+            ids = [np.fromiter(map(known, words, repeat(-1)), np.int32, len(words)) for words in map(words_of, x.text)]
+            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": pd.Series(ids, x.index, object)})
 
     tokens = stored(docs.select("doc_id", "text").mapInPandas(tokens_of, "doc_id long, ids array<int>"), "passages")
     df, total = document_frequency(tokens, size)
@@ -226,7 +265,8 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [(d, *hit) for d, ids in zip(x.doc_id.astype("Int64"), x.ids, strict=True) for hit in search.scan(np.asarray(ids, np.int64))]
+            own = x.doc_id.astype("Int64")
+            found = [(own.iloc[k], *hit) for k, *hit in search.scan([np.asarray(ids, np.int64) for ids in x.ids])]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "overlap", "answer", "first_word", "end_word"]).astype(
                 {"doc_id": "Int64", "item_id": "Int64", "overlap": float, "answer": float, "first_word": "int32", "end_word": "int32"}
             )
