@@ -21,7 +21,7 @@ PASSAGE, RANK, EXTRA = 32, 64, 8
 #: Words that a window takes or leaves together; words that are scanned at once.
 GROUP, PIECE = 4, 1 << 16
 #: Least cosine of a candidate; least share of an item's words in common order; the same where the answer is there too.
-COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.65, 0.9
+COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.65, 0.9
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,23 +49,45 @@ def common(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def passages(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, feature) of the known words, passages of PASSAGE words in a row."""
-    at = np.flatnonzero(ids >= 0)
-    return at // PASSAGE, ids[at]
+def passages(texts: list[np.ndarray], unknown: int) -> np.ndarray:
+    """A row for each passage, PASSAGE words in a row of one text; unknown words and the rest of a last row are numbered unknown."""
+    sizes = np.array([len(ids) for ids in texts], np.int64)
+    rows = -(-sizes // PASSAGE)
+    out = np.full((int(rows.sum()), PASSAGE), unknown, np.int32)
+    if texts:
+        shift = PASSAGE * (np.cumsum(rows) - rows) - (np.cumsum(sizes) - sizes)
+        words = np.concatenate(texts)
+        out.reshape(-1)[np.arange(len(words)) + np.repeat(shift, sizes)] = np.where(words >= 0, words, unknown)
+    return out
+
+
+def holding(rows: np.ndarray, size: int) -> np.ndarray:
+    """How many of the passages hold each feature."""
+    own = np.sort(rows, 1)
+    new = np.ones(own.shape, bool)
+    new[:, 1:] = own[:, 1:] != own[:, :-1]
+    return np.bincount(own[new], minlength=size + 1)[:size]
+
+
+def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A' A basis, where A has a row of TF-IDF for each passage."""
+    size, width = basis.shape
+    weighted = np.vstack([idf[:, None] * basis, np.zeros((1, width))]).astype(np.float32)
+    out = np.zeros((size, width))
+    for at in range(0, len(rows), 4096):
+        part = rows[at : at + 4096]
+        y = sum(weighted[part[:, k]] for k in range(PASSAGE))
+        words = part.reshape(-1)
+        order = np.argsort(words)
+        order = order[: np.searchsorted(words, size, sorter=order)]
+        if len(order):
+            f, first = np.unique(words[order], return_index=True)
+            out[f] += np.add.reduceat(y[order // PASSAGE], first, 0) * idf[f, None]
+    return out
 
 
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Passages of a batch, numbered through."""
-    for x in batches:
-        rows, cols, n = [], [], 0
-        for ids in x.ids:
-            p, c = passages(np.asarray(ids, np.int64))
-            rows.append(p + n)
-            cols.append(c)
-            n += -(-len(ids) // PASSAGE)
-        if n:
-            yield np.concatenate(rows), np.concatenate(cols), n
+def packed(batch: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in batch.ids]
 
 
 def document_frequency(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -73,9 +95,10 @@ def document_frequency(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, total = np.zeros(size, np.int64), 0
-        for rows, cols, n in _merged(batches):
-            df += np.bincount(np.unique(rows * size + cols) % size, minlength=size)
-            total += n
+        for x in batches:
+            rows = passages(packed(x), size)
+            df += holding(rows, size)
+            total += len(rows)
         yield pd.DataFrame({"f": [*np.flatnonzero(df), -1], "n": [*df[df > 0], total]})
 
     out, total = np.zeros(size), 0
@@ -88,16 +111,13 @@ def document_frequency(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
 
 def gram_times(tokens: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A' A basis, where A has a row of TF-IDF for each passage: each partition gives its sum, summed by feature."""
+    """A' A basis over all documents: each partition gives its sum, summed by feature."""
     size, width = basis.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((size, width))
-        for rows, cols, n in _merged(batches):
-            weight = idf[cols]
-            for k in range(width):
-                y = np.bincount(rows, weight * basis[cols, k], n)
-                out[:, k] += np.bincount(cols, weight * y[rows], size)
+        for x in batches:
+            out += gram(passages(packed(x), size), idf, basis)
         used = np.flatnonzero(out.any(1))
         yield pd.DataFrame({"f": used.astype(np.int32), "v": pd.Series(list(out[used].astype(np.float32)), dtype=object)}, columns=["f", "v"])
 
@@ -114,6 +134,15 @@ def gram_times(tokens: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
     return out
 
 
+def latent(image: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
+    """The leading singular vectors of A from one pass over it: Nystroem's form of the randomised SVD, of image = A' A test."""
+    shift = 1e-6 * np.linalg.norm(image)
+    image = image + shift * test
+    values, vectors = np.linalg.eigh((test.T @ image + image.T @ test) / 2)
+    half = image @ (vectors / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-30))))
+    return np.linalg.svd(half, full_matrices=False)[0][:, :rank]
+
+
 class Search:
     """Items in the latent space, and the scan of documents for them.
 
@@ -134,9 +163,9 @@ class Search:
             length = max(len(items[k][1]) for k in of)
             vectors = np.stack([self.table[items[k][1]].sum(0) for k in of])
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            member = np.zeros((len(of), len(self.table)), bool)
-            for row, k in enumerate(of):
-                member[row, items[k][1]] = True
+            member = np.zeros((len(self.table), len(of)), np.uint8)
+            for column, k in enumerate(of):
+                member[items[k][1], column] = 1
             least = np.array([math.ceil(PARAPHRASE * len(items[k][1])) for k in of])
             self.classes.append((length, of, (vectors / np.where(norms > 0, norms, 1)).T.copy(), member, least))
 
@@ -178,19 +207,18 @@ class Search:
             ends = np.minimum(starts + wide, base[piece + 1])
             first = np.maximum(GROUP * base[piece], GROUP * starts - reach)
             end = np.minimum(GROUP * base[piece] + sizes[piece], GROUP * ends + reach)
-            offsets = np.arange(GROUP * wide + 2 * reach)
+            # no more words can be in common order than the span's groups have of the item's
+            held = np.zeros((base[-1] + 1, len(of)), np.int32)
+            np.cumsum(sum(member[flat[k::GROUP]] for k in range(GROUP)), 0, np.int32, held[1:])
+            low, high = first // GROUP, -(-end // GROUP)
             for at in range(0, len(starts), 8192):
                 w = (sums[ends[at : at + 8192]] - sums[starts[at : at + 8192]]).astype(np.float32)
                 norms = np.linalg.norm(w, axis=1, keepdims=True)
                 near, row = np.nonzero(w @ vectors >= COSINE * np.maximum(norms, 1e-6))
-                for part in range(0, len(near), 8192):
-                    i, k = near[part : part + 8192] + at, row[part : part + 8192]
-                    places = first[i, None] + offsets
-                    words = np.where(places < end[i, None], flat[np.minimum(places, len(flat) - 1)], unknown)
-                    # no more words can be in common order than the span has of the item's
-                    fits = member[k[:, None], words].sum(1) >= least[k]
-                    for x, y in zip(i[fits].tolist(), k[fits].tolist(), strict=True):
-                        self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
+                near += at
+                fits = held[high[near], row] - held[low[near], row] >= least[row]
+                for x, y in zip(near[fits].tolist(), row[fits].tolist(), strict=True):
+                    self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
 
     def confirm(self, piece: tuple[int, int, np.ndarray], item: int, first: int, end: int, best: dict[tuple[int, int], tuple[float, float, int, int]]) -> None:
         """Keep the item's best span in the document, if enough of its words are there in order."""
@@ -241,32 +269,21 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.get
         for x in batches:
-            ids = [np.fromiter(map(known, words, repeat(-1)), np.int32, len(words)) for words in map(words_of, x.text)]
+            ids = [np.fromiter(map(known, words, repeat(-1)), "<i4", len(words)).tobytes() for words in map(words_of, x.text)]
             yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": pd.Series(ids, x.index, object)})
 
-    tokens = stored(docs.select("doc_id", "text").mapInPandas(tokens_of, "doc_id long, ids array<int>"), "passages")
+    tokens = stored(docs.select("doc_id", "text").mapInPandas(tokens_of, "doc_id long, ids binary"), "passages")
     df, total = document_frequency(tokens, size)
-    own = [passages(ids) for _, ids, _ in items]
-    for _, cols in own:
-        df[np.unique(cols)] += 1
-    idf = np.log((1 + total + len(items)) / (1 + df))  # words of nearly every passage weigh next to nothing
-    width = min(size, rank + EXTRA)
-    basis = np.random.default_rng(11).standard_normal((size, width))
-    for step in range(2):  # one power iteration, then the projected matrix
-        basis = np.linalg.qr(basis)[0] if step else basis
-        image = gram_times(tokens, idf, basis)
-        for p, cols in own:
-            a = np.zeros((p.max() + 1, size))
-            np.add.at(a, (p, cols), idf[cols])
-            image += a.T @ (a @ basis)
-        last, basis = basis, image
-    values, vectors = np.linalg.eigh((last.T @ image + image.T @ last) / 2)
-    search = Search(items, idf, last @ vectors[:, np.argsort(-values)[:rank]])
+    own = passages([ids for _, ids, _ in items], size)
+    df += holding(own, size)
+    idf = np.log((1 + total + len(own)) / (1 + df))  # words of nearly every passage weigh next to nothing
+    test = np.linalg.qr(np.random.default_rng(11).standard_normal((size, min(size, rank + EXTRA))))[0]
+    search = Search(items, idf, latent(gram_times(tokens, idf, test) + gram(own, idf, test), test, rank))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             own = x.doc_id.astype("Int64")
-            found = [(own.iloc[k], *hit) for k, *hit in search.scan([np.asarray(ids, np.int64) for ids in x.ids])]
+            found = [(own.iloc[k], *hit) for k, *hit in search.scan(packed(x))]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "overlap", "answer", "first_word", "end_word"]).astype(
                 {"doc_id": "Int64", "item_id": "Int64", "overlap": float, "answer": float, "first_word": "int32", "end_word": "int32"}
             )
