@@ -18,8 +18,8 @@ WORD = re.compile(r"\w+")
 #: Benchmark items that one model and one search take at once; more items make more blocks.
 BLOCK = 1000
 PASSAGE, RANK, EXTRA = 32, 64, 8
-#: Words that a window takes or leaves together; words that are scanned at once.
-GROUP, PIECE = 4, 1 << 16
+#: Words that a window takes or leaves together; words that are scanned at once; documents whose passages are made at once.
+GROUP, PIECE, DOCS = 4, 1 << 14, 500
 #: Least cosine of a candidate; least share of an item's words in common order; the same where the answer is there too.
 COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.65, 0.9
 
@@ -74,8 +74,8 @@ def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     size, width = basis.shape
     weighted = np.vstack([idf[:, None] * basis, np.zeros((1, width))]).astype(np.float32)
     out = np.zeros((size, width))
-    for at in range(0, len(rows), 4096):
-        part = rows[at : at + 4096]
+    for at in range(0, len(rows), 1024):
+        part = rows[at : at + 1024]
         y = sum(weighted[part[:, k]] for k in range(PASSAGE))
         words = part.reshape(-1)
         order = np.argsort(words)
@@ -86,8 +86,10 @@ def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(batch: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<i4") for x in batch.ids]
+def packed(batch: pd.DataFrame) -> Iterator[list[np.ndarray]]:
+    """The ids of the texts of a batch, DOCS texts at a time."""
+    for at in range(0, len(batch), DOCS):
+        yield [np.frombuffer(x, "<i4") for x in batch.ids.iloc[at : at + DOCS]]
 
 
 def document_frequency(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -95,8 +97,8 @@ def document_frequency(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, total = np.zeros(size, np.int64), 0
-        for x in batches:
-            rows = passages(packed(x), size)
+        for texts in (t for x in batches for t in packed(x)):
+            rows = passages(texts, size)
             df += holding(rows, size)
             total += len(rows)
         yield pd.DataFrame({"f": [*np.flatnonzero(df), -1], "n": [*df[df > 0], total]})
@@ -116,8 +118,8 @@ def gram_times(tokens: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((size, width))
-        for x in batches:
-            out += gram(passages(packed(x), size), idf, basis)
+        for texts in (t for x in batches for t in packed(x)):
+            out += gram(passages(texts, size), idf, basis)
         used = np.flatnonzero(out.any(1))
         yield pd.DataFrame({"f": used.astype(np.int32), "v": pd.Series(list(out[used].astype(np.float32)), dtype=object)}, columns=["f", "v"])
 
@@ -166,7 +168,7 @@ class Search:
             member = np.zeros((len(self.table), len(of)), np.uint8)
             for column, k in enumerate(of):
                 member[items[k][1], column] = 1
-            least = np.array([math.ceil(PARAPHRASE * len(items[k][1])) for k in of])
+            least = np.array([math.ceil(PARAPHRASE * len(items[k][1])) for k in of], np.int32)
             self.classes.append((length, of, (vectors / np.where(norms > 0, norms, 1)).T.copy(), member, least))
 
     def scan(self, documents: list[np.ndarray]) -> list[tuple[int, int, float, float, int, int]]:
@@ -211,13 +213,12 @@ class Search:
             held = np.zeros((base[-1] + 1, len(of)), np.int32)
             np.cumsum(sum(member[flat[k::GROUP]] for k in range(GROUP)), 0, np.int32, held[1:])
             low, high = first // GROUP, -(-end // GROUP)
-            for at in range(0, len(starts), 8192):
-                w = (sums[ends[at : at + 8192]] - sums[starts[at : at + 8192]]).astype(np.float32)
+            for at in range(0, len(starts), 2048):
+                w = (sums[ends[at : at + 2048]] - sums[starts[at : at + 2048]]).astype(np.float32)
                 norms = np.linalg.norm(w, axis=1, keepdims=True)
-                near, row = np.nonzero(w @ vectors >= COSINE * np.maximum(norms, 1e-6))
-                near += at
-                fits = held[high[near], row] - held[low[near], row] >= least[row]
-                for x, y in zip(near[fits].tolist(), row[fits].tolist(), strict=True):
+                counted = held[high[at : at + 2048]] - held[low[at : at + 2048]]
+                near, row = np.nonzero((w @ vectors >= COSINE * np.maximum(norms, 1e-6)) & (counted >= least))
+                for x, y in zip((near + at).tolist(), row.tolist(), strict=True):
                     self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
 
     def confirm(self, piece: tuple[int, int, np.ndarray], item: int, first: int, end: int, best: dict[tuple[int, int], tuple[float, float, int, int]]) -> None:
@@ -283,7 +284,7 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             own = x.doc_id.astype("Int64")
-            found = [(own.iloc[k], *hit) for k, *hit in search.scan(packed(x))]
+            found = [(own.iloc[n * DOCS + k], *hit) for n, texts in enumerate(packed(x)) for k, *hit in search.scan(texts)]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "overlap", "answer", "first_word", "end_word"]).astype(
                 {"doc_id": "Int64", "item_id": "Int64", "overlap": float, "answer": float, "first_word": "int32", "end_word": "int32"}
             )
