@@ -36,17 +36,26 @@ def answer_of(text: str) -> list[str]:
     return parts[0][-max(1, len(parts[0]) // 3) :] if parts else []
 
 
-def common(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bits: a set bit of v is an item's word not yet matched."""
+def masks_of(item: np.ndarray) -> dict[int, int]:
+    """The places of each word of an item, as bits."""
     masks: dict[int, int] = {}
     for k, x in enumerate(item.tolist()):
         masks[x] = masks.get(x, 0) | 1 << k
-    full = v = (1 << len(item)) - 1
-    for x in text.tolist():
-        if m := masks.get(x):
+    return masks
+
+
+def matched(masks: dict[int, int], size: int, text: list[int]) -> int:
+    """Length of the longest common subsequence with an item of so many words, by bits: a set bit of v is an item's word not yet matched."""
+    full = v = (1 << size) - 1
+    for m in map(masks.get, text):
+        if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return size - v.bit_count()
+
+
+def common(item: np.ndarray, text: np.ndarray) -> int:
+    return matched(masks_of(item), len(item), text.tolist())
 
 
 def passages(texts: list[np.ndarray], unknown: int) -> np.ndarray:
@@ -156,6 +165,7 @@ class Search:
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
         self.table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)  # the last row is for unknown words
         self.items = items
+        self.masks = [(masks_of(ids), masks_of(answer)) for _, ids, answer in items]
         self.longest = 2 * max(len(ids) for _, ids, _ in items) + 4 * GROUP
         classes: dict[int, list[int]] = {}
         for k, (_, ids, _) in enumerate(items):
@@ -214,21 +224,24 @@ class Search:
             np.cumsum(sum(member[flat[k::GROUP]] for k in range(GROUP)), 0, np.int32, held[1:])
             low, high = first // GROUP, -(-end // GROUP)
             for at in range(0, len(starts), 2048):
-                w = (sums[ends[at : at + 2048]] - sums[starts[at : at + 2048]]).astype(np.float32)
+                enough = held[high[at : at + 2048]] - held[low[at : at + 2048]] >= least
+                live = np.flatnonzero(enough.any(1))
+                w = (sums[ends[at + live]] - sums[starts[at + live]]).astype(np.float32)
                 norms = np.linalg.norm(w, axis=1, keepdims=True)
-                counted = held[high[at : at + 2048]] - held[low[at : at + 2048]]
-                near, row = np.nonzero((w @ vectors >= COSINE * np.maximum(norms, 1e-6)) & (counted >= least))
-                for x, y in zip((near + at).tolist(), row.tolist(), strict=True):
+                near, row = np.nonzero((w @ vectors >= COSINE * np.maximum(norms, 1e-6)) & enough[live])
+                for x, y in zip((live[near] + at).tolist(), row.tolist(), strict=True):
                     self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
 
     def confirm(self, piece: tuple[int, int, np.ndarray], item: int, first: int, end: int, best: dict[tuple[int, int], tuple[float, float, int, int]]) -> None:
         """Keep the item's best span in the document, if enough of its words are there in order."""
         document, at, ids = piece
         _, words, answer = self.items[item]
-        share = common(words, ids[first:end]) / len(words)
+        masks, answer_masks = self.masks[item]
+        span = ids[first:end].tolist()
+        share = matched(masks, len(words), span) / len(words)
         known = best.get((document, item))
         if share >= PARAPHRASE and (known is None or share > known[0]):
-            told = common(answer, ids[first:end]) / max(1, len(answer))
+            told = matched(answer_masks, len(answer), span) / max(1, len(answer))
             if share >= COPY or told >= ANSWER:
                 best[document, item] = (share, told, at + first, at + end)
 
