@@ -12,10 +12,11 @@ from corvane.llm.scratch import stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network predicts toxic go; the others, and rows with a null doc_id and no toxic namesake, stay."""
-    found = toxicity.toxicity(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    """Rows whose text the network predicts toxic go, all others stay; the text's hash stands for the row, whatever its doc_id."""
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = toxicity.toxicity(keyed, toxicity.trained(docs, table(spark, sf_dir, "labels")))
     gone = stored(found.filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "toxic")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti")
+    return docs.join(gone, F.xxhash64(docs.text) == gone._gone, "left_anti")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

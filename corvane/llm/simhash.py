@@ -36,14 +36,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return sum(1 << (8 * lane + k) for k in range(8) for lane in range(8) if 2 * counts[k, lane] > n)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long, one row for each row of docs."""
+def fingerprints(docs: DataFrame, words: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long, one row for each row of docs. keyed adds text_key, the text's hash."""
+    key = [F.xxhash64("text").alias("text_key")] * keyed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x.doc_id, "fp": np.array([fingerprint(t, words) for t in x.text], np.uint64).view(np.int64)})
+            out = pd.DataFrame({"doc_id": x.doc_id, "fp": np.array([fingerprint(t, words) for t in x.text], np.uint64).view(np.int64)})
+            yield out.assign(text_key=x.text_key) if keyed else out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *key).mapInPandas(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def _forest(words: np.ndarray, home: np.ndarray, radius: int, cells: int = 2_000_000) -> np.ndarray:
@@ -102,29 +104,32 @@ def links(words: DataFrame, radius: int = 2, lanes: int = 4, block_rows: int = 5
     return out.groupBy("tile", "block").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 4, keyed: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (columns doc_id, text; others are ignored).
 
     Fingerprints link at radius differing bits or fewer, and component_id is the smallest
     doc_id that can be reached. A null text counts as empty: fingerprint 0, linked like
     any other. Rows with a null doc_id are kept; they never name a component unless all
     its ids are null, and then component_id is null. Repeated rows share their component.
+    keyed adds text_key, which tells rows with one doc_id apart.
     """
-    own = stored(fingerprints(docs, words), "fingerprints")
+    own = stored(fingerprints(docs, words, keyed), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), radius, lanes))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = of.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return own.join(classes, "fp").select("doc_id", "fp", "component_id", *["text_key"] * keyed)
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows that share that doc_id are told apart by nothing, so all of them stay; of a
-    component whose ids are all null, all rows stay.
+    Rows of a component that share that doc_id all stay; of a component whose ids are all
+    null, all rows stay. Rows go by doc_id and text, so that a near copy takes no other
+    text of its doc_id (or of the null ones) with it.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    found = near_duplicates(docs, radius, keyed=True)
+    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone) & (F.xxhash64(docs.text) == gone._key), "left_anti")
