@@ -20,6 +20,8 @@ BLOCK = 1000
 PASSAGE, RANK, EXTRA = 32, 64, 8
 #: Words that a window takes or leaves together; words that are scanned at once; documents whose passages are made at once.
 GROUP, PIECE, DOCS = 4, 1 << 14, 500
+#: Items of so many words at most are looked for in every window that can hold them, whatever its cosine.
+SHORT = 8
 #: Least cosine of a candidate; least share of an item's words in common order; the same where the answer is there too.
 COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.65, 0.9
 
@@ -159,7 +161,9 @@ class Search:
 
     Items of about one length make a class, and a class fixes its windows. A window runs
     over whole groups of GROUP words and starts at every quarter of its length, so that
-    its vector is a difference of two running sums over the groups.
+    its vector is a difference of two running sums over the groups. Windows of classes of
+    up to SHORT words start at every group and hold an item whole wherever it starts in
+    one; a few words' vector says little beside their neighbours', so no cosine is asked.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
@@ -211,8 +215,9 @@ class Search:
         sums = np.zeros((base[-1] + 1, self.table.shape[1]))
         np.cumsum(sum(self.table[flat[k::GROUP]] for k in range(GROUP)), 0, np.float64, sums[1:])
         for length, of, vectors, member, least in self.classes:
-            wide = -(-length // GROUP)
-            step, reach = max(1, wide // 4), length // 8
+            short = length <= SHORT
+            wide = -(-(length + (GROUP - 1) * short) // GROUP)
+            step, reach = (1, 0) if short else (max(1, wide // 4), length // 8)
             counts = np.maximum(0, -(-(groups - wide) // step)) + 1
             piece = np.repeat(np.arange(len(pieces)), counts)
             starts = base[piece] + step * (np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts))
@@ -226,9 +231,12 @@ class Search:
             for at in range(0, len(starts), 2048):
                 enough = held[high[at : at + 2048]] - held[low[at : at + 2048]] >= least
                 live = np.flatnonzero(enough.any(1))
-                w = (sums[ends[at + live]] - sums[starts[at + live]]).astype(np.float32)
-                norms = np.linalg.norm(w, axis=1, keepdims=True)
-                near, row = np.nonzero((w @ vectors >= COSINE * np.maximum(norms, 1e-6)) & enough[live])
+                hit = enough[live]
+                if not short:
+                    w = (sums[ends[at + live]] - sums[starts[at + live]]).astype(np.float32)
+                    norms = np.linalg.norm(w, axis=1, keepdims=True)
+                    hit &= w @ vectors >= COSINE * np.maximum(norms, 1e-6)
+                near, row = np.nonzero(hit)
                 for x, y in zip((live[near] + at).tolist(), row.tolist(), strict=True):
                     self.confirm(pieces[piece[x]], of[y], int(first[x] - GROUP * base[piece[x]]), int(end[x] - GROUP * base[piece[x]]), best)
 

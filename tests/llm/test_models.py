@@ -94,3 +94,20 @@ def test_items_and_paraphrases_are_found_and_nothing_else(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
     assert docs.select(F.col("score")).count() == len(rows)
+
+
+def test_short_items_are_found_at_every_alignment(spark):
+    r = random.Random(8)
+    known = [f"known{k}" for k in range(40)]  # words of another item, so that neighbours have vectors too
+    items = {n: " ".join(f"w{n}x{k}" for k in range(n)) for n in range(1, 9)}
+    rows, want = [], set()
+    for n in items:
+        for at in range(4):
+            for fill in (known, ["far", "off"]):
+                words = [r.choice(fill) for _ in range(20 + at)] + items[n].split() + [r.choice(fill) for _ in range(17)]
+                want.add((len(rows), n))
+                rows.append((len(rows), " ".join(words), 0, 0))
+    rows.append((1000, " ".join(["w4x0", "off"] * 5 + items[8].split()[:5]), 0, 0))
+    benchmark = spark.createDataFrame([*items.items(), (99, " ".join(known))], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), benchmark)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
