@@ -25,6 +25,14 @@ TEMPLATES = {
     "mit-name": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: What tells a short template's license from its kin: words that a span must have matched, and words that it must not hold.
+TELLING = {
+    "apache-2.0-name": ("apache 2", ""),
+    "cc-by-4.0-name": ("cc by 4", "nc nd sa"),
+    "cc-by-nc-4.0-name": ("cc by nc 4", "nd sa"),
+    "gpl-3.0-name": ("general public 3", "lesser library affero"),
+    "mit-name": ("mit", ""),
+}
 WORD = re.compile(r"[a-z0-9]+")
 SCHEMA = "doc_id long, license string, coverage double, start int, end int"
 
@@ -70,6 +78,7 @@ class Scanner:
         self.keys = np.array(sorted(self.index), np.uint64)
         short = {x for x, found in self.index.items() if any(len(self.words[n]) < 2 * (k + window - 1) for n, _ in found)}
         self.short = np.array(sorted(short), np.uint64)
+        self.telling = {name: tuple(x.split() for x in TELLING[name]) for name, text in templates.items() if name in TELLING and text == TEMPLATES[name]}
 
     def aligned(self, template: list[str], text: list[str], shift: int, band: int) -> tuple[int, int, int]:
         """(words matched, first, last place in text) of the best alignment whose diagonals differ from shift by at most band."""
@@ -92,8 +101,19 @@ class Scanner:
             before = row
         return max(before, key=lambda x: x[0])
 
+    def told(self, name: str, span: list[str]) -> bool:
+        """Whether a span has the words, in order, that tell a short template's license from its kin, and none that speaks against it."""
+        needed, barred = self.telling.get(name, ((), ()))
+        rest = iter(span)
+        return all(w in rest for w in needed) and not set(barred) & set(span)
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, start, end) in code points; of overlapping spans of one template the better, then the earlier stays."""
+        """(license, coverage, start, end) in code points.
+
+        Of overlapping spans of one template the better, then the earlier stays; of spans
+        of two templates, one of which lies in the other by half of its words or more, the
+        one with more words matched, then with the higher coverage.
+        """
         low = text.lower()
         if len(low) != len(text):  # some capitals become two characters; they stay as they are
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
@@ -106,7 +126,7 @@ class Scanner:
         for at in picked.tolist():
             for name, i in self.index[int(h[at])]:
                 diagonals[name].append((at - i, at))
-        out = []
+        every = []
         for name, hits in diagonals.items():
             hits.sort()
             groups, template = [[hits[0][0], hits[0][0]]], self.words[name]
@@ -118,13 +138,18 @@ class Scanner:
             found = []
             for a, b in groups:
                 n, first, last = self.aligned(template, words, (a + b) // 2, band)
-                if n >= self.least * len(template):
+                if n >= self.least * len(template) and self.told(name, words[first : last + 1]):
                     found.append((-n, first, last))
             kept = []
             for n, first, last in sorted(found):
                 if all(last < a or first > b for _, a, b in kept):
                     kept.append((n, first, last))
-            out += [(name, -n / len(template), spans[a][0], spans[b][1]) for n, a, b in kept]
+            every += [(n, n / len(template), name, a, b) for n, a, b in kept]
+        out, best = [], []
+        for n, coverage, name, a, b in sorted(every):
+            if all(other == name or 2 * (min(b, d) - max(a, c) + 1) < min(b - a, d - c) + 1 for other, c, d in best):
+                best.append((name, a, b))
+                out.append((name, -coverage, spans[a][0], spans[b][1]))
         return sorted(out, key=lambda x: (x[2], x[0], x[3]))
 
 

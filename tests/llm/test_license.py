@@ -45,3 +45,23 @@ def test_edges(spark):
     assert sorted((x.doc_id or 0, x.start, x.end, x.license) for x in got) == [
         (0, 2, 32, "mit-name"), (3, 0, 30, "mit-name"), (3, 32, 62, "mit-name"), (3, 100_000, 100_030, "mit-name")]
     assert license_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_name_line_gives_its_own_license_alone():
+    s = Scanner(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        assert [x[:2] for x in s.scan(f"lorem ipsum {text} dolor")] == [(name, 1.0)], name
+    for other in ("Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC-ND 4.0", "Licensed under CC BY 3.0", "Released under the BSD License", "licensed under the GNU General Public License, version 2", "licensed under the GNU Lesser General Public License, version 3", "Licensed under the Apache License, Version 1.0"):
+        assert s.scan(f"lorem ipsum {other} dolor") == [], other
+    lines = "Licensed under CC BY-NC 4.0\nLicensed under CC BY 4.0\nReleased under the MIT License\n" + TEMPLATES["mit"]
+    assert [x[0] for x in s.scan(lines)] == ["cc-by-nc-4.0-name", "cc-by-4.0-name", "mit-name", "mit"]
+
+
+def test_stray_fragments_before_a_copy_do_not_hide_it():
+    s = Scanner(TEMPLATES)
+    for name in ("mit", "gpl-3.0-notice", "bsd-2-clause"):
+        words = TEMPLATES[name].split()
+        for size in (3, 4, 6):
+            for gap in range(12):
+                given = ("lorem " * gap + " ".join(words[5 : 5 + size]) + " ") * 80 + "ipsum " + TEMPLATES[name]
+                assert (name, 1.0) in [x[:2] for x in s.scan(given)], (name, size, gap)
