@@ -64,3 +64,60 @@ def test_a_toxic_row_takes_no_other_row_of_its_id(spark, toxic_corpus):
     left = rows_of(corpus_pipeline.reject_toxic(spark, spark.createDataFrame(rows, DOCS), at))
     assert left == sorted(clean(spark, rows, at), key=str)
     assert {rows[-4], rows[-2], rows[-1]} <= set(left) and not {rows[-5], rows[-3]} & set(left)
+
+
+def one_edit(a, b):
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+
+
+def plain_lines(rows):
+    """Each line goes that an earlier line (doc_id, null last, then number) equals or, from 10 code points on, is one edit from."""
+    each = [(i if i is not None else 1 << 63, p, " ".join(line.split())) for i, t in rows for p, line in enumerate((t or "").split("\n"))]
+    earlier = lambda x: any(y[:2] < x[:2] and (y[2] == x[2] or min(len(x[2]), len(y[2])) >= 10 and one_edit(x[2], y[2])) for y in each)
+    gone, out = {x for x in each if x[2] and earlier(x)}, []
+    for i, t in rows:
+        kept = [line for p, line in enumerate((t or "").split("\n")) if (i if i is not None else 1 << 63, p, " ".join(line.split())) not in gone]
+        out.append((i, None if t is None else "\n".join(kept)))
+    return out
+
+
+def plain_near(rows):
+    prints, of = [simhash.fingerprint(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and of[i] != of[j]:
+                of = [of[j] if x == of[i] else x for x in of]
+    least = {c: min((i for (i, _), x in zip(rows, of, strict=True) if x == c and i is not None), default=None) for c in set(of)}
+    return [x for x, c in zip(rows, of, strict=True) if x[0] == least[c]]
+
+
+def plain_leaks(rows):
+    said = lambda t: f" {' '.join(decontaminate.words_of(t))} "
+    return [x for x in rows if said(ITEM) not in said(x[1])]
+
+
+def test_each_stage_keeps_what_a_plain_version_keeps(spark, toxic_corpus):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    given, at = toxic_corpus
+    r = random.Random(9)
+    a, b, line = prose(r, 60), prose(r, 60), prose(r, 12)
+    odd = [(None, a.upper()), (None, b), (700, a), (701, a.upper()), (701, prose(r, 50)), (None, None), (702, ""), (None, prose(r, 20) + " vilebad"), (703, prose(r, 20) + " grimfoe"), (703, prose(r, 20))]
+    odd += [(704, f"{line}\n{prose(r, 30)}"), (705, f"{prose(r, 30)}\n\n{line}x\n {line} "), (None, f"{line}\n{prose(r, 30)}"), (706, f"{prose(r, 30)} {ITEM} {prose(r, 9)}"), (706, prose(r, 40)), (None, f"{prose(r, 30)} {ITEM}")]
+    rows = [*given, *odd]
+    stages = [plain_lines, plain_near, plain_leaks]
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], DOCS + ", n_chars long")
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:4], [lambda x: clean(spark, x, at), *stages], strict=True):
+        docs, want = stage(spark, docs, at).localCheckpoint(), plain(rows)
+        assert rows_of(docs) == sorted(want, key=str), name
+        assert len(want) < len(rows) or want != rows, name
+        rows = want
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = [(x.doc_id, list(x.ids)) for x in corpus_pipeline.encode(spark, docs, at).collect()]
+    assert sorted(got, key=str) == sorted(((i, library.encode_ordinary(t or "")) for i, t in rows), key=str)
