@@ -83,7 +83,7 @@ def links(words: DataFrame, radius: int = 2, lanes: int = 4, block_rows: int = 5
     key = sum((c * base**k for k, c in enumerate(counts)), F.lit(0)).cast("long")
     tiled = words.select("fp", key.alias("tile"), F.array(*counts).alias("pc"))
     blocks = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    blocks = bounded_broadcast(stored(blocks, "tiles"), 100_000)
+    blocks = bounded_broadcast(stored(blocks, "tiles"), 2)
     near = []
     for s in steps:  # only towards smaller tiles, and only where every lane's count stays possible
         if (shift := sum(d * base**k for k, d in enumerate(s))) < 0:
