@@ -1,100 +1,423 @@
-"""Queries over vectors and candidate pools: cosine search, normalising, fusion, selection."""
+"""Queries over candidate pools: joins of channels, norms, fusion, rescoring, selection; and cosine search."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query, table
+from corvane.functions import text as T
+from corvane.operators import dense as D
+from corvane.operators import fusion as U
 
-# A pool: an order is a query, its parts are candidates, and either channel may miss.
-POOL = """pool AS (SELECT l_orderkey AS query_id, l_partkey AS item_id, max(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) AS dense,
-    max(CASE WHEN l_quantity > 10 THEN l_quantity END) AS sparse, max(l_suppkey) % 3 AS source FROM lineitem GROUP BY ALL HAVING dense IS NOT NULL OR sparse IS NOT NULL)"""
-NORM = "CASE WHEN {x} IS NULL THEN 0.0 WHEN max({x}) OVER w - min({x}) OVER w < 1e-12 THEN 0.5 ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
-FUSED = POOL + f", fused AS (SELECT query_id, item_id, source, round(0.15 * {NORM.format(x='dense')} + 0.85 * {NORM.format(x='sparse')}, 6) AS score FROM pool WINDOW w AS (PARTITION BY query_id))"
+# The channels: an order is a question, its parts are the items, and each channel misses some. A grep hit is a file's name.
+CHANNELS = """dense AS (SELECT l_orderkey AS query_id, l_partkey AS item_id, max(l_extendedprice) AS score FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+    sparse AS (SELECT l_orderkey AS query_id, l_partkey AS item_id, max(l_quantity) AS score FROM lineitem WHERE l_quantity > 10 GROUP BY ALL),
+    grep AS (SELECT l_orderkey AS query_id, l_partkey AS item_id, max(100 * l_tax) AS score FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL),
+    pool AS (SELECT query_id, item_id, d.score AS dense, s.score AS sparse FROM dense d FULL JOIN sparse s USING (query_id, item_id)),
+    triple AS (SELECT query_id, item_id, dense, sparse, g.score AS grep FROM pool FULL JOIN grep g USING (query_id, item_id))"""
+NORM = "CASE WHEN {x} IS NULL THEN {miss} WHEN max({x}) OVER w - min({x}) OVER w < 1e-12 THEN 0.5::DOUBLE ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
+Z = "CASE WHEN {x} IS NULL THEN NULL WHEN stddev_pop({x}) OVER w < 1e-12 THEN 0 ELSE ({x} - avg({x}) OVER w) / stddev_pop({x}) OVER w END"
+TIE = f"CASE WHEN sparse IS NULL THEN round({Z.format(x='dense')}, 9) WHEN dense IS NULL THEN round({Z.format(x='sparse')}, 9) ELSE 0 END"
+EPS = "round_even(score / 3.8e-7::DOUBLE, 0)"
+
+
+def norm(x: str, miss: str = "0.0::DOUBLE") -> str:
+    return NORM.format(x=x, miss=miss)
+
+
+def fused_sql(alpha: str = "0.15", rest: str = "0.85", mode: str = "zscore") -> str:
+    miss = {x: f"CASE WHEN count({x}) OVER w > 0 THEN -1.0::DOUBLE / (count({x}) OVER w + 1) ELSE 0.0 END" if mode == "impute" else "0.0::DOUBLE" for x in ("dense", "sparse")}
+    bonus = " + CASE WHEN dense IS NOT NULL AND sparse IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END" if mode == "agreement" else ""
+    last = "tie DESC, " if mode == "zscore" else ""
+    score = f"{alpha}::DOUBLE * {norm('dense', miss['dense'])} + {rest}::DOUBLE * {norm('sparse', miss['sparse'])}{bonus}"
+    return f"""WITH {CHANNELS}, scored AS (SELECT *, {score} AS score, {TIE} AS tie FROM pool WINDOW w AS (PARTITION BY query_id)),
+    fused AS (SELECT *, item_id % 3 AS source, row_number() OVER (PARTITION BY query_id ORDER BY {EPS} DESC, {last}item_id DESC)::INT AS rank FROM scored)"""
+
+
+FUSED = fused_sql()
+
+
+def channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    keep, score = {"dense": ("l_returnflag <> 'R'", F.max("l_extendedprice")), "sparse": ("l_quantity > 10", F.max("l_quantity")), "grep": ("l_linenumber % 2 = 1", F.max(100 * F.col("l_tax")))}[name]
+    return rows.filter(keep).groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id")).agg(score.alias("score"))
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id")).agg(
-        F.max(F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))).alias("dense"),
-        F.max(F.when(F.col("l_quantity") > 10, F.col("l_quantity"))).alias("sparse"),
-        (F.max("l_suppkey") % 3).alias("source"),
-    )
-    return rows.filter("dense is not null or sparse is not null")
+    return U.outer(channel(spark, sf_dir, "dense"), channel(spark, sf_dir, "sparse"))
 
 
-def min_max(name: str) -> Column:
-    """WIN-4, FU-1: within the query's pool; a constant channel is 0.5, a miss 0."""
-    w, x = Window.partitionBy("query_id"), F.col(name)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(x.isNull(), 0.0).when(high - low < 1e-12, 0.5).otherwise((x - low) / (high - low))
+def triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir).join(channel(spark, sf_dir, "grep").withColumnRenamed("score", "grep"), ["query_id", "item_id"], "full")
 
 
-def fused(spark: SparkSession, sf_dir: str, alpha: float = 0.15) -> DataFrame:
-    score = F.round(alpha * min_max("dense") + (1 - alpha) * min_max("sparse"), 6)
-    return pool(spark, sf_dir).select("query_id", "item_id", "source", score.alias("score"))
+def fused(spark: SparkSession, sf_dir: str, mode: str = "zscore") -> DataFrame:
+    return U.fused(pool(spark, sf_dir), 0.15, mode).withColumn("source", F.col("item_id") % 3)
 
 
-@query("fu_2", f"WITH {FUSED} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC)::INT AS rank FROM fused")
-def fu_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Convex fusion, ties by id descending; the windows share one exchange."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("item_id")))
-    return fused(spark, sf_dir).select("query_id", "item_id", "score", rank.alias("rank"))
+@query("jn_1", f"WITH {CHANNELS} SELECT * FROM pool")
+def jn_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir)
+
+
+@query("jn_2", f"WITH {CHANNELS} SELECT * FROM triple")
+def jn_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triple(spark, sf_dir)
+
+
+@query("jn_3", f"WITH {CHANNELS} SELECT query_id, item_id, dense, g.score AS grep FROM pool LEFT JOIN grep g USING (query_id, item_id)")
+def jn_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir).select("query_id", "item_id", "dense").join(channel(spark, sf_dir, "grep").withColumnRenamed("score", "grep"), ["query_id", "item_id"], "left")
+
+
+@query("jn_4", f"WITH {CHANNELS} SELECT * FROM grep g WHERE NOT EXISTS (FROM pool p WHERE p.query_id = g.query_id AND p.item_id = g.item_id)")
+def jn_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel(spark, sf_dir, "grep").join(pool(spark, sf_dir), ["query_id", "item_id"], "left_anti")
+
+
+@query("jn_5", "WITH k AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0), p AS (SELECT p_partkey FROM part WHERE p_size > 20) SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey IN (FROM k) AND l_partkey IN (FROM p)")
+def jn_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with both ends kept."""
+    edges = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    ends = table(spark, sf_dir, "supplier").filter("s_acctbal > 0"), table(spark, sf_dir, "part").filter("p_size > 20")
+    return edges.join(ends[0], edges.l_suppkey == ends[0].s_suppkey, "left_semi").join(ends[1], edges.l_partkey == ends[1].p_partkey, "left_semi")
 
 
 @query(
-    "win_5",
-    f"WITH {POOL} SELECT query_id, item_id, round(CASE WHEN sparse IS NULL THEN NULL WHEN stddev_pop(sparse) OVER w < 1e-12 THEN 0 ELSE (sparse - avg(sparse) OVER w) / stddev_pop(sparse) OVER w END, 6) AS z FROM pool WINDOW w AS (PARTITION BY query_id)",
+    "jn_6",
+    """WITH p AS (SELECT DISTINCT source || CASE WHEN doc_id % 3 = 0 THEN '/' WHEN doc_id % 3 = 1 THEN '-' ELSE 'x' END || 'note-' || (doc_id % 50) || '.md' AS path FROM documents),
+    h AS (SELECT 'note-' || s_suppkey || '.md' AS name, s_nationkey::DOUBLE AS score FROM supplier UNION ALL SELECT s_suppkey || '.md', 11.0 FROM supplier)
+    SELECT path, name, score FROM (SELECT path, name, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, name) AS n FROM p JOIN h ON path = name OR ends_with(path, '/' || name) OR ends_with(path, '-' || name)) WHERE n = 1""",
 )
+def jn_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    between = F.when(F.col("doc_id") % 3 == 0, "/").when(F.col("doc_id") % 3 == 1, "-").otherwise("x")
+    paths = table(spark, sf_dir, "documents").select(F.concat("source", between, F.lit("note-"), (F.col("doc_id") % 50).cast("string"), F.lit(".md")).alias("path")).distinct()
+    s = table(spark, sf_dir, "supplier").withColumn("key", F.col("s_suppkey").cast("string"))
+    hits = s.select(F.concat(F.lit("note-"), "key", F.lit(".md")).alias("name"), F.col("s_nationkey").cast("double").alias("score")).union(s.select(F.concat("key", F.lit(".md")), F.lit(11.0)))
+    return U.suffix_matches(paths, hits)
+
+
+@query("win_2", f"WITH {CHANNELS} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, item_id)::INT AS rank FROM pool WHERE dense IS NOT NULL")
+def win_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir).filter("dense is not null").select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.desc("dense"), "item_id")).alias("rank"))
+
+
+@query("win_3", f"WITH {CHANNELS} SELECT query_id, item_id, max(dense) OVER (PARTITION BY query_id) - dense AS gap FROM pool")
+def win_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir).select("query_id", "item_id", (F.max("dense").over(U.QUERY) - F.col("dense")).alias("gap"))
+
+
+for _name in ("win_4", "fu_1"):
+
+    @query(_name, f"WITH {CHANNELS} SELECT query_id, item_id, {norm('dense')} AS dense_norm, {norm('sparse')} AS sparse_norm FROM pool WINDOW w AS (PARTITION BY query_id)")
+    def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pool(spark, sf_dir).select("query_id", "item_id", U.min_max("dense").alias("dense_norm"), U.min_max("sparse").alias("sparse_norm"))
+
+
+@query("win_5", f"WITH {CHANNELS} SELECT query_id, item_id, {Z.format(x='sparse')} AS z FROM pool WINDOW w AS (PARTITION BY query_id)")
 def win_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, x = Window.partitionBy("query_id"), F.col("sparse")
-    z = F.when(x.isNull(), None).when(F.stddev_pop(x).over(w) < 1e-12, 0.0).otherwise((x - F.avg(x).over(w)) / F.stddev_pop(x).over(w))
-    return pool(spark, sf_dir).select("query_id", "item_id", F.round(z, 6).alias("z"))
+    return pool(spark, sf_dir).select("query_id", "item_id", U.z_score("sparse").alias("z"))
+
+
+@query("agg_2", f"WITH {CHANNELS} SELECT query_id, avg(score) AS mean, stddev_pop(score) AS sd FROM dense GROUP BY query_id")
+def agg_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel(spark, sf_dir, "dense").groupBy("query_id").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
+
+
+@query("win_6", f"{FUSED}, f AS (SELECT query_id, source, min(rank) AS r FROM fused GROUP BY ALL) SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY r)::INT AS rank FROM f")
+def win_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source once, where it comes first."""
+    first = fused(spark, sf_dir).groupBy("query_id", "source").agg(F.min("rank").alias("r"))
+    return first.select("query_id", "source", F.row_number().over(U.QUERY.orderBy("r")).alias("rank"))
+
+
+_CAPPED = f"{FUSED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM fused), d AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS chosen FROM c WHERE n <= 2) SELECT * FROM d WHERE chosen <= 5"
+for _name in ("win_7", "sel_2"):
+
+    @query(_name, _CAPPED)
+    def two_of_a_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return U.capped(fused(spark, sf_dir), "source", 2, 5).select("query_id", "item_id", "chosen")
+
+
+@query("win_8", "SELECT l_partkey % 50 AS name, min(l_orderkey) FILTER (l_extendedprice = m) AS best, any_value(m) AS score FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_partkey % 50) AS m FROM lineitem) GROUP BY 1")
+def win_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hit of each name; of equal ones the smallest key. A minimum, so it is combined before the shuffle."""
+    best = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("name")).agg(F.min(F.struct((-F.col("l_extendedprice")).alias("less"), "l_orderkey")).alias("b"))
+    return best.select("name", F.col("b.l_orderkey").alias("best"), (-F.col("b.less")).alias("score"))
+
+
+@query("fu_2", f"{FUSED} SELECT query_id, item_id, score, rank FROM fused")
+def fu_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).select("query_id", "item_id", "score", "rank")
+
+
+@query("fu_3", " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({fused_sql(mode=m)} SELECT query_id, item_id, score, rank FROM fused)" for m in ("off", "agreement", "impute")))
+def fu_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three modes besides the default one."""
+    out = None
+    for mode in ("off", "agreement", "impute"):
+        each = fused(spark, sf_dir, mode).select(F.lit(mode).alias("mode"), "query_id", "item_id", "score", "rank")
+        out = each if out is None else out.union(each)
+    return out
+
+
+def _weighted(weights: dict[str, float]) -> str:
+    return f"WITH {CHANNELS}, s AS (SELECT query_id, item_id, {' + '.join(f'{w}::DOUBLE * {norm(n)}' for n, w in weights.items())} AS score FROM triple WINDOW w AS (PARTITION BY query_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM s"
+
+
+for _name, _weights in (("fu_4", {"dense": 0.5, "sparse": 1.0, "grep": 0.25}), ("fu_5", {"dense": 0.5, "sparse": 0.3, "grep": 0.2}), ("fu_13", {"dense": 0.2, "sparse": 0.4, "grep": 0.4})):
+
+    @query(_name, _weighted(_weights))
+    def of_three(spark: SparkSession, sf_dir: str, weights: dict[str, float] = _weights) -> DataFrame:
+        return U.weighted(triple(spark, sf_dir), weights).select("query_id", "item_id", "score", "rank")
 
 
 @query(
     "fu_6",
-    f"""WITH {POOL}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, item_id) AS rank FROM pool WHERE dense IS NOT NULL
-    UNION ALL SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, item_id) FROM pool WHERE sparse IS NOT NULL)
-    SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r GROUP BY ALL""",
+    f"""WITH {CHANNELS}, r AS (SELECT query_id, item_id, 1.0::DOUBLE AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense
+    UNION ALL SELECT query_id, item_id, 2.0::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) FROM sparse)
+    SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS score, sum(w / (60 + rank)) AS weighted FROM r GROUP BY ALL""",
 )
 def fu_6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion; both ranks in one pass over the pool, misses sorted last and not counted."""
+    own = U.reciprocal(pool(spark, sf_dir), {"dense": 1.0, "sparse": 1.0})
+    return U.reciprocal(own.withColumnRenamed("score", "plain"), {"dense": 1.0, "sparse": 2.0}).select("query_id", "item_id", F.col("plain").alias("score"), F.col("score").alias("weighted"))
 
-    def part(name: str) -> Column:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(name), "item_id"))
-        return F.when(F.col(name).isNotNull(), 1 / (60 + rank)).otherwise(0.0)
 
-    return pool(spark, sf_dir).select("query_id", "item_id", F.round(part("dense") + part("sparse"), 6).alias("score"))
+_LOCAL = "(length(t) - length(replace(t, 'ta', ''))) / 2"
 
 
 @query(
-    "sel_1",
-    f"""WITH {FUSED}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, item_id DESC) - 1 AS n FROM fused),
-    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n >= 2, round(score - 0.05 * n, 6) DESC, score DESC, item_id DESC)::INT AS rank FROM s)
-    SELECT query_id, item_id, round(score - 0.05 * n, 6) AS adjusted, rank FROM o WHERE rank <= 3""",
+    "fu_7",
+    f"""{FUSED}, local AS (SELECT query_id, item_id, dense, sparse, source, tie, score + 0.1::DOUBLE * (c / (c + 3.0::DOUBLE)) AS score FROM (SELECT f.*, least(5.0::DOUBLE, (length(lower(p_name)) - length(replace(lower(p_name), 'a', ''))) / 1) + least(5.0::DOUBLE, (length(lower(p_name)) - length(replace(lower(p_name), 're', ''))) / 2) AS c FROM fused f JOIN part ON p_partkey = item_id))
+    SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {EPS} DESC, tie DESC, item_id DESC)::INT AS rank FROM local""",
 )
+def fu_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grep as a ranked channel: each item's own text counts for its terms, and the pool is ranked anew (FU-10)."""
+    text = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.lower("p_name").alias("text"))
+    own = fused(spark, sf_dir).drop("rank").join(text, "item_id")
+    score = F.col("score") + 0.1 * U.local_norm(F.col("text"), F.array(F.lit("a"), F.lit("re")))
+    return U.ranked(own.withColumn("score", score)).select("query_id", "item_id", "score", "rank")
+
+
+def _tail(most: int, score: str) -> str:
+    return f"""{FUSED}, x AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS n FROM grep g WHERE NOT EXISTS (FROM fused f WHERE f.query_id = g.query_id AND f.item_id = g.item_id))
+    SELECT query_id, item_id, score, rank FROM fused WHERE rank <= 2 UNION ALL SELECT query_id, item_id, {score}, 2 + n FROM x WHERE n <= {most}"""
+
+
+@query("fu_8", _tail(3, "least(score / 8.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE * (score > 0)::INT"))
+def fu_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grep as a gate: up to three items that it alone found come after the top."""
+    return U.with_tail(fused(spark, sf_dir), channel(spark, sf_dir, "grep"), 2, 3, U.boost(F.col("score")))
+
+
+for _name in ("fu_9", "set_5", "sel_5"):
+
+    @query(_name, _tail(5, "0.0::DOUBLE"))
+    def additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return U.with_tail(fused(spark, sf_dir), channel(spark, sf_dir, "grep"), 2, 5, F.lit(0.0))
+
+
+_DAY = "coalesce(CASE WHEN item_id % 4 <> 0 THEN DATE '2024-01-01' + (item_id % 700)::INT END)"
+
+
+@query(
+    "fu_11",
+    f"""{FUSED}, s AS (SELECT query_id, item_id, rank AS before, score * CASE WHEN item_id % 7 = 0 THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN {_DAY} IS NULL OR DATE '2025-06-01' - {_DAY} <= 0 THEN 1 ELSE 1.0::DOUBLE - 0.15::DOUBLE * least(1.0::DOUBLE, (DATE '2025-06-01' - {_DAY}) / 365.0::DOUBLE) END AS score FROM fused)
+    SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before)::INT AS rank FROM s""",
+)
+def fu_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stale and old items lose score; equal ones keep their order. The day of reference is a parameter."""
+    day = F.when(F.col("item_id") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_id") % 700).cast("int")))
+    own = fused(spark, sf_dir).withColumn("score", U.superseded(F.col("score"), F.col("item_id") % 7 == 0, day, F.lit("2025-06-01").cast("date")))
+    return own.select("query_id", "item_id", "score", F.row_number().over(U.QUERY.orderBy(F.desc("score"), "rank")).alias("rank"))
+
+
+@query("fu_10", f"{FUSED}, s AS (SELECT query_id, item_id, tie, score + 0.1::DOUBLE * (item_id % 2) AS score FROM fused) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY {EPS} DESC, tie DESC, item_id DESC)::INT AS rank FROM s")
+def fu_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.ranked(fused(spark, sf_dir).drop("rank").withColumn("score", F.col("score") + 0.1 * (F.col("item_id") % 2))).select("query_id", "item_id", "rank")
+
+
+@query("fu_12", f"{FUSED} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id % 7 = 0, rank)::INT AS rank FROM fused")
+def fu_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged items after all others, each group in its order."""
+    return fused(spark, sf_dir).select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.col("item_id") % 7 == 0, "rank")).alias("rank"))
+
+
+@query("top_4", f"{FUSED} SELECT query_id, item_id, rank FROM fused WHERE rank <= 3")
+def top_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.first_of(fused(spark, sf_dir), 3).select("query_id", "item_id", "rank")
+
+
+@query("top_9", f"{FUSED} SELECT query_id, min(rank) FILTER (item_id % 5 = 0) AS first FROM fused GROUP BY query_id")
+def top_9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rank of any target, null if there is none."""
+    return fused(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("item_id") % 5 == 0, F.col("rank"))).alias("first"))
+
+
+@query("win_1", f"{FUSED} SELECT query_id, item_id, (row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, rank) - 1)::INT AS n FROM fused")
+def win_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).select("query_id", "item_id", (F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "rank")) - 1).alias("n"))
+
+
+_DIVERSE = f"""{FUSED}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, rank) - 1 AS n FROM fused),
+    o AS (SELECT *, score - 0.05::DOUBLE * n AS adjusted, row_number() OVER (PARTITION BY query_id ORDER BY n >= 2, score - 0.05::DOUBLE * n DESC, score DESC, rank)::INT AS chosen FROM s)"""
+
+
+@query("sel_1", f"{_DIVERSE} SELECT query_id, item_id, adjusted, chosen FROM o WHERE chosen <= 3")
 def sel_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source-diverse selection of three: two of a source first, the overflow fills up."""
-    order = [F.desc("score"), F.desc("item_id")]
-    s = fused(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(*order)) - 1)
-    s = s.withColumn("adjusted", F.round(F.col("score") - 0.05 * F.col("n"), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n") >= 2, F.desc("adjusted"), *order))
-    return s.withColumn("rank", rank).filter("rank <= 3").select("query_id", "item_id", "adjusted", "rank")
+    return U.diverse(fused(spark, sf_dir), 3).select("query_id", "item_id", "adjusted", "chosen")
+
+
+@query("sel_4", f"{FUSED}, f AS (SELECT f.query_id, p_brand, min(rank) AS r, min_by(item_id, rank) AS item_id FROM fused f JOIN part ON p_partkey = item_id GROUP BY ALL) SELECT query_id, item_id, chosen FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r)::INT AS chosen FROM f) WHERE chosen <= 3")
+def sel_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item of each text (here: brand); those that come next fill up."""
+    key = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_brand")
+    first = fused(spark, sf_dir).join(key, "item_id").groupBy("query_id", "p_brand").agg(F.min(F.struct("rank", "item_id")).alias("b"))
+    return first.select("query_id", F.col("b.item_id").alias("item_id"), F.row_number().over(U.QUERY.orderBy("b.rank")).alias("chosen")).filter("chosen <= 3")
+
+
+@query("sel_3")
+def sel_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant and different vectors for the asked ones: no SQL, a plain loop in the tests."""
+    own = D.unit(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "embedding", "v")
+    near = dn_2(spark, sf_dir).withColumnsRenamed({"vec_id": "item_id"})
+    return U.relevant_and_different(near.join(own.select("item_id", F.transform("v", lambda x: x.cast("float")).alias("v")), "item_id"))
+
+
+_RERANK = "row_number() OVER (PARTITION BY query_id ORDER BY (item_id * 7919) % 1009, item_id)"
+
+
+@query("rr_2")
+def rr_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The margin-guarded blend: no SQL, a plain loop in the tests."""
+    order = F.row_number().over(U.QUERY.orderBy((F.col("item_id") * 7919) % 1009, "item_id"))
+    return U.blended(fused(spark, sf_dir).withColumn("rerank", order))
+
+
+@query("rr_3", f"{FUSED} SELECT query_id, max(score) >= 0.9 AS skipped FROM fused GROUP BY query_id")
+def rr_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranking is skipped where fusion is sure."""
+    return fused(spark, sf_dir).groupBy("query_id").agg((F.max("score") >= 0.9).alias("skipped"))
+
+
+@query("rr_4", f"{FUSED}, r AS (SELECT *, CASE WHEN item_id % 3 <> 0 THEN {_RERANK} END AS rr FROM fused) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rr IS NULL, rr, rank)::INT AS place FROM r")
+def rr_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reranker returned, in its order, then the rest in the fused one."""
+    rr = F.when(F.col("item_id") % 3 != 0, F.row_number().over(U.QUERY.orderBy((F.col("item_id") * 7919) % 1009, "item_id")))
+    own = fused(spark, sf_dir).withColumn("rr", rr)
+    return own.select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.asc_nulls_last("rr"), "rank")).alias("place"))
+
+
+@query("rr_1", f"{FUSED}, v AS (SELECT query_id, count(*) AS n, count(DISTINCT item_id % 11) AS seen, bool_or(item_id % 11 >= 9) AS far FROM fused GROUP BY query_id) SELECT query_id, CASE WHEN far THEN 'index out of range' WHEN seen < n THEN 'index repeated' ELSE 'ok' END AS reason FROM v")
+def rr_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of a reranker's answer, before its order is used: every index in range, none twice; otherwise the fused order stays, with the reason."""
+    index = F.col("item_id") % 11
+    each = fused(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(index).alias("seen"), F.bool_or(index >= 9).alias("far"))
+    return each.select("query_id", F.when(F.col("far"), "index out of range").when(F.col("seen") < F.col("n"), "index repeated").otherwise("ok").alias("reason"))
+
+
+@query("set_1", f"WITH {CHANNELS} SELECT query_id, item_id FROM dense UNION SELECT query_id, item_id FROM sparse")
+def set_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel(spark, sf_dir, "dense").drop("score").union(channel(spark, sf_dir, "sparse").drop("score")).distinct()
 
 
 @query(
-    "dn_2",
-    """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM c) SELECT * FROM r WHERE rank <= 10""",
+    "set_2",
+    f"WITH {CHANNELS}, s AS (SELECT item_id, bool_or(side = 1) AS l, bool_or(side = 2) AS r FROM (SELECT item_id, 1 AS side FROM dense WHERE score > 50000 UNION ALL SELECT item_id, 2 FROM sparse WHERE score > 45) GROUP BY item_id), n AS (SELECT CASE WHEN l THEN 'left' ELSE 'right' END AS side, item_id, row_number() OVER (PARTITION BY l ORDER BY item_id)::INT AS n, count(*) OVER (PARTITION BY l) AS total FROM s WHERE l <> r) SELECT * FROM n WHERE n <= 20",
 )
-def dn_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact cosine top 10: the ids divisible by 100 ask, in blocks that meet all vectors; a block is broadcast only up to 10,000 vectors."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    own = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).withColumn("norm", norm)
-    asked = own.filter("vec_id % 100 = 0").toDF("query_id", "q", "q_norm")
-    asked = F.broadcast(asked) if asked.count() <= 10_000 else asked
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = own.crossJoin(asked).select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("rank <= 10")
+def set_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one side alone has: how many, and the first twenty."""
+    left = channel(spark, sf_dir, "dense").filter("score > 50000").select("item_id", F.lit(1).alias("side"))
+    both = left.union(channel(spark, sf_dir, "sparse").filter("score > 45").select("item_id", F.lit(2)))
+    one = both.groupBy("item_id").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a = b").select(F.when(F.col("a") == 1, "left").otherwise("right").alias("side"), "item_id")
+    totals = one.groupBy("side").agg(F.count(F.lit(1)).alias("total"))
+    first = None
+    for side in ("left", "right"):  # a top-20 each, not a sort of everything
+        few = one.filter(F.col("side") == side).orderBy("item_id").limit(20).withColumn("n", F.row_number().over(Window.partitionBy("side").orderBy("item_id")))
+        first = few if first is None else first.union(few)
+    return first.join(F.broadcast(totals), "side").select("side", "item_id", "n", "total")  # two rows
+
+
+@query("set_3", f"WITH {CHANNELS}, a AS (SELECT DISTINCT item_id FROM dense), b AS (SELECT DISTINCT item_id FROM sparse WHERE score > 45) SELECT (SELECT count(*) FROM a WHERE item_id IN (FROM b)) / count(*) AS coverage FROM a")
+def set_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of one side's ids that the other has; 0 for an empty side."""
+    a = channel(spark, sf_dir, "dense").select("item_id").distinct()
+    b = channel(spark, sf_dir, "sparse").filter("score > 45").select("item_id").distinct().withColumn("there", F.lit(1))
+    return a.join(b, "item_id", "left").agg(F.coalesce(F.count("there") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("coverage"))
+
+
+@query("set_4", "SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 11 <> 0")
+def set_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.filter("doc_id % 10 <> 0").subtract(docs.filter("doc_id % 11 <> 0"))
+
+
+@query("set_6", f"WITH {CHANNELS}, a AS (SELECT query_id, list(item_id) AS d FROM dense GROUP BY 1), b AS (SELECT query_id, list(item_id) AS s FROM sparse GROUP BY 1) SELECT query_id, len(list_intersect(d, s)) AS both, len(list_distinct(list_concat(d, s))) AS any FROM a JOIN b USING (query_id)")
+def set_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = channel(spark, sf_dir, "dense").groupBy("query_id").agg(F.collect_list("item_id").alias("d"))
+    b = channel(spark, sf_dir, "sparse").groupBy("query_id").agg(F.collect_list("item_id").alias("s"))
+    return a.join(b, "query_id").select("query_id", F.size(F.array_intersect("d", "s")).cast("long").alias("both"), F.size(F.array_union("d", "s")).cast("long").alias("any"))
+
+
+@query("set_7", "SELECT r_name AS index_strategy, n_name AS search_strategy FROM region, nation WHERE n_regionkey = r_regionkey OR r_regionkey = 0")
+def set_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an index and a search strategy whose engines fit: two small lists of settings, one of them broadcast."""
+    a, b = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    pairs = a.crossJoin(F.broadcast(b)).filter("n_regionkey = r_regionkey or r_regionkey = 0")
+    return pairs.select(F.col("r_name").alias("index_strategy"), F.col("n_name").alias("search_strategy"))
+
+
+_COS = "WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM c)"
+
+
+@query("dn_1", "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
+def dn_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.unit(table(spark, sf_dir, "embeddings"), "embedding", "v").select("vec_id", "v")
+
+
+for _name in ("dn_2", "jn_8", "top_2"):
+
+    @query(_name, _COS + " SELECT * FROM r WHERE rank <= 10")
+    def dn_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Exact cosine top 10: the ids divisible by 100 ask, in blocks that meet all vectors."""
+        own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        return D.nearest(own, own.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
+@query("top_3", "SELECT vec_id, (row_number() OVER (ORDER BY s DESC, vec_id))::INT AS rank FROM (SELECT vec_id, list_sum(list_transform(embedding[1:3], lambda x: x::DOUBLE)) AS s FROM embeddings) ORDER BY rank LIMIT 25")
+def top_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 25 by score, equal ones in their order: a heap in each task, then one sort of 25 rows."""
+    score = F.aggregate(F.slice("embedding", 1, 3), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    best = table(spark, sf_dir, "embeddings").select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(25)
+    return best.select("vec_id", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id")).alias("rank"))
+
+
+@query("dn_7")
+def dn_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each question's ranked vectors those that are not too near an earlier kept one: no SQL, a plain loop in the tests."""
+    own = D.unit(table(spark, sf_dir, "embeddings"), "embedding", "v").select("vec_id", "v")
+    return D.spread(dn_2(spark, sf_dir).join(own, "vec_id"), 0.9, 5)
+
+
+@query("dn_8", "WITH p AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::DOUBLE AS i, count(*) OVER () AS n FROM embeddings), s AS (SELECT vec_id, 1 - 2 * (i + 0.5) / n AS z, i * pi() * (3 - sqrt(5::DOUBLE)) AS a FROM p) SELECT vec_id, sqrt(greatest(0, 1 - z * z)) * cos(a) AS x, sqrt(greatest(0, 1 - z * z)) * sin(a) AS y, z FROM s")
+def dn_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout on a sphere: the golden spiral over the ids' order."""
+    return D.spiral(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
+
+
+@query("dn_4", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.fp <> n.fp THEN 'modified' ELSE 'reused' END AS state FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END) AS fp FROM documents WHERE doc_id % 10 <> 0) o FULL JOIN (SELECT doc_id, sha256(text) AS fp FROM documents WHERE doc_id % 11 <> 0) n ON o.doc_id = n.doc_id")
+def dn_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which vectors an update embeds anew, reuses or deletes: only ids and digests are shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 10 <> 0").select("doc_id", T.fingerprint(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("was"))
+    return D.update_plan(old, docs.filter("doc_id % 11 <> 0").select("doc_id", T.fingerprint(F.col("text")).alias("now")), "doc_id")
+
+
+@query("dn_6", "SELECT count(*) FILTER (doc_id % 11 <> 0) / count(*) >= 0.95 AS enough, count(*) FILTER (doc_id % 11 <> 0) / count(*) AS coverage FROM documents")
+def dn_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a second index covers enough of the ids to be used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    there = docs.filter("doc_id % 11 <> 0").select("doc_id", F.lit(1).alias("there"))
+    share = F.count("there") / F.count(F.lit(1))
+    return docs.join(there, "doc_id", "left").agg((share >= 0.95).alias("enough"), share.alias("coverage"))

@@ -36,13 +36,6 @@ def agg_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("agg_1", "SELECT event_type, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(coalesce(stddev_samp(value), 0), 6) AS sd FROM events GROUP BY event_type")
-def agg_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd")
-    )
-
-
 @query("gr_1", "SELECT node, count(*) AS degree FROM (SELECT 'part:' || l_partkey AS node FROM lineitem UNION ALL SELECT 'supplier:' || l_suppkey FROM lineitem) GROUP BY node")
 def gr_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees: both ends from one scan of the edges."""
