@@ -8,16 +8,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.scratch import slices
+
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHARS = 12, 8, 8, 4096
-#: The classifier is fitted on so many labelled documents at most, none longer than so many code points; scoring has no such bounds.
+#: Defaults of trained(): the classifier is fitted on so many labelled documents at most, none longer than so many code points; scoring has no such bounds.
 FIT_DOCS, FIT_CHARS, VOCABULARY = 4000, 20_000, 20_000
-THRESHOLD, CACHED = 0.3, 200_000
+#: Least score that counts as toxic; words whose inputs a worker remembers.
+THRESHOLD, CACHED = 0.3, 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -122,16 +125,25 @@ class Network:
             g |= {"W" + side: gw, "U" + side: gu, "B" + side: gb}
         return g, dx
 
+    def forget(self) -> None:
+        """Free what scores() remembers."""
+        for name in ("rows", "tables"):
+            self.__dict__.pop(name, None)
+
     def scores(self, documents: list[list[str]]) -> list[np.ndarray]:
         """The scores of all windows of each document; a document without words has none."""
         if not hasattr(self, "rows") or len(self.rows) > CACHED:
+            self.forget()
             self.rows: dict[str, int] = {}
-            self.tables = {s: np.zeros((1, 3 * HIDDEN), np.float32) + self.p["B" + s] for s in "fb"}
+            self.tables = {s: np.zeros((1024, 3 * HIDDEN), np.float32) + self.p["B" + s] for s in "fb"}
         new = list({w for d in documents for w in d if w not in self.rows})
         if new:
-            x = self.inputs(new)
-            self.rows.update(zip(new, range(len(self.tables["f"]), len(self.tables["f"]) + len(new)), strict=True))
-            self.tables = {s: np.vstack([self.tables[s], x @ self.p["W" + s] + self.p["B" + s]]) for s in "fb"}
+            x, at = self.inputs(new), len(self.rows) + 1
+            while at + len(new) > len(self.tables["f"]):  # twice the room, so that rows are seldom copied
+                self.tables = {s: np.concatenate([t, np.empty_like(t)]) for s, t in self.tables.items()}
+            self.rows.update(zip(new, range(at, at + len(new)), strict=True))
+            for side, t in self.tables.items():
+                t[at : at + len(new)] = x @ self.p["W" + side] + self.p["B" + side]
         cuts, out = [], []
         for d in documents:
             ids = np.fromiter((self.rows[w] for w in d), np.int64, len(d))
@@ -212,8 +224,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 7) ->
                 m += 0.1 * (value - m)
                 v += 0.001 * (value * value - v)
                 net.p[name] -= (0.005 * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
-    for name in ("rows", "tables"):
-        net.__dict__.pop(name, None)
+    net.forget()
     return net
 
 
@@ -221,17 +232,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on the FIT_DOCS labelled documents with the least hash of doc_id, held-out ones never among them.
+def sampled(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
+    """(doc_id, y), the most labelled documents with the least hash of doc_id; only ids are shuffled.
 
-    Null labels and ids don't count; of several labels of a document the highest does.
+    A first cut of the hashes, by the count of all, leaves little more than that many to
+    sort, however many there are.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).filter(~held_out(F.col("doc_id")))
-    sample = docs.select("doc_id", "text").filter((F.length("text") <= FIT_CHARS) & ~held_out(F.col("doc_id"))).join(known, "doc_id")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_DOCS).select("text", "y").collect()
+    there = docs.filter((F.length("text") <= longest) & ~held_out(F.col("doc_id"))).select("doc_id")
+    own = known.join(there, "doc_id", "left_semi").withColumn("hash", F.xxhash64("doc_id"))
+    share = min(1.0, (1.2 * most + 200) / max(1, own.count()))
+    near = own.filter(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.orderBy(F.pmod("hash", F.lit(1 << 30)), "doc_id").limit(most).select("doc_id", "y")
+
+
+def trained(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS, longest: int = FIT_CHARS) -> Network:
+    """Fit on a bounded sample: the most labelled documents with the least hash of doc_id, held-out ones and those over longest code points never among them.
+
+    The ids are chosen first, and only their texts are gathered. Null labels and ids don't
+    count; of several labels of a document the highest does, of several texts the least.
+    """
+    ids = sampled(docs, labels, most, longest)
+    texts = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # most rows at most
+    rows = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [int(r.y) for r in rows])
 
 
+def scored(model: Network, texts: list[str | None]) -> list[float]:
+    """The highest score of all windows of each text; 0 for a null text or one without words."""
+    return [float(s.max()) if len(s) else 0.0 for s in model.scores([words_of(t) for t in texts])]
+
+
 def toxicity(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (columns doc_id, text; others are ignored).
 
@@ -240,12 +272,26 @@ def toxicity(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> D
     """
     net = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            scores = []
-            for at in range(0, len(x), 64):
-                scores += [float(s.max()) if len(s) else 0.0 for s in net.value.scores([words_of(t) for t in x.text[at : at + 64]])]
-            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "score": np.array(scores, float)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for x in slices(batches, 64):
+                yield pa.record_batch([x.column("doc_id"), pa.array(scored(net.value, x.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+        finally:
+            net.value.forget()
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text scores threshold or more, in one pass; all columns stay as they are."""
+    net = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for x in slices(batches, 64):
+                yield x.filter(pa.array([s < threshold for s in scored(net.value, x.column("text").to_pylist())]))
+        finally:
+            net.value.forget()
+
+    return docs.mapInArrow(run, docs.schema)
