@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,128}+(?![A-Za-z0-9_-])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]?)"
 
 #: Kinds in the order that sorts spans with the same start, with a confidence before context and the words that raise or lower it.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE_KINDS = KINDS[:4]
 CONTEXT = {
     "email": (0.9, r"(?i)\b(?:e-?mail|contact|mailto|write)\b", r"(?i)\b(?:example|noreply)\b"),
@@ -27,8 +30,13 @@ CONTEXT = {
     "card": (0.7, r"(?i)\b(?:card|visa|mastercard|amex|payment|credit|debit)\b", r"(?i)\b(?:order|isbn|serial|invoice|token)\b"),
     "phone": (0.7, r"(?i)\b(?:phone|tel|call|mobile|fax|whatsapp)\b", r"(?i)\b(?:order|serial|version)\b"),
     "iban": (0.8, r"(?i)\b(?:iban|bank|account|transfer)\b", r"(?i)\b(?:serial|code|key)\b"),
+    "secret": (0.55, r"(?i)\b(?:token|secret|password|passwd|auth|bearer|credential|api|key)\b", r"(?i)\b(?:sha|md5|commit|checksum|digest|hash|uuid)\b"),
 }
+#: Code points on either side that count as nearby; what a word of either sort changes; least scores of the kinds beyond the base, whose spans stand or fall by their context.
 REACH, STEP = 40, 0.1
+LEAST = {"iban": 0.75, "secret": 0.6}
+#: Matches whose places are counted together.
+BLOCK = 256
 
 
 def digits(text: Column) -> Column:
@@ -48,24 +56,6 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: (a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97) == 1
 
 
-def proposals(text: Column, pattern: str) -> Column:
-    """Leftmost matches that don't overlap, as an array of (start, end, match) in code points, ends exclusive.
-
-    What lies between the matches gives their places: split and extraction walk the text
-    in the same way.
-    """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.transform(found, lambda m: m).alias("m"), F.slice(between, 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.length(part["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), part["m"].alias("match")))).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda s: s["out"])
-
-
 def confirmed(kind: str, match: Column) -> Column:
     """The validator of a kind."""
     number = digits(match)
@@ -77,6 +67,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(number).between(10, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(match, " ", ""))
+    if kind == "secret":
+        return match.rlike("[A-Za-z]") & match.rlike("[0-9].*[0-9].*[0-9].*[0-9]")
     return F.lit(True)
 
 
@@ -88,19 +80,64 @@ def score(kind: str, text: Column, start: Column, end: Column) -> Column:
 
 
 #: A cheap test that a text can hold a kind at all.
-MAY_HOLD = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": ""}
+MAY_HOLD = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "secret": ""}
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once, however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def spans_of(kind: str, text: Column, pattern: str) -> Column:
-    """Confirmed spans of a kind, as an array of (start, rank, end, kind, score)."""
+    """Confirmed spans of a kind, as an array of (start, rank, end, kind, score); places are code points, ends exclusive.
+
+    Leftmost matches that don't overlap. What lies between the matches gives their places:
+    split and extraction walk the text in the same way. An array grows by copying, and
+    finding a place in a text walks it from its start; so places are counted in blocks of
+    BLOCK matches, and a match looks for its context in its block's part of the text. The
+    work is in proportion to the text and to the number of matches.
+    """
+    size = lambda p: F.length(p["gap"]) + F.length(p["m"])
+    places = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def located(part: Column, at: Column) -> Column:
+        def step(state: Column, p: Column) -> Column:
+            begin = state["at"] + F.length(p["gap"])
+            end = state["at"] + size(p)
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("match")))).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), places.alias("out")), step, lambda s: s["out"])
+
+    def scored(part: Column, at: Column) -> Column:
+        low = F.greatest(at - REACH, F.lit(0))
+        length = F.aggregate(part, F.lit(0), lambda a, p: a + size(p)) + (at - low) + REACH
+        good = F.filter(located(part, at), lambda p: confirmed(kind, p["match"]))
+        made = lambda local: F.transform(
+            good,
+            lambda p: F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, local, p["start"] - low, p["end"] - low).alias("score")),
+        )
+        return F.when(F.size(good) > 0, bound(text.substr(low + 1, length), made))
+
+    def blocks(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK))
+
+    def every(cut: Column) -> Column:
+        starts = F.aggregate(
+            F.transform(cut, lambda part: F.aggregate(part, F.lit(0), lambda a, p: a + size(p))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+        return F.flatten(F.filter(F.zip_with(cut, starts, scored), lambda x: x.isNotNull()))
+
+    def parts(found: Column) -> Column:
+        zipped = F.arrays_zip(F.transform(found, lambda m: m).alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+        return F.when(F.size(found) > 0, bound(zipped, lambda p: bound(blocks(p), every)))
+
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
-    kept = F.filter(proposals(text, pattern), lambda p: confirmed(kind, p["match"]))
-    made = F.transform(
-        kept,
-        lambda p: F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, text, p["start"], p["end"]).alias("score")),
-    )
-    test = F.contains(text, F.lit(MAY_HOLD[kind])) if MAY_HOLD[kind] else text.rlike("[0-9]{2}" if kind == "iban" else "[0-9]")
-    return F.when(test, made).otherwise(none)
+    test = F.contains(text, F.lit(MAY_HOLD[kind])) if MAY_HOLD[kind] else text.rlike({"iban": "[0-9]{2}", "secret": "[A-Za-z0-9_-]{32}"}.get(kind, "[0-9]"))
+    out = F.coalesce(F.when(test, bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), parts)), none)
+    return F.filter(out, lambda p: p["score"] >= LEAST[kind] - 1e-9) if kind in LEAST else out
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -109,10 +146,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found is the array of confirmed spans (start, rank, end, kind, score), sorted by start,
     then by the order of KINDS; a null or empty text has none. Spans of different kinds
     may overlap. A span that fails its validator is dropped and nothing inside it is tried
-    again. Besides the base kinds, an IBAN (mod 97) makes a span.
+    again. Besides the base kinds, an IBAN (mod 97) and a secret (a long run of letters and
+    digits) make spans, if their context leaves them the score of LEAST.
     """
     text = F.coalesce("text", F.lit(""))
-    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, IBAN), strict=True))
+    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, IBAN, SECRET), strict=True))
     each = docs.select("doc_id", text.alias("text"))
     found = each.select("doc_id", *(spans_of(kind, F.col("text"), pattern).alias(kind) for kind, pattern in patterns.items()))
     return found.select("doc_id", F.array_sort(F.concat(*KINDS)).alias("found"))

@@ -64,3 +64,22 @@ def test_iban_and_context(spark):
 
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secrets_stand_by_their_context(spark):
+    run = "bed4d44cf2780ed3ef0cb916120773181bc8de67"
+    rows = [(1, f'token = "{run}"'), (2, f'commit hash {run} of'), (3, f"x {run} y"), (4, "token " + "a" * 40), (5, "token " + run * 5)]
+    found = {r.doc_id: [s.kind for s in r.found] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["secret"], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    import time
+
+    text = "write a.b@c.de to " + "me@you.org 1.2.3.4 " * 50_000
+    start = time.perf_counter()
+    got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - start < 60
+    want = brute(text)
+    assert (got.n_email, got.n_ip) == (50_001, 50_000)
+    assert got.base_sha256 == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want).encode()).hexdigest()
