@@ -79,9 +79,10 @@ def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
 def repaired(rows: DataFrame) -> DataFrame:
     """One row for each row of rows (columns conv_id, turn, role, text): the action, the role put out and the rendered piece.
 
-    Out: conv_id, turn, role, text as given, action (append or merge), out_role, inserted
-    (roles of the empty turns before), cost (of this turn, closing turns included) and
-    piece; the pieces of a conversation, in order of (turn, role, text), make its rendering.
+    Out: conv_id, turn, role, text as given, pos, action (append or merge), out_role,
+    inserted (roles of the empty turns before), cost (of this turn, closing turns
+    included) and piece; the pieces of a conversation in order of pos make its rendering.
+    pos follows turn, then role, then the hash of the text; it is no count.
     A role is compared without case and outer blanks; an unknown or null one is relabelled,
     which costs as any relabelling. A null text is empty, a null conv_id is a conversation
     of its own, a null turn comes first, and repeated rows are turns of their own.
@@ -90,12 +91,14 @@ def repaired(rows: DataFrame) -> DataFrame:
     cut into blocks of 2**BITS rows at most. Costs of the automaton form a (min, +)
     matrix product, which is associative: each block gives one 4 by 4 matrix, blocks are
     combined in a tree of that fan-in, and the states at the blocks' borders come down it.
+    The blocks hold codes alone; texts, which may be long, meet their row's head and tail
+    in a join on pos.
     """
     role = F.lower(F.trim(F.col("role")))
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES[1:])), role), F.lit(0)).cast("int")
     own = rows.select("conv_id", "turn", "role", "text", code.alias("code"), F.xxhash64("text").alias("salt"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = own.repartitionByRange(n, "conv_id", "turn", "role", "salt").sortWithinPartitions("conv_id", "turn", "role", "text").drop("salt")
+    own = own.repartitionByRange(n, "conv_id", "turn", "role", "salt").sortWithinPartitions("conv_id", "turn", "role", "salt").drop("salt")
     own = stored(own.withColumn("pos", F.monotonically_increasing_id()).withColumn("block", F.shiftright("pos", BITS)), "turns")
 
     def costs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,33 +151,34 @@ def repaired(rows: DataFrame) -> DataFrame:
         found = stored(whole, "borders")
 
     at = found.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "entry", "leave", "last")
-    joined = own.join(at, own.conv_id.eqNullSafe(F.col("_c")) & (own.block == F.col("_b"))).drop("_c", "_b")
+    joined = own.select("conv_id", "pos", "code", "block").join(at, own.conv_id.eqNullSafe(F.col("_c")) & (own.block == F.col("_b"))).drop("_c", "_b")
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("pos"), []
         for _, g in pdf.groupby("conv_id", dropna=False, sort=False):
             given = g.code.tolist()
             states = path([moves(r)[0] for r in given], int(g.entry.iloc[0]), int(g.leave.iloc[0]))
-            for k, (row, text) in enumerate(zip(g.pos, g.text, strict=True)):
+            for k, row in enumerate(g.pos):
                 s, t = states[k], states[k + 1]
                 cost, (action, added) = moves(given[k])[0][s, t], moves(given[k])[1][s, t]
                 closing = CLOSE[t] if k == len(g) - 1 and g["last"].iloc[0] else None
-                out.append((row, action, ROLES[t], [ROLES[x] for x in added], int(cost) + INSERT * len(closing or []), piece(s, t, action, added, text or "", closing)))
-        return pd.DataFrame(out, columns=["pos", "action", "out_role", "inserted", "cost", "piece"]).merge(pdf[["pos", "conv_id", "turn", "role", "text"]].astype({"conv_id": "Int64", "turn": "Int64"}), on="pos")
+                out.append((row, action, ROLES[t], [ROLES[x] for x in added], int(cost) + INSERT * len(closing or []), *around(s, t, action, added, closing)))
+        return pd.DataFrame(out, columns=["pos", "action", "out_role", "inserted", "cost", "head", "tail"])
 
-    out = "pos long, conv_id long, turn long, role string, text string, action string, out_role string, inserted array<string>, cost long, piece string"
-    return joined.groupBy("block").applyInPandas(render, out).drop("pos")
+    made = joined.groupBy("block").applyInPandas(render, "pos long, action string, out_role string, inserted array<string>, cost long, head string, tail string")
+    piece = F.concat("head", F.coalesce("text", F.lit("")), "tail")
+    return own.select("conv_id", "turn", "role", "text", "pos").join(made, "pos").select("conv_id", "turn", "role", "text", "pos", "action", "out_role", "inserted", "cost", piece.alias("piece"))
 
 
 def head(role: int) -> str:
     return f"<|{ROLES[role]}|>\n"
 
 
-def piece(before: int, role: int, action: str, added: list[int], text: str, closing: list[int] | None) -> str:
-    """What a turn adds to the rendering; a turn's end is written by what comes after it, or by the closing."""
+def around(before: int, role: int, action: str, added: list[int], closing: list[int] | None) -> tuple[str, str]:
+    """What a turn adds to the rendering before and after its text; a turn's end is written by what comes after it, or by the closing."""
     end = "<|end|>\n"
     if action == "merge":
-        out = "\n\n" + text
+        first = "\n\n"
     else:
-        out = (end if before != START else "") + "".join(head(x) + end for x in added) + head(role) + text
-    return out if closing is None else out + end + "".join(head(x) + end for x in closing)
+        first = (end if before != START else "") + "".join(head(x) + end for x in added) + head(role)
+    return first, "" if closing is None else end + "".join(head(x) + end for x in closing)
