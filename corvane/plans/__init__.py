@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation")
+FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation", "graph")
 
 
 def load() -> None:

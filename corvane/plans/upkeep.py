@@ -36,13 +36,6 @@ def agg_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("gr_1", "SELECT node, count(*) AS degree FROM (SELECT 'part:' || l_partkey AS node FROM lineitem UNION ALL SELECT 'supplier:' || l_suppkey FROM lineitem) GROUP BY node")
-def gr_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees: both ends from one scan of the edges."""
-    ends = F.array(F.concat(F.lit("part:"), F.col("l_partkey")), F.concat(F.lit("supplier:"), F.col("l_suppkey")))
-    return table(spark, sf_dir, "lineitem").select(F.explode(ends).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-
-
 @query("win_9", "SELECT conv_id, turn, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def win_9(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
