@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from corvane import catalog
 
-HEADLINE = ["chk_2", "txt_1", "sp_1", "sp_2", "ev_1", "dn_2", "fu_2", "fu_6", "sel_1", "ing_1", "ing_5", "gr_1"]
+HEADLINE = ["chk_2", "txt_1", "sp_1", "sp_2", "ev_1", "dn_2", "fu_2", "fu_6", "sel_1", "ing_1", "ing_5", "gr_1", "gr_5", "ltr_1", "chk_9", "lx_4"]
 
 
 def main() -> None:

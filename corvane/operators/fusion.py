@@ -6,12 +6,16 @@ where a channel misses. All windows are within a query, so they share one exchan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Scores closer than this are one bucket of the order.
 EPSILON = 3.8e-7
-QUERY = Window.partitionBy("query_id")
+
+
+def per_query() -> WindowSpec:
+    """The window of a query's items; made when a plan is, as it needs a session."""
+    return Window.partitionBy("query_id")
 
 
 def outer(dense: DataFrame, sparse: DataFrame, name: str = "sparse", left: str = "dense") -> DataFrame:
@@ -23,20 +27,20 @@ def outer(dense: DataFrame, sparse: DataFrame, name: str = "sparse", left: str =
 def min_max(name: str, missing: float | Column = 0.0) -> Column:
     """WIN-4, FU-1: within the query's pool; a constant channel is 0.5."""
     x = F.col(name)
-    low, high = F.min(x).over(QUERY), F.max(x).over(QUERY)
+    low, high = F.min(x).over(per_query()), F.max(x).over(per_query())
     return F.when(x.isNull(), missing).when(high - low < 1e-12, 0.5).otherwise((x - low) / (high - low))
 
 
 def z_score(name: str) -> Column:
     """WIN-5: within the query's channel; 0 for a constant one, null for a miss."""
     x = F.col(name)
-    sd = F.stddev_pop(x).over(QUERY)
-    return F.when(x.isNull(), None).when(sd < 1e-12, 0.0).otherwise((x - F.avg(x).over(QUERY)) / sd)
+    sd = F.stddev_pop(x).over(per_query())
+    return F.when(x.isNull(), None).when(sd < 1e-12, 0.0).otherwise((x - F.avg(x).over(per_query())) / sd)
 
 
 def floor(name: str) -> Column:
     """FU-3: the norm of a miss, one evenly spaced rank below the least of the channel's n items; 0 for an empty channel."""
-    n = F.count(name).over(QUERY)
+    n = F.count(name).over(per_query())
     return F.when(n > 0, -1.0 / (n + 1)).otherwise(0.0)
 
 
@@ -70,21 +74,21 @@ def fused(pool: DataFrame, alpha: float = 0.5, mode: str = "zscore", bonus: floa
 
 def ranked(scored: DataFrame, mode: str = "zscore") -> DataFrame:
     """FU-10: the rank anew, after a change of score."""
-    return scored.withColumn("rank", F.row_number().over(QUERY.orderBy(*order(mode=mode))))
+    return scored.withColumn("rank", F.row_number().over(per_query().orderBy(*order(mode=mode))))
 
 
 def weighted(pool: DataFrame, weights: dict[str, float]) -> DataFrame:
     """FU-4, FU-5: the weighted sum of any number of channels' norms, ties by id ascending."""
     score = sum((w * min_max(name) for name, w in weights.items()), F.lit(0.0))
     scored = pool.withColumn("score", score)
-    return scored.withColumn("rank", F.row_number().over(QUERY.orderBy(F.desc("score"), "item_id")))
+    return scored.withColumn("rank", F.row_number().over(per_query().orderBy(F.desc("score"), "item_id")))
 
 
 def reciprocal(pool: DataFrame, weights: dict[str, float], k: int = 60, deepest: int | None = None) -> DataFrame:
     """FU-6: reciprocal rank fusion; each channel's rank in one pass, misses sorted last and not counted, ranks beyond deepest neither."""
     total = F.lit(0.0)
     for name, w in weights.items():
-        rank = F.row_number().over(QUERY.orderBy(F.desc_nulls_last(name), "item_id"))
+        rank = F.row_number().over(per_query().orderBy(F.desc_nulls_last(name), "item_id"))
         there = F.col(name).isNotNull() & (F.lit(True) if deepest is None else rank <= deepest)
         total = total + F.when(there, w / (k + rank)).otherwise(0.0)
     return pool.withColumn("score", total)
@@ -101,7 +105,7 @@ def with_tail(top: DataFrame, tail: DataFrame, limit: int, most: int, score: Col
     made of the tail's column score.
     """
     extra = tail.join(top.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    extra = extra.withColumn("n", F.row_number().over(QUERY.orderBy(F.desc("score"), "item_id"))).filter(F.col("n") <= most)
+    extra = extra.withColumn("n", F.row_number().over(per_query().orderBy(F.desc("score"), "item_id"))).filter(F.col("n") <= most)
     head = first_of(top, limit).select("query_id", "item_id", "score", "rank")
     return head.unionByName(extra.select("query_id", "item_id", score.alias("score"), (F.lit(limit) + F.col("n")).alias("rank")))
 
@@ -129,14 +133,14 @@ def diverse(scored: DataFrame, limit: int, cap: int = 2, penalty: float = 0.05)
     """SEL-1, WIN-1: the score less penalty for each better item of the source; cap of a source first, the others fill up; ties keep the fused rank."""
     s = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "rank")) - 1)
     s = s.withColumn("adjusted", F.col("score") - penalty * F.col("n"))
-    chosen = F.row_number().over(QUERY.orderBy(F.col("n") >= cap, F.desc("adjusted"), F.desc("score"), "rank"))
+    chosen = F.row_number().over(per_query().orderBy(F.col("n") >= cap, F.desc("adjusted"), F.desc("score"), "rank"))
     return s.withColumn("chosen", chosen).filter(F.col("chosen") <= limit)
 
 
 def capped(scored: DataFrame, by: str, cap: int, limit: int) -> DataFrame:
     """SEL-2, WIN-7: the first limit of the ranked items, cap of each value of a column at most."""
     s = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", by).orderBy("rank"))).filter(F.col("n") <= cap)
-    return s.withColumn("chosen", F.row_number().over(QUERY.orderBy("rank"))).filter(F.col("chosen") <= limit)
+    return s.withColumn("chosen", F.row_number().over(per_query().orderBy("rank"))).filter(F.col("chosen") <= limit)
 
 
 def suffix_matches(paths: DataFrame, hits: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation", "graph", "structure")
+FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation", "graph", "structure", "sources")
 
 
 def load() -> None:

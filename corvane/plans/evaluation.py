@@ -201,7 +201,7 @@ def ev_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of documents in a window of the first five parts."""
     first = run_of(spark, sf_dir).filter("rank <= 5").groupBy("query_id", (F.col("item_id") % 7).alias("doc")).agg(F.min("rank").alias("r"))
-    return first.select("query_id", "doc", F.row_number().over(U.QUERY.orderBy("r")).alias("ord"))
+    return first.select("query_id", "doc", F.row_number().over(U.per_query().orderBy("r")).alias("ord"))
 
 
 @query("ev_15", f"WITH {NOTES} SELECT doc_id, contains(lower(note), 'q7x42') AND (contains(lower(note), lower(source)) OR contains(lower(note), 'deep ' || (doc_id + 1))) AS answered FROM notes")
@@ -320,11 +320,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fused(spark, sf_dir).join(channel(spark, sf_dir, "grep").withColumnRenamed("score", "grep"), ["query_id", "item_id"], "left")
     own = own.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name"), "item_id")
     out = {f"{c}_norm": U.min_max(c) for c in ("dense", "sparse", "grep")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dense", "sparse", "grep")}
-    out |= {"fused": F.col("score"), "gap": F.max("score").over(U.QUERY) - F.col("score"), "base_rr": 1.0 / F.col("rank")}
+    out |= {"fused": F.col("score"), "gap": F.max("score").over(U.per_query()) - F.col("score"), "base_rr": 1.0 / F.col("rank")}
     out["channels"] = sum((F.col(c).isNotNull().cast("double") for c in ("dense", "sparse", "grep")), F.lit(0.0))
     out |= {"log_chars": F.log1p(F.length("p_name")), "code": T.is_code(F.col("p_name")).cast("double")}
     for c in ("dense", "sparse", "grep"):
-        out[f"{c}_rr"] = F.when(F.col(c).isNull(), 0.0).otherwise(1.0 / F.row_number().over(U.QUERY.orderBy(F.desc_nulls_last(c), "item_id")))
+        out[f"{c}_rr"] = F.when(F.col(c).isNull(), 0.0).otherwise(1.0 / F.row_number().over(U.per_query().orderBy(F.desc_nulls_last(c), "item_id")))
     return own.select("query_id", "item_id", "rank", *(v.alias(k) for k, v in out.items()))
 
 
@@ -358,7 +358,7 @@ def ltr_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rr_5", f"{_MODEL} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score / 1e-9::DOUBLE, 0) DESC, item_id)::INT AS place FROM y")
 def rr_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items in order of the learnt score."""
-    return learnt(spark, sf_dir).select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.desc(F.rint(F.col("score") / 1e-9)), "item_id")).alias("place"))
+    return learnt(spark, sf_dir).select("query_id", "item_id", F.row_number().over(U.per_query().orderBy(F.desc(F.rint(F.col("score") / 1e-9)), "item_id")).alias("place"))
 
 
 _GRADE = "CASE WHEN l_linenumber = 1 THEN 2 WHEN l_linenumber <= 3 THEN 1 ELSE 0 END"
@@ -385,8 +385,8 @@ def ltr_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ltr_7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nDCG with linear gain of the learnt and of the fused order."""
-    label = F.row_number().over(U.QUERY.orderBy(F.desc("label"), "item_id"))
-    place = F.row_number().over(U.QUERY.orderBy(F.desc(F.rint(F.col("score") / 1e-9)), "item_id"))
+    label = F.row_number().over(U.per_query().orderBy(F.desc("label"), "item_id"))
+    place = F.row_number().over(U.per_query().orderBy(F.desc(F.rint(F.col("score") / 1e-9)), "item_id"))
     own = learnt(spark, sf_dir).join(ltr_4(spark, sf_dir), ["query_id", "item_id"]).withColumns({"place": place, "best": label})
     gain = lambda by: F.coalesce(F.sum(F.when(F.col(by) <= 3, F.col("label") / F.log2(F.col(by) + 1))), F.lit(0.0))
     each = own.groupBy("query_id").agg(gain("place").alias("m"), gain("rank").alias("b"), gain("best").alias("i")).filter("i > 0")

@@ -100,12 +100,12 @@ def jn_6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_2", f"WITH {CHANNELS} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, item_id)::INT AS rank FROM pool WHERE dense IS NOT NULL")
 def win_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool(spark, sf_dir).filter("dense is not null").select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.desc("dense"), "item_id")).alias("rank"))
+    return pool(spark, sf_dir).filter("dense is not null").select("query_id", "item_id", F.row_number().over(U.per_query().orderBy(F.desc("dense"), "item_id")).alias("rank"))
 
 
 @query("win_3", f"WITH {CHANNELS} SELECT query_id, item_id, max(dense) OVER (PARTITION BY query_id) - dense AS gap FROM pool")
 def win_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool(spark, sf_dir).select("query_id", "item_id", (F.max("dense").over(U.QUERY) - F.col("dense")).alias("gap"))
+    return pool(spark, sf_dir).select("query_id", "item_id", (F.max("dense").over(U.per_query()) - F.col("dense")).alias("gap"))
 
 
 for _name in ("win_4", "fu_1"):
@@ -129,7 +129,7 @@ def agg_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source once, where it comes first."""
     first = fused(spark, sf_dir).groupBy("query_id", "source").agg(F.min("rank").alias("r"))
-    return first.select("query_id", "source", F.row_number().over(U.QUERY.orderBy("r")).alias("rank"))
+    return first.select("query_id", "source", F.row_number().over(U.per_query().orderBy("r")).alias("rank"))
 
 
 _CAPPED = f"{FUSED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM fused), d AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS chosen FROM c WHERE n <= 2) SELECT * FROM d WHERE chosen <= 5"
@@ -230,7 +230,7 @@ def fu_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stale and old items lose score; equal ones keep their order. The day of reference is a parameter."""
     day = F.when(F.col("item_id") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_id") % 700).cast("int")))
     own = fused(spark, sf_dir).withColumn("score", U.superseded(F.col("score"), F.col("item_id") % 7 == 0, day, F.lit("2025-06-01").cast("date")))
-    return own.select("query_id", "item_id", "score", F.row_number().over(U.QUERY.orderBy(F.desc("score"), "rank")).alias("rank"))
+    return own.select("query_id", "item_id", "score", F.row_number().over(U.per_query().orderBy(F.desc("score"), "rank")).alias("rank"))
 
 
 @query("fu_10", f"{FUSED}, s AS (SELECT query_id, item_id, tie, score + 0.1::DOUBLE * (item_id % 2) AS score FROM fused) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY {EPS} DESC, tie DESC, item_id DESC)::INT AS rank FROM s")
@@ -241,7 +241,7 @@ def fu_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fu_12", f"{FUSED} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id % 7 = 0, rank)::INT AS rank FROM fused")
 def fu_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged items after all others, each group in its order."""
-    return fused(spark, sf_dir).select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.col("item_id") % 7 == 0, "rank")).alias("rank"))
+    return fused(spark, sf_dir).select("query_id", "item_id", F.row_number().over(U.per_query().orderBy(F.col("item_id") % 7 == 0, "rank")).alias("rank"))
 
 
 @query("top_4", f"{FUSED} SELECT query_id, item_id, rank FROM fused WHERE rank <= 3")
@@ -274,7 +274,7 @@ def sel_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item of each text (here: brand); those that come next fill up."""
     key = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_brand")
     first = fused(spark, sf_dir).join(key, "item_id").groupBy("query_id", "p_brand").agg(F.min(F.struct("rank", "item_id")).alias("b"))
-    return first.select("query_id", F.col("b.item_id").alias("item_id"), F.row_number().over(U.QUERY.orderBy("b.rank")).alias("chosen")).filter("chosen <= 3")
+    return first.select("query_id", F.col("b.item_id").alias("item_id"), F.row_number().over(U.per_query().orderBy("b.rank")).alias("chosen")).filter("chosen <= 3")
 
 
 @query("sel_3")
@@ -291,7 +291,7 @@ _RERANK = "row_number() OVER (PARTITION BY query_id ORDER BY (item_id * 7919) %
 @query("rr_2")
 def rr_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The margin-guarded blend: no SQL, a plain loop in the tests."""
-    order = F.row_number().over(U.QUERY.orderBy((F.col("item_id") * 7919) % 1009, "item_id"))
+    order = F.row_number().over(U.per_query().orderBy((F.col("item_id") * 7919) % 1009, "item_id"))
     return U.blended(fused(spark, sf_dir).withColumn("rerank", order))
 
 
@@ -304,9 +304,9 @@ def rr_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rr_4", f"{FUSED}, r AS (SELECT *, CASE WHEN item_id % 3 <> 0 THEN {_RERANK} END AS rr FROM fused) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rr IS NULL, rr, rank)::INT AS place FROM r")
 def rr_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reranker returned, in its order, then the rest in the fused one."""
-    rr = F.when(F.col("item_id") % 3 != 0, F.row_number().over(U.QUERY.orderBy((F.col("item_id") * 7919) % 1009, "item_id")))
+    rr = F.when(F.col("item_id") % 3 != 0, F.row_number().over(U.per_query().orderBy((F.col("item_id") * 7919) % 1009, "item_id")))
     own = fused(spark, sf_dir).withColumn("rr", rr)
-    return own.select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(F.asc_nulls_last("rr"), "rank")).alias("place"))
+    return own.select("query_id", "item_id", F.row_number().over(U.per_query().orderBy(F.asc_nulls_last("rr"), "rank")).alias("place"))
 
 
 @query("rr_1", f"{FUSED}, v AS (SELECT query_id, count(*) AS n, count(DISTINCT item_id % 11) AS seen, bool_or(item_id % 11 >= 9) AS far FROM fused GROUP BY query_id) SELECT query_id, CASE WHEN far THEN 'index out of range' WHEN seen < n THEN 'index repeated' ELSE 'ok' END AS reason FROM v")

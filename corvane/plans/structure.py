@@ -191,7 +191,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ctx_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of two lists, each item once; the fused score goes before that of the graph's place."""
     own = hits(spark, sf_dir)
-    graph = own.filter("item_id % 2 = 0").select("query_id", "item_id", (0.5 / F.row_number().over(U.QUERY.orderBy("item_id"))).alias("g"))
+    graph = own.filter("item_id % 2 = 0").select("query_id", "item_id", (0.5 / F.row_number().over(U.per_query().orderBy("item_id"))).alias("g"))
     both = own.filter("item_id % 3 > 0").select("query_id", "item_id", "score").join(graph, ["query_id", "item_id"], "full")
     return both.select("query_id", "item_id", F.coalesce("score", "g").alias("score"), F.col("g").isNotNull().alias("graph"))
 
@@ -201,7 +201,7 @@ def ctx_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of pieces: flagged ones last, each repeat of a document less."""
     own = hits(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "rank")) - 1)
     order = [F.col("item_id") % 7 == 0, F.desc(F.rint((F.col("score") - 0.05 * F.col("n")) / 1e-9)), F.col("rank")]
-    return own.select("query_id", "item_id", F.row_number().over(U.QUERY.orderBy(*order)).alias("place"))
+    return own.select("query_id", "item_id", F.row_number().over(U.per_query().orderBy(*order)).alias("place"))
 
 
 @query("ctx_3", f"{_HITS}, k AS (SELECT * FROM hits WHERE NOT (length(content) < 12 AND item_id % 2 = 1)), r AS (SELECT DISTINCT query_id, path FROM hits) SELECT query_id, path FROM r WHERE (query_id, path) IN (SELECT (query_id, path) FROM k)")
