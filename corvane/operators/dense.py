@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.lists import each_list
+
 #: Asked vectors of a block: what one task holds besides its own batch.
 BLOCK = 1024
 
@@ -73,17 +75,15 @@ def spread(ranked: DataFrame, most: float, limit: int) -> DataFrame:
     Each choice needs the ones before; a query's ranked list is bounded by its top k.
     """
     import numpy as np
-    import pandas as pd
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept = pdf.sort_values("rank"), []
-        rows = list(zip(pdf.vec_id, pdf.v, strict=True))
-        for vec, v in rows:
-            if len(kept) < limit and all(float(np.dot(v, w)) < most for _, w in kept):
-                kept.append((vec, v))
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "vec_id": [x for x, _ in kept], "chosen": np.arange(1, len(kept) + 1, dtype=np.int32)})
+    def choose(own: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for row in own:
+            if len(kept) < limit and all(float(np.dot(row["v"], k["v"])) < most for k in kept):
+                kept.append(row)
+        return [{"vec_id": r["vec_id"], "chosen": n} for n, r in enumerate(kept, 1)]
 
-    return ranked.select("query_id", "vec_id", "rank", "v").groupBy("query_id").applyInPandas(choose, "query_id long, vec_id long, chosen int")
+    return each_list(ranked, "query_id", ["rank", "vec_id", "v"], choose, "query_id long, vec_id long, chosen int")
 
 
 def update_plan(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from corvane.operators.lists import each_list
+
 #: Scores closer than this are one bucket of the order.
 EPSILON = 3.8e-7
 
@@ -162,21 +164,19 @@ def relevant_and_different(items: DataFrame, weight: float = 0.7, pool: int = 15
     the ones before, so a query's pool, bounded by pool rows, goes to one Arrow function.
     """
     import numpy as np
-    import pandas as pd
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        v, gain = np.stack(pdf.v.to_numpy()), pdf.score.to_numpy(float)
+    def choose(own: list[dict]) -> list[dict]:
+        own = own[:pool]
+        v, gain = np.array([r["v"] for r in own], float), np.array([r["score"] for r in own], float)
         gain = (gain - gain.min()) / np.ptp(gain) if np.ptp(gain) > 0 else np.full(len(gain), 0.5)
-        near, left, out = np.full(len(pdf), -np.inf), list(range(len(pdf))), []
+        near, left, out = np.full(len(own), -np.inf), list(range(len(own))), []
         while left and len(out) < limit:
             worth = [weight * gain[k] - (1 - weight) * (near[k] if out else 0.0) for k in left]
             out.append(left.pop(int(np.argmax(worth))))
             near = np.maximum(near, v @ v[out[-1]])
-        return pd.DataFrame({"query_id": pdf.query_id[out].to_numpy(), "item_id": pdf.item_id[out].to_numpy(), "chosen": np.arange(1, len(out) + 1, dtype=np.int32)})
+        return [{"item_id": own[k]["item_id"], "chosen": n} for n, k in enumerate(out, 1)]
 
-    few = items.filter(F.col("rank") <= pool).select("query_id", "item_id", "rank", "score", "v")
-    return few.groupBy("query_id").applyInPandas(choose, "query_id long, item_id long, chosen int")
+    return each_list(items.filter(F.col("rank") <= pool), "query_id", ["rank", "item_id", "score", "v"], choose, "query_id long, item_id long, chosen int")
 
 
 def blended(items: DataFrame, margin: float = 0.15) -> DataFrame:
@@ -186,17 +186,14 @@ def blended(items: DataFrame, margin: float = 0.15) -> DataFrame:
     insertion sort depends on its own steps, so each query's pool, a bounded list, goes to
     one Arrow function.
     """
-    import pandas as pd
-
-    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank").to_dict("records")
+    def sort(rows: list[dict]) -> list[dict]:
         out: list[dict] = []
         for row in rows:
             at = len(out)
             while at and row["rerank"] < out[at - 1]["rerank"] and abs(out[at - 1]["score"] - row["score"]) < margin:
                 at -= 1
             out.insert(at, row)
-        return pd.DataFrame({"query_id": [r["query_id"] for r in out], "item_id": [r["item_id"] for r in out], "place": range(1, len(out) + 1)}).astype({"place": "int32"})
+        return [{"item_id": r["item_id"], "place": n} for n, r in enumerate(out, 1)]
 
     own = items.select("query_id", "item_id", "rank", "score", F.coalesce(F.col("rerank").cast("double"), F.lit(1e9)).alias("rerank"))
-    return own.groupBy("query_id").applyInPandas(sort, "query_id long, item_id long, place int")
+    return each_list(own, "query_id", ["rank", "item_id", "score", "rerank"], sort, "query_id long, item_id long, place int")

@@ -9,6 +9,7 @@ from corvane.catalog import query, table
 from corvane.functions import text as T
 from corvane.operators import chunking as C
 from corvane.operators import fusion as U
+from corvane.operators.lists import each_list
 from corvane.operators.evaluation import percentiles
 from corvane.plans.fixtures import NOTES, notes
 from corvane.plans.ranking import FUSED, fused
@@ -219,24 +220,22 @@ def rendered(pieces: DataFrame, per_doc: int, total: int, least: int) -> DataFra
     left, or it doesn't fit, it is skipped, and takes no room. What fits depends on the
     pieces before, so a query's ranked pool, which is bounded, goes to one function.
     """
-    import pandas as pd
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(rows: list[dict]) -> list[dict]:
         used, left, out = {}, total, []
-        for row in pdf.sort_values("rank").itertuples():
-            room = min(per_doc - used.get(row.path, 0), left)
-            text = row.content
+        for row in rows:
+            room = min(per_doc - used.get(row["path"], 0), left)
+            text = row["content"]
             if len(text) > room:
                 cut = text[: max(0, room)]
                 text = cut[: cut.rfind("\n")] if "\n" in cut else ""
                 if len(text) < least:
                     continue
-            used[row.path] = used.get(row.path, 0) + len(text)
+            used[row["path"]] = used.get(row["path"], 0) + len(text)
             left -= len(text)
-            out.append((row.query_id, row.item_id, len(out) + 1, text))
-        return pd.DataFrame(out, columns=["query_id", "item_id", "place", "text"])
+            out.append({"item_id": row["item_id"], "place": len(out) + 1, "text": text})
+        return out
 
-    return pieces.select("query_id", "item_id", "rank", "path", "content").groupBy("query_id").applyInPandas(fill, "query_id long, item_id long, place int, text string")
+    return each_list(pieces, "query_id", ["rank", "item_id", "path", "content"], fill, "query_id long, item_id long, place int, text string")
 
 
 @query("ctx_4")
