@@ -10,12 +10,17 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PIECE_LEAF, TEXT_LEAF, CACHED, NEVER = 16, 1 << 16, 300_000, 1 << 62
+from corvane.llm.scratch import slices
+
+#: Bytes of a match, and code points of a text, up to which nothing is halved.
+PIECE_LEAF, TEXT_LEAF = 2, 1 << 12
+#: Matches (twice, in two generations), pairs of tokens, and stretches of up to PART bytes that a worker remembers.
+CACHED, PAIRS, PARTS, PART, NEVER = 100_000, 60_000, 60_000, 8, 1 << 62
 
 
 class ByteBPE:
@@ -27,16 +32,26 @@ class ByteBPE:
     cross it in the encoding of the two alone. So a join looks at the two tokens at the
     seam; if they aren't stable it encodes a window around the seam, and the window grows
     until its outer neighbours are stable beside it.
+
+    reach says how many code points from its start the pattern may read to choose among
+    its alternatives, beyond a match's own last character and the one after it (3 for
+    contractions such as 're and single look-ahead at the end). It decides which matches
+    of the left half of a text stand. None: unknown, and texts are matched whole.
     """
 
-    def __init__(self, path: str, pattern: str, piece_leaf: int = PIECE_LEAF, text_leaf: int = TEXT_LEAF):
+    def __init__(self, path: str, pattern: str, reach: int | None = None, piece_leaf: int = PIECE_LEAF, text_leaf: int = TEXT_LEAF):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {b: a for a, b in self.ranks.items()}
-        self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         self.find = regex.compile(pattern)
-        self.piece_leaf, self.text_leaf = max(1, piece_leaf), max(8, text_leaf)
-        self.stable = lru_cache(CACHED)(lambda a, b: self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
+        self.reach, self.piece_leaf, self.text_leaf = reach, max(1, piece_leaf), max(8, text_leaf)
+        self.pair = lru_cache(PAIRS)(lambda a, b: self.merged(self.bytes_of[a] + self.bytes_of[b]))
+        self.forget()
+
+    def forget(self) -> None:
+        """Free what is remembered."""
+        self.pair.cache_clear()
+        self.parts: dict[bytes, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -81,24 +96,39 @@ class ByteBPE:
             i = end[i]
         return out
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether two tokens, side by side, encode to just these two."""
+        return self.pair(a, b) == [a, b]
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation on the tokens of two neighbouring stretches of one match."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        window, width = self.pair(left[-1], right[0]), 1
+        if window[0] == left[-1] and len(window) == 2:
             return left + right
-        width = 1
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            if width > 1:
+                window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.stable(left[i - 1], window[0])) and (j == len(right) or self.stable(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             width *= 2
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        """The tokens of a stretch of one match: halves are encoded, then joined. Leaves are merged by the library's loop."""
-        if len(data) <= self.piece_leaf:
-            return self.leaf(data)
-        half = len(data) // 2
-        return self.joined(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        """The tokens of a stretch of one match: halves are encoded, then joined; leaves are merged plainly. Short stretches, which come again in other matches, are remembered."""
+        found = self.parts.get(data)
+        if found is None:
+            if len(data) <= self.piece_leaf:
+                found = self.merged(data)
+            else:
+                half = len(data) // 2
+                found = self.joined(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            if len(data) <= PART:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                self.parts[data] = found
+        return found
 
     def packed(self, text: str) -> bytes:
         """The ids of one match as little-endian unsigned 32-bit integers; remembered, if short, in two generations of a bounded cache."""
@@ -117,13 +147,13 @@ class ByteBPE:
     def settled(self, spans: list[tuple[int, int]], length: int) -> int:
         """How many matches of a left part stand whatever follows: none of them looked at the end of the part."""
         n = len(spans)
-        while n and (spans[n - 1][1] >= length or spans[n - 1][0] + 3 > length):
+        while n and (spans[n - 1][1] >= length or spans[n - 1][0] + self.reach > length):
             n -= 1
         return n
 
     def matches(self, text: str) -> list[tuple[int, int]]:
         """The pattern's matches in a text, as (start, end): halves are matched, then joined at their seam."""
-        if len(text) <= self.text_leaf:
+        if len(text) <= self.text_leaf or self.reach is None:
             return [m.span() for m in self.find.finditer(text)]
         half = len(text) // 2
         left, right = self.matches(text[:half]), self.matches(text[half:])
@@ -154,29 +184,39 @@ class ByteBPE:
         return b"".join(parts)
 
 
-@lru_cache(2)
-def loaded(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+@lru_cache(1)
+def loaded(path: str, pattern: str, reach: int | None) -> ByteBPE:
+    return ByteBPE(path, pattern, reach)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
-    """Encode each whole text and decode it again: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256).
+def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, reach: int | None = None) -> DataFrame:
+    """Encode each whole text and decode it again: (doc_id, n_tokens, ids_sha256, decoded_sha256, ids).
 
     One row for each row of docs (columns doc_id, text; others are ignored). A null or
     empty text has no tokens and the digests of no bytes. ids_sha256 is of the ids as
-    little-endian unsigned 32-bit integers. ids=False leaves the column out.
+    little-endian unsigned 32-bit integers. ids=False leaves the column out. reach: see
+    ByteBPE; without it long texts are matched in one go.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, sha = loaded(path, pattern), hashlib.sha256
-        for x in batches:
-            rows = []
-            for text in x.text:
-                packed = coder.encode_packed(text or "")
-                tokens = np.frombuffer(packed, "<u4")
-                row = (len(tokens), sha(packed).hexdigest(), sha(coder.decode(tokens.tolist())).hexdigest())
-                rows.append((*row, tokens.astype(np.int32)) if ids else row)
-            yield x[["doc_id"]].assign(**dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pd.DataFrame(columns=["doc_id", *names])
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, sha = loaded(path, pattern, reach), hashlib.sha256
+        try:
+            for x in slices(batches):
+                sizes, first, second, every = [], [], [], []
+                for text in x.column("text").to_pylist():
+                    packed = coder.encode_packed(text or "")
+                    tokens = np.frombuffer(packed, "<u4")
+                    sizes.append(len(tokens))
+                    first.append(sha(packed).hexdigest())
+                    second.append(sha(coder.decode(tokens.tolist())).hexdigest())
+                    every.append(packed)
+                out = [x.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+                if ids:
+                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), "<i4"))))
+                yield pa.record_batch(out, names)
+        finally:
+            coder.forget()
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

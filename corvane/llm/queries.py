@@ -32,7 +32,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from corvane.llm.bpe import encoded
 
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, reach=3)
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
