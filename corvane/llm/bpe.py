@@ -20,7 +20,7 @@ from corvane.llm.scratch import slices
 #: Bytes of a match, and code points of a text, up to which nothing is halved.
 PIECE_LEAF, TEXT_LEAF = 2, 1 << 12
 #: Matches (twice, in two generations), pairs of tokens, and stretches of up to PART bytes that a worker remembers.
-CACHED, PAIRS, PARTS, PART, NEVER = 100_000, 60_000, 60_000, 8, 1 << 62
+CACHED, PAIRS, PARTS, PART, NEVER = 150_000, 150_000, 150_000, 8, 1 << 62
 
 
 class ByteBPE:
