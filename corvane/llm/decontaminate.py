@@ -9,10 +9,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import stored
+from corvane.llm.scratch import slices, stored
 
 WORD = re.compile(r"\w+")
 #: Benchmark items that one model and one search take at once; more items make more blocks.
@@ -288,13 +289,13 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     number = lambda words: np.array([vocabulary[w] for w in words], np.int64)
     items = [(i, number(words_of(t)), number(answer_of(t))) for i, t in rows]
 
-    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.get
-        for x in batches:
-            ids = [np.fromiter(map(known, words, repeat(-1)), "<i4", len(words)).tobytes() for words in map(words_of, x.text)]
-            yield pd.DataFrame({"doc_id": x.doc_id.astype("Int64"), "ids": pd.Series(ids, x.index, object)})
+        for x in slices(batches):
+            ids = [np.fromiter(map(known, words, repeat(-1)), "<i4", len(words)).tobytes() for words in map(words_of, x.column("text").to_pylist())]
+            yield pa.record_batch([x.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    tokens = stored(docs.select("doc_id", "text").mapInPandas(tokens_of, "doc_id long, ids binary"), "passages")
+    tokens = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokens_of, "doc_id long, ids binary"), "passages")
     df, total = document_frequency(tokens, size)
     own = passages([ids for _, ids, _ in items], size)
     df += holding(own, size)

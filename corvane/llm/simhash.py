@@ -7,12 +7,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.components import components
-from corvane.llm.scratch import bounded_broadcast, stored
+from corvane.llm.scratch import bounded_broadcast, slices, stored
+from corvane.operators.components import components
 
 BITS, SEED = 64, 42
 
@@ -40,12 +41,12 @@ def fingerprints(docs: DataFrame, words: int = 3, keyed: bool = False) -> DataFr
     """(doc_id, fp): fp is the fingerprint as a signed long, one row for each row of docs. keyed adds text_key, the text's hash."""
     key = [F.xxhash64("text").alias("text_key")] * keyed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = pd.DataFrame({"doc_id": x.doc_id, "fp": np.array([fingerprint(t, words) for t in x.text], np.uint64).view(np.int64)})
-            yield out.assign(text_key=x.text_key) if keyed else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches):
+            prints = np.array([fingerprint(t, words) for t in x.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([x.column("doc_id"), pa.array(prints), *([x.column("text_key")] if keyed else [])], ["doc_id", "fp", *["text_key"] * keyed])
 
-    return docs.select("doc_id", "text", *key).mapInPandas(run, "doc_id long, fp long" + ", text_key long" * keyed)
+    return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def _forest(words: np.ndarray, home: np.ndarray, radius: int, cells: int = 2_000_000) -> np.ndarray:

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from corvane.llm import decontaminate, simhash, toxicity
+from corvane.llm.scratch import stored
 
 DOCS = "doc_id long, text string"
 ITEM = "which river crosses the old town of brenna and feeds the mill. the slow river tarn feeds it."
@@ -112,7 +113,7 @@ def test_each_stage_keeps_what_a_plain_version_keeps(spark, toxic_corpus):
     stages = [plain_lines, plain_near, plain_leaks]
     docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], DOCS + ", n_chars long")
     for (name, stage), plain in zip(corpus_pipeline.STAGES[:4], [lambda x: clean(spark, x, at), *stages], strict=True):
-        docs, want = stage(spark, docs, at).localCheckpoint(), plain(rows)
+        docs, want = stored(stage(spark, docs, at), name), plain(rows)
         assert rows_of(docs) == sorted(want, key=str), name
         assert len(want) < len(rows) or want != rows, name
         rows = want

@@ -45,7 +45,7 @@ def test_bpe_equals_the_library(docs):
     want = []
     for r in docs.collect():
         want.append((str(r.doc_id), library.encode_ordinary(r.text or ""), hashlib.sha256((r.text or "").encode()).hexdigest()))
-    got = [(str(r.doc_id), list(r.ids), r.decoded_sha256) for r in bpe.encoded(docs, path, P.PATTERN).collect()]
+    got = [(str(r.doc_id), list(r.ids), r.decoded_sha256) for r in bpe.encoded(docs, path, P.PATTERN, reach=3).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -109,3 +109,68 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, sf_dir):
         assert left.columns == docs.columns, name
     end = corpus_pipeline.run(spark, sf_dir)
     assert 0 < end.count() < docs.count()
+
+
+def library():
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return path, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_joins_small_leaves_and_long_texts():
+    import random
+
+    path, known = library()
+    r, bits = random.Random(1), ["a", "b", "'re", "'ll", " ", "  ", "\n", "12", "é", "𝒳", "!", "?!", "word", " the", "\r\n", "\t", "'s", "'"]
+    small = bpe.ByteBPE(path, P.PATTERN, 3, 1, 8)
+    for _ in range(1500):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 80)))
+        assert small.encode(text) == known.encode_ordinary(text), text
+    usual = bpe.ByteBPE(path, P.PATTERN, 3)
+    for text in ("a" * 70_000, "ab" * 50_000, " " * 70_000, "word's " * 20_000, "\n \n" * 30_000):
+        assert usual.encode(text) == known.encode_ordinary(text) == bpe.ByteBPE(path, P.PATTERN).encode(text)
+        assert usual.decode(usual.encode(text)) == text.encode()
+
+
+def test_bpe_digests_and_empty_table(spark, docs):
+    import struct
+
+    path, known = library()
+    some = docs.filter("doc_id > 9000 or doc_id < 20")
+    for r in bpe.encoded(some, path, P.PATTERN, reach=3).join(some.select("doc_id", "text"), "doc_id").collect():
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest() and r.n_tokens == len(r.ids)
+    assert bpe.encoded(docs.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_token_counts_have_bytes_and_limits(docs):
+    got = tokens.token_counts(docs, P.path("piece_bpe_32k.model"), limit=300).collect()
+    size = {str(r.doc_id): len((r.text or "").encode()) for r in docs.filter("doc_id <> 9004 or doc_id is null").collect()}
+    assert all(r.over_limit == (r.n_tokens > 300) for r in got) and any(r.over_limit for r in got)
+    assert all(r.n_bytes == size[str(r.doc_id)] for r in got if str(r.doc_id) in size)
+
+
+def test_short_lines_within_one_edit_where_asked(spark):
+    rows = [(1, "ab\nac\nabc\nx"), (2, "y\nzz\nab"), (3, "q\n\n q "), (4, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.without_repeated_lines(own).collect()} == {1: "ab\nac\nabc\nx", 2: "y\nzz", 3: "q\n", 4: None}
+    got = {r.doc_id: r.text for r in lines.without_repeated_lines(own, 1).collect()}
+    places = [(d, k, line.strip()) for d, t in rows if t for k, line in enumerate(t.split("\n"))]
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        return a == b or any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    for d, t in rows:
+        if t is not None:
+            kept = [line for k, line in enumerate(t.split("\n")) if not line.strip() or not any((e, j) < (d, k) and x and near(x, line.strip()) for e, j, x in places)]
+            assert got[d] == "\n".join(kept)
+
+
+def test_rows_without_an_id_keep_their_component(spark):
+    rows = [(3, "one two three four five"), (None, "One two three four five"), (None, "other words in a text here"), (None, None), (7, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("3", "3"), ("None", "3"), ("None", "None"), ("None", "7"), ("7", "7")])
