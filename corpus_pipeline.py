@@ -12,11 +12,8 @@ from corvane.llm.scratch import stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the network predicts toxic go, all others stay; the text's hash stands for the row, whatever its doc_id."""
-    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = toxicity.toxicity(keyed, toxicity.trained(docs, table(spark, sf_dir, "labels")))
-    gone = stored(found.filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "toxic")
-    return docs.join(gone, F.xxhash64(docs.text) == gone._gone, "left_anti")
+    """Rows whose text the network predicts toxic go, all others stay, whatever their doc_id."""
+    return toxicity.without_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and the digests of the ids and of the decoded bytes."""
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, reach=3)
 
 
 STAGES: list = [
