@@ -80,6 +80,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.runs import word_runs
+
+    return word_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.align import alignment_report
+
+    return alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 SQL = {
     "op5_exact": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size,

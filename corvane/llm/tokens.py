@@ -6,9 +6,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.llm.scratch import slices
 
 SPACE, CACHED = "▁", 300_000
 RUNS = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -39,10 +43,14 @@ class Counter:
         self.one = {p: 1 for p, n in zip(headed, self.merged(headed), strict=True) if n == 1}
         self.counts, self.older = dict(self.one), dict[str, int]()
 
-    def merged(self, keys: list[str]) -> list[int]:
-        """Tokens of each pre-token. It is encoded behind a line feed, which takes two tokens: the sign that encode() puts first, and its own."""
+    def ids(self, keys: list[str]) -> list[list[int]]:
+        """Ids of each pre-token. It is encoded behind a line feed, which takes two tokens: the sign that encode() puts first, and its own."""
         behind = [k if k[:1] == "\n" else f"\n {k}" for k in keys]
-        return [len(x) - 2 + (k[:1] == "\n") for k, x in zip(keys, self.model.encode(behind, num_threads=1), strict=True)]
+        return [x[2 - (k[:1] == "\n") :] for k, x in zip(keys, self.model.encode(behind, num_threads=1), strict=True)]
+
+    def merged(self, keys: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        return list(map(len, self.ids(keys)))
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text that isn't empty. One space sign in front is left out, and one that starts with a line feed has none."""
@@ -76,14 +84,16 @@ def loaded(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each whole text, one row for each row of docs (columns doc_id, text; others are ignored).
 
-    A null or empty text has 0 bytes and 0 tokens. over_limit: n_tokens > limit.
+    A null or empty text has 0 bytes and 0 tokens. over_limit: n_tokens > limit. doc_id
+    comes back as it is, null, repeated or large.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
-        for x in batches:
-            texts = [t or "" for t in x.text]
-            n = [counter.count(t) for t in texts]
-            yield pd.DataFrame({"doc_id": x.doc_id, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
+        for x in slices(batches):
+            texts = [t or "" for t in x.column("text").to_pylist()]
+            n = pa.array([counter.count(t) for t in texts], pa.int64())
+            size = pa.array([len(t.encode()) for t in texts], pa.int64())
+            yield pa.record_batch([x.column("doc_id"), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
