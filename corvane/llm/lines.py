@@ -118,10 +118,14 @@ def without_repeated_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFra
     lines go becomes empty. Columns of docs with those names are replaced. shortest: see
     repeated_lines().
     """
-    drops = repeated_lines(docs, shortest).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("dropped").alias("_dropped"))
-    out = docs.join(drops.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_tkey")), "left")  # texts aren't sorted
+    names = list(docs.columns)
+    own = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))  # so no name of docs can clash
+    drops = repeated_lines(docs, shortest).select(F.col("doc_id").alias("drop_id"), "tkey", "dropped")
+    out = own.join(drops.hint("shuffle_hash"), own.id.eqNullSafe(F.col("drop_id")) & (F.col("key") == F.col("tkey")), "left")  # texts aren't sorted
     # the lines are bound once: split() inside the inner function would run for each line
-    kept = F.expr(r"transform(array(split(text, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _dropped), i -> x[i]), '\n'))[0]")
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"), "text": text}).drop("_id", "_tkey", "_dropped")
+    kept = F.expr(r"transform(array(split(doc.text, '\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), dropped), i -> x[i]), '\n'))[0]")
+    given = F.col("doc.text")
+    n_lines = F.coalesce(F.length(given) - F.length(F.replace(given, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    text = F.when(F.col("dropped").isNull(), given).otherwise(kept)
+    made = {"text": text, "n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col("doc").getField(c).alias(c) for c in names), *(made[c].alias(c) for c in made if c not in names))

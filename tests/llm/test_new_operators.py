@@ -227,3 +227,59 @@ def test_their_queries_cover_whole_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op11_token_files", "op12_runs", "op13_align"):
         assert queries.queries()[name](spark, sf_dir).count() == n
+
+
+BIG = 2**60
+
+
+def test_ids_stay_as_they_are_beside_null(spark):
+    """Large ids, a null and a repeated row in one batch."""
+    from corvane.llm import chat, decontaminate, tokens
+
+    turns = [(1_700_000_000_000_000_001 + k // 4, k % 4, ("user", "assistant")[k % 2], f"t{k}") for k in range(40)]
+    rows = spark.createDataFrame([*turns, turns[0], (None, 0, "user", "alone")], "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.repaired(rows).collect()
+    assert sorted((str(r.conv_id), r.turn, r.text) for r in got) == sorted((str(r.conv_id), r.turn, r.text) for r in rows.collect())
+    docs = spark.createDataFrame([(BIG + 1, "alpha beta"), (BIG + 3, "gamma"), (None, "delta"), (BIG + 3, "gamma")], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r.doc_id) for r in tokens.token_counts(docs, B).collect()) == sorted(str(r.doc_id) for r in docs.collect())
+    item = "the quick brown fox jumps over the lazy dog while seven wizards boil jugs of strong black tea near the old harbour"
+    leaks = spark.createDataFrame([(BIG + 1, f"intro words {item} and more"), (BIG + 3, item), (None, item), (5, "clean text of other words")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(BIG + 7, item), (None, "")], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.contaminated(leaks, bench).collect()) == [(str(BIG + 1), BIG + 7), (str(BIG + 3), BIG + 7), ("None", BIG + 7)]
+
+
+def test_lines_take_any_column_names(spark):
+    from corvane.llm import lines
+
+    rows = spark.createDataFrame([(1, "a line of words\nb", "x"), (2, "a line of words\nc", "y"), (None, "a line of words", "z")], "doc_id long, text string, _id string")
+    own = rows.selectExpr("*", "1 as _tkey", "2 as _dropped", "3 as key", "4 as id", "5 as dropped", "6 as n_lines", "7 as doc")
+    got = lines.without_repeated_lines(own)
+    assert got.columns == [*own.columns, "n_dropped"]
+    assert sorted((r._id, r.text, r.n_lines, r.n_dropped, r.doc) for r in got.collect()) == [("x", "a line of words\nb", 2, 0, 7), ("y", "c", 2, 1, 7), ("z", "", 1, 1, 7)]
+
+
+@pytest.mark.parametrize("block_rows", [5, 40, 50_000])
+def test_simhash_blocks_lose_no_link(spark, block_rows):
+    from corvane.llm import simhash
+    from corvane.operators.components import components
+
+    r = random.Random(9)
+    words = {r.getrandbits(64) for _ in range(60)} | {sum(1 << b for b in r.sample(range(64), 32)) for _ in range(60)}
+    for x in list(words):
+        for _ in range(3):
+            x ^= sum(1 << b for b in r.sample(range(64), r.randrange(1, 4)))
+            words.add(x)
+    words = sorted(x - (1 << 64) if x >> 63 else x for x in words)
+    root = {x: x for x in words}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(words):
+        for y in words[:i]:
+            if ((x ^ y) % (1 << 64)).bit_count() <= 2:
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    got = {n.node: n.root for n in components(simhash.links(spark.createDataFrame([(x,) for x in words], "fp long"), block_rows=block_rows)).collect()}
+    assert {x: got.get(x, x) for x in words} == {x: find(x) for x in words}
