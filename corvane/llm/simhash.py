@@ -49,13 +49,13 @@ def fingerprints(docs: DataFrame, words: int = 3, keyed: bool = False) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
-def _forest(words: np.ndarray, home: np.ndarray, radius: int, cells: int = 2_000_000) -> np.ndarray:
-    """For each word of a tile, the smallest index linked to it, directly or through others; at most about so many cells are held at once."""
+def _forest(words: np.ndarray, home: np.ndarray, visits: np.ndarray, radius: int, cells: int = 2_000_000) -> np.ndarray:
+    """For each word of a task, the smallest index linked to it, directly or through others, by links of home words to visiting ones; at most about so many cells are held at once."""
     parent, order, total = np.arange(len(words)), np.flatnonzero(home), np.bitwise_count(words)
     rows = max(1, cells // max(1, len(words)))
     for at in range(0, len(order), rows):
         block = order[at : at + rows]
-        others = np.flatnonzero((total >= int(total[block].min()) - radius) & (total <= int(total[block].max()) + radius))
+        others = np.flatnonzero(visits & (total >= int(total[block].min()) - radius) & (total <= int(total[block].max()) + radius))
         i, j = np.nonzero(np.bitwise_count(words[block, None] ^ words[None, others]) <= radius)
         i, j = block[i], others[j]
         while (apart := parent[i] != parent[j]).any():
@@ -73,36 +73,40 @@ def links(words: DataFrame, radius: int = 2, lanes: int = 4, block_rows: int = 5
     A tile holds the fingerprints with the same population counts of their lanes (equal
     parts of the word). The counts of two words at radius bits or fewer differ by radius
     at most, in sum over the lanes, so a tile meets only such tiles and skips the others.
-    A tile of more than block_rows is cut into blocks by hash, each of which meets the
-    whole tile; so no task holds more than a block and what visits it, and no link is
-    lost. Each task returns a spanning forest, not all pairs.
+    A tile's own words are cut into blocks of about block_rows by hash, and so are all
+    that visit it, its own among them; each block meets each block of visitors in a task
+    of its own. So no task holds more than two blocks, and no link is lost: what the tasks
+    find is connected afterwards. Each task returns a spanning forest, not all pairs.
     """
     width = BITS // lanes
     counts = [F.expr(f"bit_count(shiftrightunsigned(fp, {width * k}) & {(1 << width) - 1}L)") for k in range(lanes)]
     steps = [s for s in product(range(-radius, radius + 1), repeat=lanes) if sum(map(abs, s)) <= radius]
     base = width + 1
     key = sum((c * base**k for k, c in enumerate(counts)), F.lit(0)).cast("long")
-    tiled = words.select("fp", key.alias("tile"), F.array(*counts).alias("pc"))
-    blocks = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    blocks = bounded_broadcast(stored(blocks, "tiles"), 2)
-    near = []
+    tiled = words.select("fp", key.alias("own"), F.array(*counts).alias("pc"))
+    near = ["own"]
     for s in steps:  # only towards smaller tiles, and only where every lane's count stays possible
         if (shift := sum(d * base**k for k, d in enumerate(s))) < 0:
             fits = " and ".join(f"pc[{k}] + {d} between 0 and {width}" for k, d in enumerate(s) if d) or "true"
-            near.append(f"if({fits}, tile + {shift}L, null)")
-    out = tiled.selectExpr("fp", "tile as own", "tile", "filter(array(" + ", ".join(near) + "), x -> x is not null) as near")
-    out = out.selectExpr("fp", "own", "explode(array_insert(near, 1, own)) as tile").join(blocks, "tile")
-    mine = "pmod(xxhash64(fp), blocks)"
-    out = out.selectExpr("fp", "tile", "own = tile as same", f"explode(if(own = tile, sequence(0, cast({mine} as int)), sequence(0, blocks - 1))) as block", f"cast({mine} as int) as mine")
-    out = out.selectExpr("fp", "tile", "block", "same and block = mine as home")
+            near.append(f"if({fits}, own + {shift}L, null)")
+    visited = "explode(filter(array(" + ", ".join(near) + "), x -> x is not null)) as tile"
+    sizes = stored(tiled.groupBy("own").agg(F.first("pc").alias("pc"), F.count(F.lit(1)).alias("n")), "tiles")  # (width + 1) ** lanes rows at most
+    guests = sizes.selectExpr("n", visited).groupBy("tile").agg(F.sum("n").alias("guests"))
+    cuts = sizes.join(guests, F.col("own") == F.col("tile")).selectExpr("tile", f"cast(ceil(n / {block_rows}) as int) as blocks", f"cast(ceil(guests / {block_rows}) as int) as bins")
+    out = tiled.selectExpr("fp", "own", visited).join(bounded_broadcast(stored(cuts, "tile-cuts"), 4), "tile")
+    out = out.selectExpr("fp", "tile", "own = tile as same", "blocks", "bins", "cast(pmod(xxhash64(fp), blocks) as int) as mine", "cast(pmod(xxhash64(fp, 1), bins) as int) as bin")
+    as_guest = "transform(sequence(0, blocks - 1), i -> struct(i as block, bin as guest))"
+    as_home = "transform(sequence(0, bins - 1), i -> struct(mine as block, i as guest))"
+    out = out.selectExpr("fp", "tile", "same", "mine", "bin", f"explode(if(same, array_union({as_home}, {as_guest}), {as_guest})) as at")
+    out = out.selectExpr("fp", "tile", "at.block as block", "at.guest as guest", "same and at.block = mine as home", "at.guest = bin as visits")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         w = pdf.fp.to_numpy(np.int64)
-        parent = _forest(w.view(np.uint64), pdf.home.to_numpy(bool), radius)
+        parent = _forest(w.view(np.uint64), pdf.home.to_numpy(bool), pdf.visits.to_numpy(bool), radius)
         moved = np.flatnonzero(parent != np.arange(len(w)))
         return pd.DataFrame({"a": w[moved], "b": w[parent[moved]]})
 
-    return out.groupBy("tile", "block").applyInPandas(compare, "a long, b long")
+    return out.groupBy("tile", "block", "guest").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 4, keyed: bool = False) -> DataFrame:
