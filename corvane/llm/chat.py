@@ -96,66 +96,65 @@ def repaired(rows: DataFrame) -> DataFrame:
     """
     role = F.lower(F.trim(F.col("role")))
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES[1:])), role), F.lit(0)).cast("int")
-    own = rows.select("conv_id", "turn", "role", "text", code.alias("code"), F.xxhash64("text").alias("salt"))
+    conv = F.when(F.col("conv_id").isNull(), "none").otherwise(F.concat(F.lit("id "), F.col("conv_id").cast("string")))  # pandas makes doubles of longs beside a null
+    own = rows.select("conv_id", "turn", "role", "text", conv.alias("conv"), code.alias("code"), F.xxhash64("text").alias("salt"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = own.repartitionByRange(n, "conv_id", "turn", "role", "salt").sortWithinPartitions("conv_id", "turn", "role", "salt").drop("salt")
     own = stored(own.withColumn("pos", F.monotonically_increasing_id()).withColumn("block", F.shiftright("pos", BITS)), "turns")
 
     def costs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        out = [(c, pdf.block.iloc[0], product([moves(r)[0] for r in g.code]).ravel().tolist()) for c, g in pdf.groupby("conv_id", dropna=False, sort=False)]
-        return pd.DataFrame(out, columns=["conv_id", "block", "m"]).astype({"conv_id": "Int64"})
+        out = [(c, pdf.block.iloc[0], product([moves(r)[0] for r in g.code]).ravel().tolist()) for c, g in pdf.groupby("conv", sort=False)]
+        return pd.DataFrame(out, columns=["conv", "block", "m"])
 
-    shape = "conv_id long, block long, m array<long>"
-    levels = [stored(own.select("conv_id", "pos", "code", "block").groupBy("block").applyInPandas(costs, shape), "costs")]
+    shape = "conv string, block long, m array<long>"
+    levels = [stored(own.select("conv", "pos", "code", "block").groupBy("block").applyInPandas(costs, shape), "costs")]
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        return pd.DataFrame({"conv_id": pdf.conv_id.iloc[:1].astype("Int64"), "block": pdf.up.iloc[:1], "m": [product(_matrices(pdf)).ravel().tolist()]})
+        return pd.DataFrame({"conv": pdf.conv.iloc[:1], "block": pdf.up.iloc[:1], "m": [product(_matrices(pdf)).ravel().tolist()]})
 
     def many(level: DataFrame) -> DataFrame:
-        return level.groupBy("conv_id").count().filter("count > 1").select(F.col("conv_id").alias("_c"))
+        return level.groupBy("conv").count().filter("count > 1").select("conv")
 
     while not (open_ := many(levels[-1])).isEmpty():
-        split = levels[-1].join(open_, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").withColumn("up", F.shiftright("block", BITS))
-        up = split.groupBy("conv_id", "up").applyInPandas(combine, shape)
+        split = levels[-1].join(open_, "conv", "left_semi").withColumn("up", F.shiftright("block", BITS))
+        up = split.groupBy("conv", "up").applyInPandas(combine, shape)
         levels.append(stored(up, "costs"))
 
     def tops(level: DataFrame, above: DataFrame | None) -> DataFrame:
         """Entry and last state of conversations that are whole in this level."""
         if above is not None:
-            known = above.select(F.col("conv_id").alias("_c")).distinct()
-            level = level.join(known, F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
+            level = level.join(above.select("conv").distinct(), "conv", "left_anti")
 
         def run(batches):
             for x in batches:
-                yield pd.DataFrame({"conv_id": x.conv_id.astype("Int64"), "block": x.block, "entry": START, "leave": [ending(m) for m in _matrices(x)], "last": True})
+                yield pd.DataFrame({"conv": x.conv, "block": x.block, "entry": START, "leave": [ending(m) for m in _matrices(x)], "last": True})
 
         return level.mapInPandas(run, borders)
 
-    borders = "conv_id long, block long, entry int, leave int, last boolean"
+    borders = "conv string, block long, entry int, leave int, last boolean"
 
     def down(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         states = path(_matrices(pdf), int(pdf.entry.iloc[0]), int(pdf.leave.iloc[0]))
         last = [False] * (len(pdf) - 1) + [bool(pdf["last"].iloc[0])]
-        return pd.DataFrame({"conv_id": pdf.conv_id.astype("Int64"), "block": pdf.block, "entry": states[:-1], "leave": states[1:], "last": last})
+        return pd.DataFrame({"conv": pdf.conv, "block": pdf.block, "entry": states[:-1], "leave": states[1:], "last": last})
 
     found = None
     for k in range(len(levels) - 1, -1, -1):
         whole = tops(levels[k], levels[k + 1] if k + 1 < len(levels) else None)
         if found is not None:
-            parent = found.select(F.col("conv_id").alias("_c"), F.col("block").alias("up"), "entry", "leave", "last")
-            inner = levels[k].withColumn("up", F.shiftright("block", BITS)).join(parent, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.shiftright("block", BITS) == parent.up)).drop(parent.up, "_c")
-            whole = whole.unionByName(inner.groupBy("conv_id", "up").applyInPandas(down, borders))
+            parent = found.select("conv", F.col("block").alias("up"), "entry", "leave", "last")
+            inner = levels[k].withColumn("up", F.shiftright("block", BITS)).join(parent, ["conv", "up"])
+            whole = whole.unionByName(inner.groupBy("conv", "up").applyInPandas(down, borders))
         found = stored(whole, "borders")
 
-    at = found.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "entry", "leave", "last")
-    joined = own.select("conv_id", "pos", "code", "block").join(at, own.conv_id.eqNullSafe(F.col("_c")) & (own.block == F.col("_b"))).drop("_c", "_b")
+    joined = own.select("conv", "pos", "code", "block").join(found.select("conv", "block", "entry", "leave", "last"), ["conv", "block"])
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("pos"), []
-        for _, g in pdf.groupby("conv_id", dropna=False, sort=False):
+        for _, g in pdf.groupby("conv", sort=False):
             given = g.code.tolist()
             states = path([moves(r)[0] for r in given], int(g.entry.iloc[0]), int(g.leave.iloc[0]))
             for k, row in enumerate(g.pos):

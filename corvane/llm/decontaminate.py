@@ -303,15 +303,15 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], rank: int) -> DataFram
     test = np.linalg.qr(np.random.default_rng(11).standard_normal((size, min(size, rank + EXTRA))))[0]
     search = Search(items, idf, latent(gram_times(tokens, idf, test) + gram(own, idf, test), test, rank))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            own = x.doc_id.astype("Int64")
-            found = [(own.iloc[n * DOCS + k], *hit) for n, texts in enumerate(packed(x)) for k, *hit in search.scan(texts)]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "overlap", "answer", "first_word", "end_word"]).astype(
-                {"doc_id": "Int64", "item_id": "Int64", "overlap": float, "answer": float, "first_word": "int32", "end_word": "int32"}
-            )
+            texts = x.column("ids").to_pylist()
+            found = [(at + k, *hit) for at in range(0, len(texts), DOCS) for k, *hit in search.scan([np.frombuffer(t, "<i4") for t in texts[at : at + DOCS]])]
+            row, *hits = zip(*found, strict=True) if found else [()] * 6
+            ids = x.column("doc_id").take(pa.array(row, pa.int64()))  # as they are: pandas makes doubles of them beside a null
+            yield pa.record_batch([ids, *(pa.array(h, t) for h, t in zip(hits, (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return tokens.mapInPandas(run, SCHEMA)
+    return tokens.mapInArrow(run, SCHEMA)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
