@@ -29,9 +29,10 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int, block: int = BLOCK) -> Da
     batch, by one matrix product, and of each batch only k candidates a query leave. So no
     row is made for a pair, and a task holds one block and one batch. Blocks beyond the
     first add a pass over the rows each. Null vectors are left out; a zero vector has cosine 0.
+    Ids come back as they are, null ones too.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     n = max(1, math.ceil(asked.count() / block))
     given = asked.filter("embedding is not null").select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), "query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
@@ -43,26 +44,25 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int, block: int = BLOCK) -> Da
         pairs = sorted(((r.query_id, r.q) for r in one[0].asked), key=lambda x: str(x[0])) if one else []
         if not pairs:
             continue
-        ids, q = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], float)
+        ids, q = pa.array([p[0] for p in pairs], pa.int64()), np.array([p[1] for p in pairs], float)
         lengths = np.sqrt((q * q).sum(1))
         held = spark.sparkContext.broadcast((ids, q, lengths))  # one block
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q, lengths = held.value
             for x in batches:
-                if not len(x):
+                if not x.num_rows:
                     continue
-                v = np.stack(x.embedding.to_numpy()).astype(float)
+                v = np.stack(x.column("embedding").to_numpy(zero_copy_only=False)).astype(float)
                 size = np.sqrt((v * v).sum(1))[:, None] * lengths
                 score = np.divide(v @ q.T, size, out=np.zeros((len(v), len(ids))), where=size > 0)
-                own = x.vec_id.to_numpy()
-                few = min(k, len(own))
+                few = min(k, len(v))
                 # k-th best of each query, and all that tie with it within rounding: the exact order comes later
-                least = np.partition(score, len(own) - few, 0)[len(own) - few]
+                least = np.partition(score, len(v) - few, 0)[len(v) - few]
                 r, c = np.nonzero(score >= least - 1e-9)
-                yield pd.DataFrame({"query_id": ids[c], "vec_id": own[r], "score": score[r, c]})
+                yield pa.record_batch([ids.take(pa.array(c)), x.column("vec_id").take(pa.array(r)), pa.array(score[r, c])], ["query_id", "vec_id", "score"])
 
-        part = rows.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+        part = rows.filter("embedding is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"))

@@ -121,21 +121,22 @@ def ing_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ing_15")
 def ing_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload parts under limits of count and bytes. Documents are dealt in ranges of ids, and each range fills its parts one after the other, so that the limits hold for all and only a range's last part may be small."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = size = count = 0
         for x in batches:
             numbers = []
-            for n in x.bytes:
+            for n in x.column("bytes").to_pylist():
+                n = n or 0
                 if count and (count >= 50 or size + n > 100_000):
                     part, size, count = part + 1, 0, 0
                 size, count = size + n, count + 1
                 numbers.append(part)
-            yield pd.DataFrame({"doc_id": x.doc_id, "range": x.range, "part": numbers, "bytes": x.bytes})
+            yield pa.record_batch([x.column("doc_id"), x.column("range"), pa.array(numbers, pa.int32()), x.column("bytes")], ["doc_id", "range", "part", "bytes"])
 
     own = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return own.withColumn("range", F.spark_partition_id()).select("doc_id", "range", "bytes").mapInPandas(fill, "doc_id long, range int, part int, bytes long")
+    return own.withColumn("range", F.spark_partition_id()).select("doc_id", "range", "bytes").mapInArrow(fill, "doc_id long, range int, part int, bytes long")
 
 
 @query("ing_23", f"WITH {NOTES} SELECT doc_id, '[Document: ' || lower(source) || '-' || doc_id || ' | Section: memory | Date: 2024-05-01]' || chr(10) || chr(10) || 'importance: ' || CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE 'normal' END || chr(10) || 'tags: ' || array_to_string([source, lang], ', ') || chr(10) || chr(10) || note AS staged FROM notes")
