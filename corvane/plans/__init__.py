@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation", "graph", "structure", "sources", "service")
+FAMILIES: tuple[str, ...] = ("sparse", "ranking", "upkeep", "text", "evaluation", "graph", "structure", "structured", "sources", "service")
 
 
 def load() -> None:

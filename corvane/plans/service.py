@@ -11,6 +11,7 @@ from corvane.catalog import query, table
 from corvane.functions import text as T
 from corvane.operators import chunking as C
 from corvane.operators import upkeep as K
+from corvane.operators.structured import typed_blocks
 from corvane.plans.evaluation import features, ltr_4
 from corvane.plans.fixtures import NOTES, notes
 from corvane.plans.ranking import FUSED, fused
@@ -48,7 +49,7 @@ def chk_7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = [(d, a, b, k) for d, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True) if t for a, b, k in C.blocks(t)]
+            rows = [(d, a, b, k) for d, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True) if t for a, b, k in typed_blocks(t, True)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "start", "end", "kind"])
 
