@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query, table
 from corvane.functions.text import identifier_tokens
-from corvane.operators.sparse import bm25, holding, postings, stored_index, window_chunks
+from corvane.operators.sparse import Index, bm25, holding, postings, stored_index, window_chunks
 
 _TOKS = r"""flatten(list_transform(list_filter(list_transform(regexp_extract_all({x}, '[A-Za-z0-9_\-:./]+'),
     lambda r: regexp_replace(r, '^[_\-:./]+|[_\-:./]+$', '', 'g')), lambda r: r <> ''),
@@ -40,7 +40,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def index(spark: SparkSession, sf_dir: str) -> Index:
     """The stored index of the documents' chunks; built by the first query that needs it."""
     return stored_index(table(spark, sf_dir, "documents"), chunks(spark, sf_dir), "1200/200")
 
@@ -72,7 +72,7 @@ for _name in ("sp_2", "sp_3", "jn_7", "top_1", "flt_1"):
     @query(_name, f"WITH {BM25} SELECT * FROM top WHERE rank <= 10")
     def sp_2(spark: SparkSession, sf_dir: str) -> DataFrame:
         """BM25 search of the whole questions in the stored index."""
-        return bm25(*index(spark, sf_dir), questions(spark, sf_dir))
+        return bm25(index(spark, sf_dir), questions(spark, sf_dir))
 
 
 _SWEEP = re.split(r",\s*s AS \(SELECT", BM25)[0]
@@ -87,7 +87,7 @@ def sp_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three settings of the two parameters in one job."""
     grid = F.array(*(F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k, b in ((1.2, 0.5), (1.5, 0.75), (2.0, 1.0))))
     asked = questions(spark, sf_dir).select("query_id", "text", F.explode(grid).alias("g")).select("query_id", "text", "g.k1", "g.b")
-    return bm25(*index(spark, sf_dir), asked, 3, by=["k1", "b"]).select("query_id", "k1", "b", "chunk_id", "score", "rank")
+    return bm25(index(spark, sf_dir), asked, 3, by=["k1", "b"]).select("query_id", "k1", "b", "chunk_id", "score", "rank")
 
 
 @query("sp_5", f"WITH {BM25}, w AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(text, '[A-Za-zà-ÿ]{{9,}}')) AS terms FROM benchmark), h AS (SELECT t.query_id, t.chunk_id, t.rank FROM top t JOIN chunks c USING (chunk_id) JOIN w ON w.query_id = t.query_id WHERE t.rank <= 50 AND len(list_filter(terms, lambda x: contains(c.content, x))) > 0) SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM h) WHERE n <= 10")
@@ -96,7 +96,7 @@ def sp_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     terms = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zà-ÿ]{9,}"), F.lit(0)))
-    hits = bm25(*index(spark, sf_dir), questions(spark, sf_dir), 50).join(questions(spark, sf_dir).select("query_id", terms.alias("terms")), "query_id")
+    hits = bm25(index(spark, sf_dir), questions(spark, sf_dir), 50).join(questions(spark, sf_dir).select("query_id", terms.alias("terms")), "query_id")
     kept = hits.join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id").filter(F.exists("terms", lambda t: F.contains("content", t)))
     return kept.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("n <= 10").select("query_id", "chunk_id", "rank")
 
@@ -116,7 +116,7 @@ def ev_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     gold = holding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
     places = chunks(spark, sf_dir).select("chunk_id", "doc_id")
-    hits = bm25(*index(spark, sf_dir), questions(spark, sf_dir), 50).join(places, "chunk_id").groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"))
+    hits = bm25(index(spark, sf_dir), questions(spark, sf_dir), 50).join(places, "chunk_id").groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).drop("r")
     near = F.col("rank") <= 10
     each = gold.join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
