@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -12,11 +14,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm.scratch import slices, stored
-from corvane.llm.token_files import LONGEST, PieceCoder
+from corvane.llm.token_files import LETTER, LONGEST, SIGN, SPACE, SPACED, PieceCoder
+from corvane.llm.token_files import PIECES as FINE
 from corvane.llm.tokens import Counter
 
-#: Pre-tokens a worker remembers, and pairs of ids up to which their counts are broadcast (16 bytes each, about 100 MB as a table).
-CACHED, PAIRS = 150_000, 2_000_000
+#: Pieces (twice, in two generations) that a worker remembers, bytes of text that go together, and pairs of ids up to which their counts are broadcast (16 bytes each, about 100 MB as a table).
+CACHED, CHARS, PAIRS = 200_000, 1_000_000, 2_000_000
 #: A token in one number: its end, then 0 for A or 1 for B, then its id; all ones below the end mark a group's end.
 WIDE = 32
 MARK = (1 << WIDE + 1) - 1
@@ -42,7 +45,13 @@ def byte_level(library: Tokenizer) -> Bytes:
 
 
 class Pair:
-    """Both tokenizers of one worker; texts in, ids out."""
+    """Both tokenizers of one worker; texts in, pieces and their tokens out.
+
+    A space and the text are cut where both tokenizers end a token, whatever stands
+    around: PieceCoder says why A does. B does if no token of it has a letter beside a
+    sign, and none the text's white space behind anything else, which is looked up at the
+    start; otherwise the cut is only before spaces that follow something else (see Counter).
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = PieceCoder(path_a, plain=True), Counter(path_b)
@@ -50,42 +59,47 @@ class Pair:
         m = self.b.model
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         self.b_bytes = Bytes([bytes([int(x[3:5], 16)]) if m.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.a.forget()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def packed_b(self, texts: list[str]) -> list[bytes]:
-        """The model's ids of each text, as 4-byte integers: pre-tokens are encoded on their own, once."""
-        cut = [self.b.pretokens(t) if t else [] for t in texts]
-        need = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(need) > CACHED:
+        plain = [x for i, x in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        self.fine = self.a.cuts and not any(re.search(f"[{LETTER}][{SIGN}]|[{SIGN}][{LETTER}]", x) for x in plain)
+        self.apart = sorted({c for x in plain for c in re.findall(f"(?<=[^{SPACE}▁])[{SPACE}▁]", x)})
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        """The text begins with a space."""
+        return FINE.findall(text) if self.fine and not any(x in text for x in self.apart) else SPACED.split(text)[1:] if self.a.cuts else [text]
+
+    def tokens_of(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """A's and B's ids of each piece, as bytes. B encodes it behind a line feed, two tokens that no other joins."""
+        a = dict(self.a.encoded(pieces)) if self.fine else dict(zip(pieces, self.a.packed(pieces), strict=True))
+        b = self.b.model.encode(["\n" + p for p in pieces], num_threads=1)
+        return {p: (a[p], struct.pack(f"<{len(ids) - 2}I", *ids[2:])) for p, ids in zip(pieces, b, strict=True)}
+
+    def cut(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
+        """The tokens of all pieces, each once, and the places in that list of each text's pieces; none where either tokenizer's bytes aren't the text's."""
+        each = [self.pieces(" " + t) if t else [] for t in texts]
+        every = list(set().union(*each))
+        if len(self.known) + len(every) > CACHED:
             self.older, self.known = self.known, {}
-            need = set().union(*cut)
-        for p in need & self.older.keys():
-            self.known[p] = self.older[p]
-        new = [p for p in need if p not in self.older]
-        for p, ids in zip(new, self.b.ids(new), strict=True):
-            self.known[p] = np.array(ids, "<u4").tobytes()
-        found = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.known[p]
-        return found
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
-        """(A's ids, their ends, B's ids, their ends) of each text; nothing where either's bytes aren't the text's."""
-        plain = [t or "" for t in texts]
-        out, none = [], (np.zeros(0, np.int64),) * 4
-        for t, a, b in zip(plain, self.a.packed([f" {t}" for t in plain]), self.packed_b(plain), strict=True):
-            a, b, want = np.frombuffer(a, self.a.dtype), np.frombuffer(b, "<u4"), b" " + t.encode()
-            if not t or self.a_bytes.joined(a) != want or self.b_bytes.joined(b) != want:
-                out.append(none)
-            else:
-                out.append((a, np.cumsum(self.a_bytes.size[a]), b, np.cumsum(self.b_bytes.size[b])))
-        return out
+        known, older = self.known, self.older
+        fresh = self.tokens_of([p for p in every if p not in known and p not in older])
+        found = [known.get(p) or older.get(p) or fresh[p] for p in every]
+        known.update((p, x) for p, x in zip(every, found, strict=True) if len(p) <= LONGEST)
+        place = dict(zip(every, range(len(every)), strict=True))
+        at = [list(map(place.__getitem__, own)) if not t or self.whole(t, [found[place[p]] for p in own] if self.doubtful(t) else None) else [] for t, own in zip(texts, each, strict=True)]
+        return found, at
+
+    def doubtful(self, text: str) -> bool:
+        """Whether tokens may spell other bytes than the text's: without a normaliser A's never do, and B is proven (see Counter) to change but the space sign."""
+        return not self.a.cuts or "▁" in text
+
+    def whole(self, text: str, own: list[tuple[bytes, bytes]] | None) -> bool:
+        """Whether the bytes of a text's tokens, all joined, are the text's."""
+        if own is None:
+            return True
+        a, b = (b"".join(x[k] for x in own) for k in (0, 1))
+        want = b" " + text.encode()
+        return self.a_bytes.joined(np.frombuffer(a, self.a.dtype)) == want == self.b_bytes.joined(np.frombuffer(b, "<u4"))
 
 
 @lru_cache(1)
@@ -93,24 +107,51 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+def listed(sizes: np.ndarray, flat: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat if isinstance(flat, pa.Array) else pa.array(flat))
+
+
+def ids_and_ends(packed: list[bytes], dtype: np.dtype, of: Bytes) -> tuple[pa.ListArray, pa.ListArray]:
+    """Lists of ids, and of the bytes of the piece at which their tokens end."""
+    sizes = np.array(list(map(len, packed)), np.int64) // dtype.itemsize
+    ids = np.frombuffer(b"".join(packed), dtype)
+    ends = np.cumsum(of.size[ids])
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate(([0], ends))[first]
+    return listed(sizes, ids.astype(np.int32)), listed(sizes, ends - np.repeat(before, sizes))
+
+
+PIECES = "array<struct<a: array<int>, a_ends: array<long>, b: array<int>, b_ends: array<long>>>"
+DOCS = "array<struct<doc_id: long, n_a: long, n_b: long, at: array<int>>>"
+
+
 def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(doc_id, a, a_ends, b, b_ends): ids and the bytes at which their tokens end, of a space and the text."""
+    """(pieces, docs): rows of about CHARS code points of texts. pieces has the tokens of each distinct piece, ids and the bytes at which they end; docs the places of each text's pieces in it."""
+
+    def row(own: Pair, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found, at = own.cut([t for x in parts for t in x.column("text").to_pylist()])
+        a, a_ends = ids_and_ends([x[0] for x in found], own.a.dtype, own.a_bytes)
+        b, b_ends = ids_and_ends([x[1] for x in found], np.dtype("<u4"), own.b_bytes)
+        pieces = pa.StructArray.from_arrays([a, a_ends, b, b_ends], ["a", "a_ends", "b", "b_ends"])
+        sizes = np.array(list(map(len, at)), np.int64)
+        flat = np.array([i for x in at for i in x], np.int32)
+        lengths = [np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy()[flat])))[np.concatenate(([0], np.cumsum(sizes)))] for x in (a, b)]
+        ids = pa.concat_arrays([x.column("doc_id") for x in parts])
+        texts = pa.StructArray.from_arrays([ids, *(pa.array(np.diff(x)) for x in lengths), listed(sizes, flat)], ["doc_id", "n_a", "n_b", "at"])
+        return pa.record_batch([listed(np.array([len(pieces)]), pieces), listed(np.array([len(texts)]), texts)], ["pieces", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pair(path_a, path_b)
-        try:
-            for x in slices(batches, 128):
-                columns = list(zip(*own.tokens(x.column("text").to_pylist()), strict=True)) or [()] * 4
-                lists = []
-                for k, c in enumerate(columns):
-                    at = np.concatenate(([0], np.cumsum([len(y) for y in c]))).astype(np.int32)
-                    flat = np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int32 if k % 2 == 0 else np.int64)
-                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
-                yield pa.record_batch([x.column("doc_id"), *lists], ["doc_id", "a", "a_ends", "b", "b_ends"])
-        finally:
-            own.forget()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a array<int>, a_ends array<long>, b array<int>, b_ends array<long>")
+        own, parts, held = pair(path_a, path_b), [], 0
+        for x in slices(batches, 64):
+            parts.append(x)
+            held += x.column("text").nbytes
+            if held >= CHARS:
+                yield row(own, parts)
+                parts, held = [], 0
+        if parts:
+            yield row(own, parts)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"pieces {PIECES}, docs {DOCS}")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -166,16 +207,31 @@ def said(group: Column) -> Column:
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The stored alignment of each row of docs: row, doc_id, n_a, n_b, n_groups, n_links, groups (as text), links.
+    """The alignment of each row of docs: row, doc_id, n_a, n_b, n_groups, n_links, groups (as text), links.
 
     docs: doc_id, text; others are ignored. Texts that are null, empty, or that either
     tokenizer's bytes don't give back have zeros, '' and no links. A link is A's id,
     shifted by 32 bits, and B's.
     """
-    own = tokenised(docs, path_a, path_b).withColumn("row", F.monotonically_increasing_id())
-    grouped = own.select("row", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), groups_of(F.col("a"), F.col("a_ends"), F.col("b"), F.col("b_ends")).alias("g"))
-    text = F.array_join(F.transform("g", said), ";")
-    return grouped.select("row", "doc_id", "n_a", "n_b", F.size("g").cast("long").alias("n_groups"), text.alias("groups"), F.flatten(F.transform("g", links_of)).alias("links"))
+
+    def of_piece(p: Column) -> Column:
+        done = lambda n, text, links: F.struct(n.cast("long").alias("n"), text.alias("groups"), links.alias("links"))
+        one = done(F.lit(1), F.concat_ws("|", p["a"][0].cast("string"), p["b"][0].cast("string")), F.array(linked(p["a"][0].cast("long"), p["b"][0].cast("long"))))
+        groups = groups_of(p["a"], p["a_ends"], p["b"], p["b_ends"])
+        many = bound(groups, lambda g: done(F.size(g), F.array_join(F.transform(g, said), ";"), F.flatten(F.transform(g, links_of))))
+        return F.when((F.size(p["a"]) == 1) & (F.size(p["b"]) == 1), one).otherwise(many)
+
+    def of_docs(pieces: Column) -> Column:
+        def of_doc(x: Column) -> Column:
+            n = F.aggregate(x["at"], F.lit(0).cast("long"), lambda s, i: s + pieces[i]["n"])
+            text = F.array_join(F.transform(x["at"], lambda i: pieces[i]["groups"]), ";")
+            links = F.flatten(F.transform(x["at"], lambda i: pieces[i]["links"]))
+            return F.struct(x["doc_id"].alias("doc_id"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), n.alias("n_groups"), text.alias("groups"), links.alias("links"))
+
+        return F.transform("docs", of_doc)
+
+    each = tokenised(docs, path_a, path_b).select(F.inline(bound(F.transform("pieces", of_piece), of_docs)))
+    return each.withColumn("row", F.monotonically_increasing_id())
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -21,16 +21,23 @@ from tokenizers import Tokenizer
 from corvane.llm.scratch import folder, slices, stored
 
 #: Ids of a sequence, sequences of a record batch, and pieces (twice, in two generations) that a worker remembers.
-LENGTH, ROWS, CACHED, LONGEST = 2048, 256, 150_000, 64
-INSIDE, SPACED = re.compile(r"\s \s"), re.compile(r"(?<!\s)(?= )")
+LENGTH, ROWS, CACHED, LONGEST = 2048, 256, 250_000, 64
+#: Characters that are white space, letters and signs for every version of Unicode; apostrophes, which begin contractions, are none of them.
+SPACE, LETTER, SIGN = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Words, a line feed before one, signs, anything else up to white space, and what trails.
+PIECES = re.compile(rf" ?[{LETTER}]+(?=[{SPACE}{SIGN}]|\Z)|\n(?=[{LETTER}])| ?[{SIGN}]+(?=[{LETTER}{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\Z")
+WORD = re.compile(f" ?[{LETTER}]+")
+#: Before spaces that don't follow white space.
+SPACED = re.compile(r"(?<!\s)(?= )")
 
 
 class PieceCoder:
     """Encodes whole texts with the tokenizers library, of which it remembers pieces.
 
-    A byte-level pre-tokenizer ends a match before a space that follows a character which
-    isn't white space, and before one that is followed by such a character: only runs of
-    white space hold spaces together. So a text that is cut there encodes piece by piece.
+    A byte-level pre-tokenizer ends a match where white space follows anything else,
+    between a letter and a sign, and between one line feed and a letter. So a text that is
+    cut there encodes piece by piece. Words go to the library many at a time, line by
+    line: a line feed between two words is a token of its own.
     If the model has a normaliser or another pre-tokenizer, or a text holds one of its
     special strings and these aren't plain, the text goes to the library uncut.
     """
@@ -46,6 +53,7 @@ class PieceCoder:
         step = kind.get("pre_tokenizer") or {}
         self.cuts = not kind.get("normalizer") and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.special = [] if plain else [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0] if self.cuts else None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.forget()
 
@@ -56,9 +64,7 @@ class PieceCoder:
     def pieces(self, text: str) -> list[str]:
         if not self.cuts or any(x in text for x in self.special):
             return [text]
-        if INSIDE.search(text):
-            return SPACED.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else SPACED.split(text)
+        return PIECES.findall(text)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
@@ -70,14 +76,28 @@ class PieceCoder:
         for p in need & self.older.keys():
             self.known[p] = self.older[p]
         new = [p for p in need if p not in self.older]
-        for p, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(x.ids, self.dtype).tobytes()
+        self.known.update(self.encoded(new))
         found = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
         for p in new:
             if len(p) > LONGEST:
                 del self.known[p]
         return found
 
+    def encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each part with its ids, by the library."""
+        words = [p for p in parts if self.cuts and WORD.fullmatch(p)]
+        others = [p for p in parts if not (self.cuts and WORD.fullmatch(p))]
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("a line feed is no token of its own")
+            data, size = ids.tobytes(), self.dtype.itemsize
+            yield from zip(some, (data[size * (a + 1) : size * b] for a, b in zip([-1, *ends], ends, strict=False)), strict=True)
+        for p, x in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            yield p, np.array(x.ids, self.dtype).tobytes()
+
 
 @lru_cache(2)
 def coder(path: str, plain: bool = False) -> PieceCoder:
@@ -190,31 +210,28 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, length: int = LEN
         own, out, index, n_docs = coder(path), None, None, 0
         part, name = TaskContext.get().partitionId(), f"{into}/{uuid.uuid4().hex}"
         end = np.array([end_id], own.dtype)
-        try:
-            for x in slices(batches):
-                if x.num_rows == 0:
-                    continue
-                if out is None:
-                    fs, local = located(name)
-                    fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                    out = Sequences(fs, f"{local}.ids.arrow", own.dtype, length, rows)
-                    sink = fs.open_output_stream(f"{local}.docs.arrow")
-                    index = pa.ipc.new_file(sink, DOCS)
-                starts, sizes = [], []
-                for packed in own.packed([t or "" for t in x.column("text").to_pylist()]):
-                    starts.append(out.total)
-                    out.add(np.frombuffer(packed, own.dtype))
-                    out.add(end)
-                    sizes.append(out.total - starts[-1])
-                n_docs += x.num_rows
-                index.write_batch(pa.record_batch([x.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=DOCS))
-            if out is not None:
-                out.close()
-                index.close()
-                sink.close()
-                yield pa.RecordBatch.from_pylist([{"part": part, "ids_file": f"{name}.ids.arrow", "docs_file": f"{name}.docs.arrow", "n_docs": n_docs, "n_ids": out.total}])
-        finally:
-            own.forget()
+        for x in slices(batches):
+            if x.num_rows == 0:
+                continue
+            if out is None:
+                fs, local = located(name)
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                out = Sequences(fs, f"{local}.ids.arrow", own.dtype, length, rows)
+                sink = fs.open_output_stream(f"{local}.docs.arrow")
+                index = pa.ipc.new_file(sink, DOCS)
+            starts, sizes = [], []
+            for packed in own.packed([t or "" for t in x.column("text").to_pylist()]):
+                starts.append(out.total)
+                out.add(np.frombuffer(packed, own.dtype))
+                out.add(end)
+                sizes.append(out.total - starts[-1])
+            n_docs += x.num_rows
+            index.write_batch(pa.record_batch([x.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=DOCS))
+        if out is not None:
+            out.close()
+            index.close()
+            sink.close()
+            yield pa.RecordBatch.from_pylist([{"part": part, "ids_file": f"{name}.ids.arrow", "docs_file": f"{name}.docs.arrow", "n_docs": n_docs, "n_ids": out.total}])
 
     rows_of = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", F.xxhash64("text"), "row"]
