@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,31 +21,56 @@ def ignored(text: str) -> list[str]:
     return [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
 
 
-def _regex(globs: list[str]) -> str:
-    return "|".join(fnmatch.translate(g).replace(r"\Z", r"\z").replace(r"\z)", ")") for g in globs) or r"(?!)"
-
-
-def matches(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
-    """SRC-2, SRC-4: whether a relative path matches a glob: whole, by its last name, without a leading **/, or by a folder that the glob names. Globs become two regular expressions and a list of folders once, on the driver."""
-    whole, folders = [], []
-    for glob in globs:
-        bare = glob.rstrip("/")
-        short = glob.lstrip("*").lstrip("/")
-        whole += [glob, *([short] if short and short != glob else [])]
-        if bare and not re.search(r"[/*?]", bare):
-            folders.append(bare)
-        if "/**" in glob or "**/" in glob:
-            whole.append(glob.replace("**/", "*/").replace("/**", "/*"))
-            inner = glob.replace("**/", "").replace("/**", "").strip("/")
-            if inner and not re.search(r"[*?]", inner):
-                folders.append(inner)
-    found = path.rlike(_regex(whole)) | T.basename(path).rlike(_regex(whole))
-    return found | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders))) if folders else found
+def name_pattern(segment: str) -> str:
+    """A glob's segment as a regular expression: * is any run and ? one of characters other than a slash, [...] one of a class."""
+    kinds = re.compile(r"(?P<run>\*+)|(?P<one>\?)|\[(?P<no>[!^]?)(?P<set>[^]]+)\]|(?P<plain>.)", re.S)
+    out = []
+    for x in kinds.finditer(segment):
+        if x["run"]:
+            out.append("[^/]*")
+        elif x["one"]:
+            out.append("[^/]")
+        elif x["set"]:
+            out.append("[" + "^/" * bool(x["no"]) + re.sub(r"([\\\[&])", r"\\\1", x["set"]) + "]")
+        else:
+            out.append(re.escape(x["plain"]))
+    return "".join(out)
+
+
+def glob_pattern(glob: str, below: bool = False) -> str:
+    """A glob as one regular expression over relative paths.
+
+    A glob is a list of segments between slashes; the segment ** stands for any number of
+    folders, none too. It begins at the root if it has a slash inside and doesn't begin
+    with **, else at any folder. It ends where the path ends; a name without wildcards, a
+    glob that ends with a slash or with **, and with below any glob, also stand for
+    all that lies below a folder of that name.
+    """
+    segments = [x for x in glob.split("/") if x]
+    if not segments:
+        return r"(?!)"
+    rooted = "/" in glob.strip("/") and segments[0] != "**" or glob.startswith("/")
+    inner = [x for n, x in enumerate(segments) if x != "**" or 0 < n < len(segments) - 1]
+    if not inner:
+        return r"^"
+    parts = "".join(r"(?:[^/]+/)*" if x == "**" else name_pattern(x) + "/" for x in inner)[:-1]
+    if segments[-1] == "**" or glob.endswith("/"):
+        end = "/"
+    elif below or len(segments) == 1 and not re.search(r"[*?\[]", glob):
+        end = "(?:/|$)"
+    else:
+        end = "$"
+    return ("^" if rooted else "(?:^|/)") + parts + end
+
+
+def matches(path: Column, globs: list[str] | tuple[str, ...], below: bool = False) -> Column:
+    """SRC-2, SRC-4: whether a relative path matches one of the globs, see glob_pattern(); all of them are one regular expression."""
+    return path.rlike("|".join(f"(?:{glob_pattern(g, below)})" for g in globs) or r"(?!)")
 
 
 def verdict(path: Column, size: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, most: int = MOST_BYTES) -> Column:
-    """SRC-2, SRC-6: glob, size or ok, before a file is read."""
-    return F.when(matches(path, exclude) | ~matches(path, include), "glob").when(size > most, "size").otherwise("ok")
+    """SRC-2, SRC-6: glob, size or ok, before a file is read. What lies below an excluded folder is excluded."""
+    return F.when(matches(path, exclude, True) | ~matches(path, include), "glob").when(size > most, "size").otherwise("ok")
 
 
 def is_binary(content: Column) -> Column:
@@ -64,20 +88,29 @@ def stats(files: DataFrame) -> DataFrame:
 def walk(spark: SparkSession, root: str, section: str = "docs", include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, ignore: str = "") -> tuple[DataFrame, DataFrame]:
     """SRC-1: (documents, files) under a folder. documents: doc_id, content with its header, kind, path, relative, size, mtime; files: relative, size, verdict, kind.
 
-    Names and sizes come from the listing; only accepted files are read. Bytes that aren't
-    UTF-8 are replaced. ignore is the text of an ignore file. Names that start with a dot or
-    an underscore Spark doesn't list, so they are neither seen nor counted.
+    Names and sizes come from a listing that opens no file, so that a file may have any
+    size; then the accepted ones alone are read. Their paths pass through the driver, where
+    Spark's file index has them anyway. Bytes that aren't UTF-8 are replaced. ignore is the
+    text of an ignore file. Names that start with a dot or an underscore Spark doesn't
+    list, so they are neither seen nor counted. A file that goes in between is left out.
     """
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     plain = re.sub(r"^file:/+", "/", base)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "%20", " ")
-    own = listed.select(path.alias("path"), "length", "modificationTime", "content").withColumn("relative", F.substring("path", F.lit(len(plain) + 2), F.length("path")))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.col("path").alias("uri"), "length", "modificationTime")
+    path = F.regexp_replace(F.regexp_replace("uri", "^file:/+", "/"), "%20", " ")
+    own = listed.withColumn("path", path).withColumn("relative", F.substring("path", F.lit(len(plain) + 2), F.length("path")))
     own = own.withColumns({"early": verdict(F.col("relative"), F.col("length"), include, (*exclude, *ignored(ignore))), "kind": T.kind_of(F.col("path"))})
-    late = F.when((F.col("early") == "ok") & is_binary(F.col("content")), "binary").otherwise(F.col("early"))
-    files = own.select("relative", F.col("length").alias("size"), late.alias("verdict"), "kind")
-    good = own.filter("early = 'ok'").filter(~is_binary(F.col("content")))
+    taken = [r.uri for r in own.filter("early = 'ok'").select("uri").collect()]
+    if taken:
+        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in taken]  # load() takes globs
+        read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(literal).filter(F.col("length") <= MOST_BYTES)
+    else:
+        read = spark.createDataFrame([], "path string, content binary")
+    read = read.select(F.col("path").alias("uri"), "content")
+    binary = read.select("uri", is_binary(F.col("content")).alias("binary"))
+    files = own.join(binary, "uri", "left").select("relative", F.col("length").alias("size"), F.when((F.col("early") == "ok") & F.coalesce("binary", F.lit(False)), "binary").otherwise(F.col("early")).alias("verdict"), "kind")
+    good = own.filter("early = 'ok'").join(read.filter(~is_binary(F.col("content"))), "uri")
     header = T.source_header(T.basename(F.col("path")), T.section_of(F.lit(plain.rsplit("/", 1)[-1]), F.col("kind")) if section == "docs" else F.lit(section), F.date_format("modificationTime", "yyyy-MM-dd"))
     content = F.make_valid_utf8(F.col("content").cast("string"))
     docs = good.select(T.stable_id(F.col("path")).alias("doc_id"), T.with_header(content, header).alias("content"), "kind", "path", "relative", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

@@ -24,6 +24,50 @@ def test_walk(spark, tmp_path):
     assert (seen.seen, seen.accepted, seen.skipped_glob, seen.skipped_binary, seen.python) == (7, 3, 2, 1, 1)
 
 
+def test_walk_never_opens_what_it_leaves(spark, tmp_path):
+    """A file over 2 GiB, excluded or not, and names with signs that globs use."""
+    (tmp_path / "a [1] {x}.md").write_text("brackets")
+    for name in ("big.ckpt", "big.md"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(2_200_000_000)
+    (tmp_path / "target").mkdir()
+    (tmp_path / "target" / "locked.md").write_text("x")
+    (tmp_path / "target" / "locked.md").chmod(0)
+    docs, files = sources.walk(spark, str(tmp_path))
+    assert {x.relative: x.verdict for x in files.collect()} == {"a [1] {x}.md": "ok", "big.ckpt": "glob", "big.md": "size", "target/locked.md": "glob"}
+    assert [x.relative for x in docs.collect()] == ["a [1] {x}.md"]
+    (tmp_path / "none").mkdir()
+    docs, files = sources.walk(spark, str(tmp_path / "none"))
+    assert docs.count() == 0 and files.count() == 0
+
+
+@pytest.mark.parametrize(
+    ("glob", "yes", "no"),
+    [
+        ("**/*.md", ["a.md", "x/y/a.md"], ["a.md.txt", "a.md/b.py"]),
+        ("*.md", ["a.md", "x/a.md"], ["a.mdx"]),
+        ("docs/*.md", ["docs/a.md"], ["x/docs/a.md", "docs/x/a.md"]),
+        ("docs/**/a?.py", ["docs/a1.py", "docs/x/y/ab.py"], ["docs/a.py", "docs/x/abc.py"]),
+        ("**/node_modules/**", ["node_modules/x", "a/node_modules/b/c"], ["node_modules", "my_node_modules/x"]),
+        ("notes/", ["notes/a", "x/notes/b/c"], ["notes", "notes2/a"]),
+        ("build", ["build", "build/x", "a/build/y"], ["builds/x", "rebuild"]),
+        ("/top.md", ["top.md"], ["x/top.md"]),
+        ("f[0-9].t+t", ["f1.t+t"], ["fx.t+t", "f1.ttt"]),
+        ("f[!0-9]", ["fx"], ["f1"]),
+        ("", [], ["", "a"]),
+        ("**", ["a", "a/b"], []),
+    ],
+)
+def test_globs(spark, glob, yes, no):
+    rows = spark.createDataFrame([(p,) for p in [*yes, *no]], "path string")
+    assert [r.path for r in rows.filter(sources.matches(F.col("path"), [glob])).collect()] == yes
+
+
+def test_folders_that_are_excluded_take_what_is_below(spark):
+    rows = spark.createDataFrame([("secrets_x/a.md",), ("a/secretsy.md",), ("a/b.md",)], "path string")
+    assert [r.v for r in rows.select(sources.verdict(F.col("path"), F.lit(1)).alias("v")).collect()] == ["glob", "glob", "ok"]
+
+
 def test_chunk_store_and_graph(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"k1": {"content": "a", "file_path": "f", "chunk_index": 0, "source_doc_id": "d"}, "k2": {"content": "b", "file_path": "f", "chunk_index": 1, "source_doc_id": "d", "more": 1}}))
     assert {(x.chunk_id, x.content, x.chunk_index) for x in sources.chunk_store(spark, str(tmp_path / "c.json")).collect()} == {("k1", "a", 0), ("k2", "b", 1)}
