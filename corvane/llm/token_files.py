@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from corvane.llm.scratch import folder, slices, stored
 
 #: Ids of a sequence, sequences of a record batch, and pieces (twice, in two generations) that a worker remembers.
-LENGTH, ROWS, CACHED, LONGEST = 2048, 256, 250_000, 64
+LENGTH, ROWS, CACHED, LONGEST = 2048, 256, 600_000, 64
 #: Characters that are white space, letters and signs for every version of Unicode; apostrophes, which begin contractions, are none of them.
 SPACE, LETTER, SIGN = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Words, a line feed before one, signs, anything else up to white space, and what trails.
