@@ -28,6 +28,23 @@ def test_a_near_copy_takes_no_other_row_of_its_id(spark):
     assert rows_of(left) == sorted([(3, a), (None, b), (5, c), (None, None), (7, d), (7, d)], key=str)
 
 
+def test_near_copies_of_any_kind_go_and_others_stay(spark, monkeypatch):
+    """Texts that share 0.8 or more of their five-word shingles, in groups large enough to be checked in several tasks."""
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    r, rows = random.Random(12), []
+    for base in range(12):
+        words = prose(r, r.choice([8, 60, 300])).split()
+        for copy in range(r.choice([1, 3, 25])):
+            own = list(words)
+            for _ in range(0 if copy == 0 else r.randrange(0, max(1, len(words) // 55))):
+                own[r.randrange(len(own))] = prose(r, 1)
+            rows.append((base * 100 + copy, " ".join(own)))
+        far = [w if r.random() < 0.85 else prose(r, 1) for w in words]  # about 0.3 in common
+        rows.append((5000 + base, " ".join(far)))
+    left = rows_of(simhash.keep_one(spark.createDataFrame(rows, DOCS)))
+    assert left == sorted(plain_near(rows), key=str) and len(left) < len(rows) / 2
+
+
 def test_a_leak_takes_no_other_row_of_its_id(spark):
     r = random.Random(2)
     leak, a, b = f"{prose(r, 40)} {ITEM} {prose(r, 40)}", prose(r, 60), prose(r, 60)
@@ -83,11 +100,21 @@ def plain_lines(rows):
     return out
 
 
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
 def plain_near(rows):
     prints, of = [simhash.fingerprint(t) for _, t in rows], list(range(len(rows)))
+    sets = [shingles(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2 and of[i] != of[j]:
+            if of[i] != of[j] and ((prints[i] ^ prints[j]).bit_count() <= 2 or alike(sets[i], sets[j])):
                 of = [of[j] if x == of[i] else x for x in of]
     least = {c: min((i for (i, _), x in zip(rows, of, strict=True) if x == c and i is not None), default=None) for c in set(of)}
     return [x for x, c in zip(rows, of, strict=True) if x[0] == least[c]]
