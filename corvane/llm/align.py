@@ -19,7 +19,7 @@ from corvane.llm.token_files import PIECES as FINE
 from corvane.llm.tokens import Counter
 
 #: Pieces (twice, in two generations) that a worker remembers, bytes of text that go together, and pairs of ids up to which their counts are broadcast (16 bytes each, about 100 MB as a table).
-CACHED, CHARS, PAIRS = 200_000, 1_000_000, 2_000_000
+CACHED, CHARS, PAIRS = 120_000, 2_000_000, 2_000_000
 #: A token in one number: its end, then 0 for A or 1 for B, then its id; all ones below the end mark a group's end.
 WIDE = 32
 MARK = (1 << WIDE + 1) - 1
@@ -206,6 +206,24 @@ def said(group: Column) -> Column:
     return F.when(F.size(group) == 2, F.concat_ws("|", id_of(group[0]).cast("string"), id_of(group[1]).cast("string"))).otherwise(F.concat(ids(lambda x: ~is_b(x)), F.lit("|"), ids(is_b)))
 
 
+def aligned(p: Column) -> Column:
+    """(n, groups, links) of one piece: how many groups, their text, and the links."""
+    done = lambda n, text, links: F.struct(n.cast("long").alias("n"), text.alias("groups"), links.alias("links"))
+    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    link = lambda a, b: linked(a.cast("long"), b.cast("long"))
+    na, nb = F.size(p["a"]), F.size(p["b"])
+    whole = F.concat(ids(p["a"]), F.lit("|"), ids(p["b"]))
+
+    def many(groups: Column) -> Column:
+        return done(F.size(groups), F.array_join(F.transform(groups, said), ";"), F.flatten(F.transform(groups, links_of)))
+
+    return (
+        F.when(na == 1, done(F.lit(1), whole, F.transform(p["b"], lambda y: link(p["a"][0], y))))
+        .when(nb == 1, done(F.lit(1), whole, F.transform(p["a"], lambda x: link(x, p["b"][0]))))
+        .otherwise(bound(groups_of(p["a"], p["a_ends"], p["b"], p["b_ends"]), many))
+    )
+
+
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """The alignment of each row of docs: row, doc_id, n_a, n_b, n_groups, n_links, groups (as text), links.
 
@@ -214,13 +232,6 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shifted by 32 bits, and B's.
     """
 
-    def of_piece(p: Column) -> Column:
-        done = lambda n, text, links: F.struct(n.cast("long").alias("n"), text.alias("groups"), links.alias("links"))
-        one = done(F.lit(1), F.concat_ws("|", p["a"][0].cast("string"), p["b"][0].cast("string")), F.array(linked(p["a"][0].cast("long"), p["b"][0].cast("long"))))
-        groups = groups_of(p["a"], p["a_ends"], p["b"], p["b_ends"])
-        many = bound(groups, lambda g: done(F.size(g), F.array_join(F.transform(g, said), ";"), F.flatten(F.transform(g, links_of))))
-        return F.when((F.size(p["a"]) == 1) & (F.size(p["b"]) == 1), one).otherwise(many)
-
     def of_docs(pieces: Column) -> Column:
         def of_doc(x: Column) -> Column:
             n = F.aggregate(x["at"], F.lit(0).cast("long"), lambda s, i: s + pieces[i]["n"])
@@ -230,7 +241,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         return F.transform("docs", of_doc)
 
-    each = tokenised(docs, path_a, path_b).select(F.inline(bound(F.transform("pieces", of_piece), of_docs)))
+    each = tokenised(docs, path_a, path_b).select(F.inline(bound(F.transform("pieces", aligned), of_docs)))
     return each.withColumn("row", F.monotonically_increasing_id())
 
 
