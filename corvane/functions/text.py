@@ -261,3 +261,29 @@ def stable_id(path: Column, archive: str = "ingested", moved: dict[str, str] | N
     for actual, logical in reversed((moved or {}).items()):
         plain = F.when((plain == actual) | plain.startswith(actual + "/"), F.concat(F.lit(logical), F.substring(plain, F.lit(len(actual) + 1), F.length(plain)))).otherwise(plain)
     return F.concat(F.lit("file:"), F.left(F.sha2(plain, 256), F.lit(12)))
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON: short escapes where there are any, a blank for every other control character; null stays null."""
+    own = text
+    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        own = F.replace(own, F.lit(plain), F.lit(said))
+    return F.concat(F.lit('"'), F.regexp_replace(own, r"[\x00-\x1f\x7f]", " "), F.lit('"'))
+
+
+def safe_json(value: dict | list | Column, depth: int, longest: dict[str, int], items: int, name: str = "", level: int = 0) -> Column:
+    """TXT-35: a tree of dictionaries as JSON; leaves are strings, or arrays of strings, which stand in a list of one.
+
+    Strings are cut to longest[name] code points (200 by default), arrays to so many items;
+    what lies deeper than depth is "...". Nulls are null.
+    """
+    if isinstance(value, dict):
+        if level >= depth:
+            return F.lit('"..."')
+        parts = [F.concat(F.lit(("," if k else "") + f'"{key}":'), safe_json(v, depth, longest, items, key, level + 1)) for k, (key, v) in enumerate(value.items())]
+        return F.concat(F.lit("{"), *parts, F.lit("}"))
+    most = F.lit(longest.get(name, 200))
+    if isinstance(value, list):
+        said = F.array_join(F.transform(F.slice(value[0], 1, items), lambda x: json_string(F.left(x, most))), ",")
+        return F.coalesce(F.concat(F.lit("["), said, F.lit("]")), F.lit("null"))
+    return F.coalesce(json_string(F.left(value, most)), F.lit("null"))

@@ -63,32 +63,59 @@ def percentiles(rows: DataFrame, group: list[str], value: str, shares: dict[str,
 def bootstrap(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
     """AGG-10: (mean, low, high): the mean and its 95 % interval over that many resamples.
 
-    Every row takes a Poisson weight in every resample, drawn from its own hash, so that a
-    partition gives one row a resample whatever its size, and the result doesn't depend on
-    the partitioning.
+    Every row takes a Poisson weight in every resample, drawn from the hash of the row and
+    the resample's number, many rows at once, so that a partition gives one row a resample
+    whatever its size, and the result doesn't depend on the partitioning.
     """
+    import math
+
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])  # of the Poisson distribution with mean 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drawn(keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64)[:, None] + (np.arange(resamples, dtype=np.uint64) + np.uint64(1 + resamples * seed)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(steps, ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, total = np.zeros(resamples), np.zeros(resamples)
         for x in batches:
-            for v, key in zip(x.v.to_numpy(float), x.key.to_numpy(), strict=True):
-                w = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, (int(key) >> 32) & 0xFFFFFFFF]).poisson(1.0, resamples)
-                weight += w
-                total += w * v
-        yield pd.DataFrame({"b": np.arange(resamples, dtype=np.int32), "w": weight, "t": total})
+            v, keys = x.column("v").to_numpy(zero_copy_only=False), x.column("key").to_numpy(zero_copy_only=False)
+            for at in range(0, len(v), 256):
+                w = drawn(keys[at : at + 256])
+                weight += w.sum(0)
+                total += v[at : at + 256] @ w
+        yield pa.record_batch([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(weight), pa.array(total)], ["b", "w", "t"])
 
     given = rows.filter(F.col(value).isNotNull())
     own = given.select(F.col(value).cast("double").alias("v"), F.xxhash64(*given.columns).alias("key"))
-    means = own.mapInPandas(run, "b int, w double, t double").groupBy("b").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).filter("w > 0").select((F.col("t") / F.col("w")).alias("m"))
+    means = own.mapInArrow(run, "b int, w double, t double").groupBy("b").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).filter("w > 0").select((F.col("t") / F.col("w")).alias("m"))
     low_high = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # of one number a resample
     return given.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(low_high))
 
 
+def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """AGG-11: (mean, low, high, n): the mean of paired differences a - b and its 95 % interval by the normal distribution; pairs with a null don't count."""
+    d = F.col(a) - F.col(b)
+    own = rows.select(d.cast("double").alias("d")).filter("d is not null").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count(F.lit(1)).alias("n"))
+    half = 1.96 * F.coalesce("sd", F.lit(0.0)) / F.sqrt("n")
+    return own.select("mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), "n")
+
+
 def gate(baseline: DataFrame, candidate: DataFrame, tolerance: float = 0.02, latency: float = 0.2) -> DataFrame:
-    """REG-1: (metric, before, after, delta, passed) for the metrics (metric, value) that both reports have: no loss beyond tolerance; a latency may grow by that share."""
-    both = baseline.withColumnRenamed("value", "before").join(candidate.withColumnRenamed("value", "after"), "metric")
+    """REG-1: (metric, before, after, delta, comparable, passed) for the metrics (metric, value, queries, corpus) that either report has.
+
+    No loss beyond tolerance; a latency may grow by that share. Reports compare only if
+    they asked the same number of queries of the same corpus (nulls are the same as nulls);
+    where they don't, or one report lacks the metric, passed is null.
+    """
+    before = baseline.select("metric", F.col("value").alias("before"), F.struct("queries", "corpus").alias("asked"))
+    after = candidate.select("metric", F.col("value").alias("after"), F.struct("queries", "corpus").alias("asks"))
+    both = before.join(after, "metric", "full")
     slow = F.col("metric").startswith("latency")
+    comparable = F.coalesce(F.col("asked") == F.col("asks"), F.lit(False)) & F.col("before").isNotNull() & F.col("after").isNotNull()
     passed = F.when(slow, F.col("after") <= F.col("before") * (1 + latency)).otherwise(F.col("after") - F.col("before") >= -tolerance)
-    return both.select("metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"), passed.alias("passed"))
+    return both.select("metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"), comparable.alias("comparable"), F.when(comparable, passed).alias("passed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.store import stored
+
 
 def changes(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """ING-1, JN-12: (key, state) of old (key, was) and new (key, now): new, changed, unchanged or deleted. Only keys and digests are shuffled."""
@@ -81,3 +83,42 @@ def fingerprint_of(rows: DataFrame, line, digits: int = 16) -> DataFrame:
     own = rows.select(F.sha2(line, 256).alias("d"))
     half = lambda a: F.sum(F.conv(F.substring("d", a, 12), 16, 10).cast("decimal(38,0)"))
     return own.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", half(1).cast("string"), half(13).cast("string")), 256).alias("digest")).select("n", F.left("digest", F.lit(digits)).alias("digest"))
+
+
+def near_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """MIN-3: (item_id, other, share): pairs of items (item_id, words as a set), other the smaller id, that share least or more of their words.
+
+    Words are put in order of how rare they are. Two sets of which that share is common
+    have one of their first words in common: of n words, all but the last ceil(least * n)
+    and one more. Only those are joined, so that frequent words pair nothing, and each pair
+    found is checked on its whole sets. Null ids and empty sets have no pairs.
+    """
+    each = rows.filter("item_id is not null").select("item_id", F.explode("words").alias("word"))
+    rank = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(rank, "word").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    ordered = stored(ordered.select("item_id", F.transform("ws", lambda x: x["word"]).alias("ws")), "ordered")
+    n = F.size("ws")
+    first = ordered.select("item_id", n.alias("n"), F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("word"))
+    other = first.select(F.col("item_id").alias("other"), F.col("n").alias("m"), "word")
+    met = first.join(other, "word").filter((F.col("item_id") > F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("item_id", "other").distinct()
+    both = met.join(ordered, "item_id").join(ordered.select(F.col("item_id").alias("other"), F.col("ws").alias("vs")), "other")
+    share = F.size(F.array_intersect("ws", "vs")) / F.size(F.array_union("ws", "vs"))
+    return both.select("item_id", "other", share.alias("share")).filter(F.col("share") >= least)
+
+
+def taken(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """MIN-3: (item_id, taken): items in ascending order are taken unless an earlier taken one is near (item_id, other).
+
+    In rounds: an item without an open or taken item before it is taken, one that is near a
+    taken one is not, the others stay open; each round settles the least open ones at
+    least, and chains are as long as near items follow each other.
+    """
+    links = stored(near.select("item_id", "other").distinct(), "near")
+    settled = stored(rows.filter("item_id is not null").select("item_id").distinct().join(links.select("item_id").distinct(), "item_id", "left_anti").withColumn("taken", F.lit(True)), "settled")
+    while not links.isEmpty():
+        known = links.join(settled.select(F.col("item_id").alias("other"), "taken"), "other", "left")
+        state = known.groupBy("item_id").agg(F.coalesce(F.bool_or("taken"), F.lit(False)).alias("hit"), F.count_if(F.col("taken").isNull()).alias("open"))
+        fresh = stored(state.filter("hit or open = 0").select("item_id", (~F.col("hit")).alias("taken")), "fresh")
+        settled = stored(settled.unionByName(fresh), "settled")
+        links = stored(links.join(fresh.select("item_id"), "item_id", "left_anti"), "near")
+    return settled

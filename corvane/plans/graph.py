@@ -215,11 +215,11 @@ def gr_18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name in ("top_6", "snk_9"):
 
-    @query(_name, f"WITH {EDGES}, k AS (SELECT node, degree FROM degree ORDER BY degree DESC, node LIMIT 40) SELECT a, b, x.degree AS degree_a, y.degree AS degree_b FROM edges JOIN k x ON x.node = a JOIN k y ON y.node = b ORDER BY a, b LIMIT 100")
+    @query(_name, f"WITH {EDGES}, k AS (SELECT node, degree FROM degree ORDER BY degree DESC, node LIMIT 400) SELECT a, b, x.degree AS degree_a, y.degree AS degree_b FROM edges JOIN k x ON x.node = a JOIN k y ON y.node = b ORDER BY a, b LIMIT 100")
     def top_6(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The nodes of greatest degree and the edges between them: a bounded sample for display."""
         own = edges(spark, sf_dir)
-        top = F.broadcast(G.degrees(own).orderBy(F.desc("degree"), "node").limit(40))
+        top = F.broadcast(G.degrees(own).orderBy(F.desc("degree"), "node").limit(400))
         a, b = (top.select(F.col("node").alias(x), F.col("degree").alias(f"degree_{x}")) for x in "ab")
         return own.join(a, "a").join(b, "b").select("a", "b", "degree_a", "degree_b").orderBy("a", "b").limit(100)
 

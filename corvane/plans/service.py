@@ -35,11 +35,15 @@ def txt_33(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", ok.alias("ok"), F.when(ok, F.concat(F.array_join(body, "\n"), F.lit("\n<|COMPLETE|>"))).otherwise("").alias("cleaned"))
 
 
-@query("txt_35", "SELECT doc_id, '{\"text\":' || to_json(substring(text, 1, 500)) || ',\"words\":' || to_json(string_split(text, ' ')[1:20]) || '}' AS safe FROM documents WHERE NOT regexp_matches(text, '[\\x00-\\x1f\\\\/\\x7f]')")
+# Text as JSON, written out so that every engine escapes alike: short escapes, and a blank for other control characters.
+_SAID = r"""'"' || regexp_replace(replace(replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), '[\x00-\x1f\x7f]', ' ', 'g') || '"'"""
+
+
+@query("txt_35", "SELECT doc_id, '{\"text\":' || " + _SAID.format(x="substring(text, 1, 500)") + " || ',\"words\":[' || array_to_string(list_transform(string_split(text, ' ')[1:20], lambda w: " + _SAID.format(x="substring(w, 1, 40)") + "), ',') || '],\"meta\":{\"source\":' || " + _SAID.format(x="source") + " || ',\"more\":\"...\"}}' AS safe FROM documents")
 def txt_35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values made fit for JSON: long strings and lists are cut (texts without control characters, whose escapes differ between engines)."""
-    own = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[\x00-\x1f\\/\x7f]"))
-    return own.select("doc_id", F.to_json(F.struct(F.left("text", F.lit(500)).alias("text"), F.slice(F.split("text", " "), 1, 20).alias("words"))).alias("safe"))
+    """Values made fit for JSON: long strings and lists are cut, what lies deeper than two levels becomes dots."""
+    value = {"text": F.col("text"), "words": [F.split("text", " ")], "meta": {"source": F.col("source"), "more": {"lang": F.col("lang"), "chars": F.col("n_chars").cast("string")}}}
+    return table(spark, sf_dir, "documents").select("doc_id", T.safe_json(value, depth=2, longest={"text": 500, "words": 40}, items=20).alias("safe"))
 
 
 @query("chk_7")

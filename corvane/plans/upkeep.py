@@ -104,11 +104,10 @@ def ing_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("ing_11", "SELECT c_custkey AS orphan FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("ing_11", "SELECT doc_id AS orphan FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def ing_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a repair would delete (a dry run)."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.col("c_custkey").alias("orphan"))
+    """What a repair would delete (a dry run): documents that the other store doesn't know."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("orphan")).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("orphan")), "orphan", "left_anti")
 
 
 _MERGE = "SELECT doc_id, 'old' AS side FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 5 = 0"
@@ -310,19 +309,25 @@ def min_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
 
 
-@query(
-    "min_3",
-    "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS ws FROM benchmark), k AS (SELECT item_id, unnest(ws) AS t FROM w), p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM k a JOIN k b ON a.t = b.t AND a.item_id > b.item_id), j AS (SELECT p.a, p.b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS s FROM p JOIN w x ON x.item_id = p.a JOIN w y ON y.item_id = p.b) "
-    "SELECT a AS item_id, max(s) AS nearest, max(s) >= 0.48 AS rejected FROM j GROUP BY a",
-)
+_NEAR = "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS ws FROM benchmark), k AS (SELECT item_id, unnest(ws) AS t FROM w), p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM k a JOIN k b ON a.t = b.t AND a.item_id > b.item_id), j AS (SELECT p.a, p.b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS s FROM p JOIN w x ON x.item_id = p.a JOIN w y ON y.item_id = p.b WHERE s >= 0.48::DOUBLE)"
+
+
+def near_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("words"))
+    return K.near_pairs(own, 0.48)
+
+
+@query("min_3", f"{_NEAR}, n AS (SELECT a AS item_id, max(s) AS nearest FROM j GROUP BY a) SELECT item_id, nearest, nearest IS NOT NULL AS near FROM benchmark LEFT JOIN n USING (item_id)")
 def min_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions too near an earlier one, by the share of common words: counts of shared words give it, without pairing what shares none."""
-    own = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("ws"))
-    each = own.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("t"))
-    other = each.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "t")
-    both = each.join(other, "t").filter("item_id > b").groupBy("item_id", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    best = both.groupBy("item_id").agg(F.max(F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("nearest"))
-    return best.withColumn("rejected", F.col("nearest") >= 0.48)
+    """The nearest earlier question that shares 0.48 or more of the words."""
+    best = near_questions(spark, sf_dir).groupBy("item_id").agg(F.max("share").alias("nearest"))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(best, "item_id", "left").withColumn("near", F.col("nearest").isNotNull())
+
+
+@query("min_3a")
+def min_3a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions taken in their order, each unless a taken one is near: no SQL; the tests compare a plain loop."""
+    return K.taken(table(spark, sf_dir, "benchmark").select("item_id"), near_questions(spark, sf_dir))
 
 
 @query("min_5", "SELECT o_orderkey, ('0x' || substring(sha256(o_orderkey || '|' || o_custkey), 1, 8))::BIGINT % 2 AS bucket FROM orders")

@@ -181,3 +181,47 @@ def test_a_skipped_piece_takes_no_room(spark):
 def test_every_query_without_sql_runs(spark, sf_dir):
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
         assert catalog.queries()[name](spark, sf_dir).count() > 0, name
+
+
+def test_questions_are_taken_unless_a_taken_one_is_near(spark):
+    import random
+
+    from corvane.operators import upkeep as K
+
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(40)]
+    sets = []
+    for k in range(150):
+        own = set(r.sample(base, r.randrange(1, 9))) if k % 3 or not sets else set(sets[r.randrange(len(sets))]) ^ set(r.sample(base, r.randrange(0, 2)))
+        sets.append(sorted(own))
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(sets)] + [(900, []), (None, ["w1"])], "item_id long, words array<string>")
+    pairs = K.near_pairs(rows, 0.5)
+    want = {(i, j): len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) for i in range(150) for j in range(i) if sets[i] and sets[j]}
+    want = {k: s for k, s in want.items() if s >= 0.5}
+    assert {(x.item_id, x.other): x.share for x in pairs.collect()} == pytest.approx(want)
+    kept = set()
+    for i in range(150):
+        if not any((i, j) in want for j in kept):
+            kept.add(i)
+    assert {x.item_id for x in K.taken(rows, pairs).filter("taken").collect()} == kept | {900} and len(kept) < 140
+
+
+def test_reports_that_asked_other_things_are_not_compared(spark):
+    from corvane.operators import evaluation as E
+
+    shape = "metric string, value double, queries long, corpus string"
+    a = spark.createDataFrame([("mrr", 0.5, 10, "c"), ("recall", 0.5, 10, "c"), ("latency_p95", 10.0, 10, "c"), ("old", 1.0, 10, "c"), ("none", 0.1, None, None)], shape)
+    b = spark.createDataFrame([("mrr", 0.47, 10, "c"), ("recall", 0.9, 9, "c"), ("latency_p95", 11.0, 10, "c"), ("new", 1.0, 10, "c"), ("none", 0.1, None, None)], shape)
+    assert {x.metric: (x.comparable, x.passed) for x in E.gate(a, b).collect()} == {"mrr": (True, False), "recall": (False, None), "latency_p95": (True, True), "old": (False, None), "new": (False, None), "none": (True, True)}
+    d = E.paired(spark.createDataFrame([(1.0, 0.5), (2.0, 1.0), (None, 1.0)], "a double, b double"), "a", "b").first()
+    assert (d.mean, d.n) == (0.75, 2) and d.low < 0.75 < d.high
+
+
+def test_any_text_is_fit_for_json(spark):
+    import json
+
+    from corvane.functions import text as T
+
+    rows = spark.createDataFrame([('a"b\\c\n\r\t\x01\x7f/é', ["x\\", '"'] * 3), (None, None)], "t string, w array<string>")
+    got = [json.loads(x.j) for x in rows.select(T.safe_json({"t": F.col("t"), "w": [F.col("w")], "m": {"d": {"e": F.col("t")}}}, 2, {"t": 9}, 4).alias("j")).collect()]
+    assert got == [{"t": 'a"b\\c\n\r\t ', "w": ["x\\", '"', "x\\", '"'], "m": {"d": "..."}}, {"t": None, "w": None, "m": {"d": "..."}}]
