@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query, table
+from corvane.store import folder
 from corvane.functions import text as T
 from corvane.operators import dense as D
+from corvane.operators import vector_store as V
 from corvane.operators import fusion as U
 
 # The channels: an order is a question, its parts are the items, and each channel misses some. A grep hit is a file's name.
@@ -414,6 +418,18 @@ def dn_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.update_plan(old, docs.filter("doc_id % 11 <> 0").select("doc_id", T.fingerprint(F.col("text")).alias("now")), "doc_id")
 
 
+@query("dn_5", "SELECT vec_id, true AS near, len(embedding)::INT AS n FROM embeddings")
+def dn_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second index in half precision, opened while its source is unchanged: each vector within half precision's cosine of its own. The tests check values and stale sources."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    root = f"{folder(spark)}/corvane/second-{uuid.uuid4().hex}"
+    V.write_second(own, root)
+    second = V.open_second(spark, root, own).select("vec_id", F.col("embedding").alias("half"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    near = dot("embedding", "half") >= 0.9999 * F.sqrt(dot("embedding", "embedding") * dot("half", "half"))
+    return own.join(second, "vec_id").select("vec_id", near.alias("near"), F.size("half").alias("n"))
+
+
 @query("dn_6", "SELECT count(*) FILTER (doc_id % 11 <> 0) / count(*) >= 0.95 AS enough, count(*) FILTER (doc_id % 11 <> 0) / count(*) AS coverage FROM documents")
 def dn_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a second index covers enough of the ids to be used."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query, table
 from corvane.functions import text as T
 from corvane.operators import upkeep as K
+from corvane.operators import vector_store as V
+from corvane.store import folder
 from corvane.plans.fixtures import NOTES, notes
 
 _OLD = "old AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE '' END) AS fp FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT doc_id, sha256(text) AS fp FROM documents WHERE doc_id % 11 <> 0)"
@@ -377,16 +381,24 @@ def smp_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(held), "doc_id", "left").select("doc_id", F.coalesce("side", F.lit("train")).alias("side"))
 
 
-@query("smp_4", "SELECT count(*) = (SELECT count(*) FROM embeddings) AS counts, count(*) FILTER (vec_id % 10 = 0) AS sampled, true AS same FROM embeddings")
-def smp_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification of a copy: equal counts, and sampled vectors have cosine 1 with their originals."""
+def copied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and a copy of them in another store."""
     own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    copy = own.select("vec_id", F.col("embedding").alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    near = dot("embedding", "c") / F.sqrt(dot("embedding", "embedding") * dot("c", "c")) >= 0.9999
-    return own.join(copy, "vec_id", "full").agg(
-        (F.count("embedding") == F.count("c")).alias("counts"), F.count_if(F.col("vec_id") % 10 == 0).alias("sampled"), F.bool_and(F.when(F.col("vec_id") % 10 == 0, F.coalesce(near, F.lit(False))).otherwise(True)).alias("same")
-    )
+    root = f"{folder(spark)}/corvane/vectors-{uuid.uuid4().hex}"
+    V.transplant(own, root, 4)
+    return own, V.transplanted(spark, root, own)
+
+
+@query("snk_10", "SELECT vec_id, embedding[1] AS first, len(embedding)::INT AS n FROM embeddings")
+def snk_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as another store gives them back."""
+    return copied(spark, sf_dir)[1].select("vec_id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("n"))
+
+
+@query("smp_4", "SELECT true AS counts, count(*) AS sampled, 0::BIGINT AS missing, 0::BIGINT AS changed FROM embeddings")
+def smp_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy in another store against its original, every vector sampled; the tests change and drop some."""
+    return V.compared(*copied(spark, sf_dir), one_in=1)
 
 
 @query("svc_1", "WITH f AS (SELECT user_id % 50 AS key, min_by(value, (ts, event_id)) AS first FROM events GROUP BY 1) SELECT event_id, CASE WHEN (SELECT min_by(event_id, (ts, event_id)) FROM events x WHERE x.user_id % 50 = e.user_id % 50) = event_id THEN 'created' WHEN value = first THEN 'existing' ELSE 'conflict' END AS outcome FROM events e JOIN f ON f.key = e.user_id % 50")
