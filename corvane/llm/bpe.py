@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import slices
+from corvane.llm.scratch import release, slices
 
 #: Bytes of a match, and code points of a text, up to which nothing is halved.
 PIECE_LEAF, TEXT_LEAF = 2, 1 << 12
@@ -217,6 +217,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, reach: i
                 yield pa.record_batch(out, names)
         finally:
             coder.forget()
+            release()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import bounded_broadcast, slices, stored
+from corvane.llm.scratch import bounded_broadcast, release, slices, stored
 from corvane.operators.components import components
 
 BITS, SEED = 64, 42
@@ -206,6 +206,8 @@ def similar_texts(docs: DataFrame, own: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(common >= SIMILAR * (len(p) + len(q) - common))
             yield x.select(["text_key", "rep"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
+        known.cache_clear()
+        release()
 
     return both.select("text_key", "rep", "text", "rep_text").mapInArrow(run, "a long, b long")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import slices
+from corvane.llm.scratch import release, slices
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
@@ -278,6 +278,7 @@ def toxicity(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> D
                 yield pa.record_batch([x.column("doc_id"), pa.array(scored(net.value, x.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
         finally:
             net.value.forget()
+            release()
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -293,5 +294,6 @@ def without_toxic(docs: DataFrame, model: Network, threshold: float = THRESHOLD)
                 yield x.filter(pa.array([s < threshold for s in scored(net.value, x.column("text").to_pylist())]))
         finally:
             net.value.forget()
+            release()
 
     return docs.mapInArrow(run, docs.schema)
