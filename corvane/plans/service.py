@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.catalog import query, table
 from corvane.functions import text as T
 from corvane.operators import chunking as C
+from corvane.operators import ranker as R
 from corvane.operators import upkeep as K
 from corvane.operators.structured import typed_blocks
 from corvane.plans.evaluation import features, ltr_4
@@ -193,18 +194,15 @@ def dn_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", "content").mapInPandas(run, "chunk_id string, embedding array<double>")
 
 
+#: The learner's features, in order.
+LEARNT = ["dense_norm", "sparse_norm", "grep_norm", "dense", "sparse", "grep", "fused", "gap", "base_rr", "dense_rr", "sparse_rr", "grep_rr", "channels", "log_chars", "code"]
+
+
 @query("ltr_6")
 def ltr_6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pairwise ranker: a logistic model on differences of features, of each relevant item with at most eight others of its query, chosen by hash. Returns the weights."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    names = ["dense_norm", "sparse_norm", "grep_norm", "base_rr", "gap"]
-    own = features(spark, sf_dir).join(ltr_4(spark, sf_dir), ["query_id", "item_id"]).select("query_id", "item_id", "label", F.array(*names).alias("x"))
-    few = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("query_id", "item_id")))).filter("n <= 8")
-    pairs = own.filter("label > 0").join(few.selectExpr("query_id", "label as other", "x as y"), "query_id").filter("label > other")
-    diff = F.zip_with("x", "y", lambda a, b: a - b)
-    turned = F.xxhash64("query_id", "item_id", "other") % 2 == 0  # half the pairs the other way round, so that both classes exist
-    rows = pairs.select(array_to_vector(F.when(turned, F.transform(diff, lambda v: -v)).otherwise(diff)).alias("features"), F.when(turned, 0.0).otherwise(1.0).alias("label"))
-    model = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=30).fit(rows)
-    return spark.createDataFrame([(n, float(w)) for n, w in zip(names, model.coefficients, strict=True)], "feature string, weight double")
+    """LambdaRank on four fifths of the queries; each item of the others with its label, the model's score and the place that it gives. The tests compare nDCG with the base order."""
+    own = features(spark, sf_dir).join(ltr_4(spark, sf_dir), ["query_id", "item_id"]).select("query_id", "item_id", "rank", "label", F.array(*LEARNT).alias("x"))
+    held = F.pmod(F.xxhash64("query_id"), F.lit(5)) == 0
+    model = R.fit(own.filter(~held), len(LEARNT), trees=8)
+    scored = own.filter(held).select("query_id", "item_id", "rank", "label", R.score(model, F.col("x")).alias("score"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.rint(F.col("score") / 1e-9)), "rank")))
