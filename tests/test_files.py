@@ -120,3 +120,21 @@ def test_stream_keeps_its_state(spark, tmp_path):
     assert ingest.state(spark, root).count() == 3
     ingest.ingest(spark, source, root, shape)
     assert spark.read.parquet(f"{root}/events").count() == 5
+
+
+def test_the_stream_rewrites_touched_buckets_alone(spark, tmp_path):
+    source, root, shape = str(tmp_path / "in"), str(tmp_path / "out"), "doc_id long, text string"
+    want = {k: f"t{k}" for k in range(300)}
+    spark.createDataFrame(list(want.items()), shape).coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest(spark, source, root, shape)
+    before = spark.read.parquet(f"{root}/state/batch=0").count()
+    for k in range(4):
+        want[7] = f"again {k}"
+        spark.createDataFrame([(7, want[7])], shape).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(spark, source, root, shape)
+    parts = sorted(p.parent.name for p in (tmp_path / "out" / "state").glob("batch=*/bucket=*"))
+    assert before == 300 and parts.count("batch=0") == ingest.BUCKETS - 1 and [p for p in parts if p != "batch=0"] == ["batch=3", "batch=4"]
+    from corvane.functions.text import fingerprint
+
+    same = spark.createDataFrame(list(want.items()), shape).select("doc_id", fingerprint(F.col("text")).alias("fp"))
+    assert sorted(map(tuple, ingest.state(spark, root).collect())) == sorted(map(tuple, same.collect()))
