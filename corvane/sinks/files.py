@@ -77,3 +77,42 @@ def write_sidecars(sections: DataFrame, path: str) -> None:
     notes = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("sections"))  # a note's own
     out = notes.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), "doc_id", F.to_json("sections").alias("manifest"))
     out.write.mode("overwrite").partitionBy("part").json(path)
+
+
+def put_artifacts(artifacts: DataFrame, root: str) -> DataFrame:
+    """SNK-7: store artifacts (key, content as binary) by the digest of their content; returns (key, digest, bytes).
+
+    Equal contents are stored once in a call. Folders go by the digest's first two digits,
+    so that a read opens those of its digests alone. Null contents are left out.
+    """
+    own = artifacts.filter("content is not null").select("key", F.sha2("content", 256).alias("digest"), "content")
+    once = own.groupBy("digest").agg(F.first("content").alias("content")).withColumn("part", F.left("digest", F.lit(2)))
+    once.repartition("part").write.mode("append").partitionBy("part").parquet(f"{root}/contents")
+    known = own.select("key", "digest", F.length("content").cast("long").alias("bytes"))
+    known.write.mode("append").parquet(f"{root}/keys")
+    return known
+
+
+def get_artifacts(spark: SparkSession, root: str, asked: DataFrame) -> DataFrame:
+    """SNK-7: (digest, content) of the asked digests (column digest), each checked against its content as it is read: one that was damaged ends the read. What isn't there has no row."""
+    parts = [r.part for r in asked.select(F.left("digest", F.lit(2)).alias("part")).distinct().collect()]  # 256 at most
+    held = spark.read.schema("digest string, content binary, part string").parquet(f"{root}/contents").filter(F.col("part").isin(parts))
+    found = held.join(asked.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
+    said = F.concat(F.lit("an artifact is damaged: "), F.col("digest"))
+    return found.select("digest", F.when(F.sha2("content", 256) == F.col("digest"), F.col("content")).otherwise(F.raise_error(said).cast("binary")).alias("content"))
+
+
+def export_store(spark: SparkSession, path: str, to: str) -> dict:
+    """SNK-11: a store of write_store(), checked, copied to another folder; the copy is a store too. Returns its manifest."""
+    rows = read_store(spark, path)
+    manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+    return write_store(rows, to, manifest["settings"])
+
+
+def import_store(spark: SparkSession, exported: str, path: str, force: bool = False) -> dict:
+    """SNK-11: an exported store put in place of the one at path, in whole or not at all; a copy that isn't what its manifest says is refused."""
+    mark = json.loads("\n".join(r.value for r in spark.read.text(f"{exported}/manifest.json").collect()))
+    made = write_store(read_store(spark, exported), path, mark["settings"], force)
+    if made["fingerprint"] != mark["fingerprint"]:
+        raise ValueError(f"{path} does not hold what was exported")
+    return made

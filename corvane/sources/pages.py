@@ -64,7 +64,7 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Pages]:
         n, step = self.client().count(self.tenant), self.size * self.many
-        return [Pages(self.tenant, a, min(n, a + step)) for a in range(0, n, step)]
+        return [Pages(self.tenant, a, min(n, a + step)) for a in range(0, n, step)] or [Pages(self.tenant, 0, 0)]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         """A batch a page; a page that comes back short is an error, since rows would be missing."""

@@ -138,3 +138,30 @@ def test_the_stream_rewrites_touched_buckets_alone(spark, tmp_path):
 
     same = spark.createDataFrame(list(want.items()), shape).select("doc_id", fingerprint(F.col("text")).alias("fp"))
     assert sorted(map(tuple, ingest.state(spark, root).collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_artifacts_are_checked_as_they_are_read(spark, tmp_path):
+    at = str(tmp_path / "artifacts")
+    put = sinks.put_artifacts(spark.createDataFrame([("a", b"one"), ("b", b"two"), ("c", b"one"), ("d", b""), ("e", None)], "key string, content binary"), at)
+    digests = {r.key: r.digest for r in put.collect()}
+    assert set(digests) == {"a", "b", "c", "d"} and digests["a"] == digests["c"]
+    asked = spark.createDataFrame([(digests["a"],), (digests["d"],), ("0" * 64,)], "digest string")
+    assert {r.digest: bytes(r.content) for r in sinks.get_artifacts(spark, at, asked).collect()} == {digests["a"]: b"one", digests["d"]: b""}
+    spark.createDataFrame([("ab" * 32, b"other")], "digest string, content binary").withColumn("part", F.lit("ab")).write.mode("append").partitionBy("part").parquet(f"{at}/contents")
+    with pytest.raises(Exception, match="damaged"):
+        sinks.get_artifacts(spark, at, spark.createDataFrame([("ab" * 32,)], "digest string")).collect()
+
+
+def test_a_store_goes_out_and_comes_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, None)], "chunk_index int, content string")
+    at, out, back = (str(tmp_path / x) for x in ("store", "out", "back"))
+    sinks.write_store(rows, at, {"size": 1200})
+    sinks.write_store(rows.limit(1), back)
+    assert sinks.export_store(spark, at, out)["settings"] == {"size": 1200}
+    assert sinks.import_store(spark, out, back)["rows"] == 3
+    assert sorted(map(str, sinks.read_store(spark, back).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "out" / "manifest.json").write_text((tmp_path / "out" / "manifest.json").read_text().replace('"rows": 3', '"rows": 2'))
+    (tmp_path / "out" / ".manifest.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        sinks.import_store(spark, out, back)
+    assert sinks.read_store(spark, back).count() == 3
