@@ -52,7 +52,7 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.lines import without_repeated_lines
 
-    return without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return without_repeated_lines(table(spark, sf_dir, "documents"), shortest=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
