@@ -17,12 +17,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts, and n_chars follows; all documents stay."""
-    return lines.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated lines go from the texts (those of under 10 code points only if equal), and n_chars follows; all documents stay."""
+    return lines.without_repeated_lines(docs, shortest=10).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near copies (by fingerprint, or 0.8 of the five-word shingles) the document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
