@@ -127,3 +127,21 @@ def ev_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("golds")).cast("int")), F.lit(0.0), lambda a, x: a + 1 / F.log2(x + 1))
     return each.select("query_id", "golds", (F.col("found") / F.col("golds")).alias("recall"), "rr", (F.col("dcg") / ideal).alias("ndcg"))
+
+
+_LIVE = POSTINGS.replace("FROM documents WHERE length(text) > 0", "FROM documents WHERE length(text) > 0 AND (doc_id % 10 = 0 OR doc_id % 7 <> 0)")
+
+
+@query("ing_4", f"WITH {_LIVE} SELECT p.chunk_id, doc_id, tok, dl, tf FROM p JOIN chunks USING (chunk_id)")
+def ing_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of nine tenths of the documents, to which deletes and inserts are applied in batches: what a build of the documents that are left gives."""
+    import uuid
+
+    from corvane.operators import live_index as L
+    from corvane.store import folder
+
+    root = f"{folder(spark)}/corvane/live-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    L.apply_changes(spark, root, docs.limit(0).select("doc_id"), window_chunks(docs.filter("doc_id % 10 <> 0")), batch=64)
+    live = L.apply_changes(spark, root, docs.filter("doc_id % 7 = 0").select("doc_id"), window_chunks(docs.filter("doc_id % 10 = 0")), batch=64)
+    return live.postings.select("chunk_id", "doc_id", "tok", "dl", "tf")
