@@ -97,6 +97,21 @@ def bootstrap(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 1)
     return given.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(low_high))
 
 
+def report(measured: DataFrame, calls: DataFrame, latency: str) -> DataFrame:
+    """EV-7: one row of means over queries (measured: recall, ndcg, rr, found) and of the calls' latencies: mean, p50, p95 and how many; nulls don't count.
+
+    If no gold item of any query was found at all, the gold set belongs to another corpus,
+    and the report is an error, not a row of zeros. No queries give nulls.
+    """
+    means = measured.agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.avg("rr").alias("mrr"), F.sum("found").alias("matched"), F.count(F.lit(1)).alias("_n"))
+    guard = F.raise_error(F.lit("no gold item was found: the gold set and the corpus don't belong together")).cast("long")
+    means = means.withColumn("matched", F.when((F.col("_n") > 0) & (F.coalesce("matched", F.lit(0)) == 0), guard).otherwise(F.col("matched"))).drop("_n")
+    own = calls.filter(F.col(latency).isNotNull()).select(F.lit(1).alias("_all"), F.col(latency).alias("_v"))
+    places = percentiles(own, ["_all"], "_v", {"latency_p50": 0.5, "latency_p95": 0.95}).drop("_all")
+    sizes = own.agg(F.avg("_v").alias("latency_mean"), F.count("_v").alias("calls"))
+    return means.crossJoin(F.broadcast(sizes)).join(F.broadcast(places), F.lit(True), "left")  # one row each
+
+
 def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
     """AGG-11: (mean, low, high, n): the mean of paired differences a - b and its 95 % interval by the normal distribution; pairs with a null don't count."""
     d = F.col(a) - F.col(b)

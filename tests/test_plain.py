@@ -225,3 +225,14 @@ def test_any_text_is_fit_for_json(spark):
     rows = spark.createDataFrame([('a"b\\c\n\r\t\x01\x7f/é', ["x\\", '"'] * 3), (None, None)], "t string, w array<string>")
     got = [json.loads(x.j) for x in rows.select(T.safe_json({"t": F.col("t"), "w": [F.col("w")], "m": {"d": {"e": F.col("t")}}}, 2, {"t": 9}, 4).alias("j")).collect()]
     assert got == [{"t": 'a"b\\c\n\r\t ', "w": ["x\\", '"', "x\\", '"'], "m": {"d": "..."}}, {"t": None, "w": None, "m": {"d": "..."}}]
+
+
+def test_a_report_over_another_corpus_is_an_error(spark):
+    shape = "recall double, ndcg double, rr double, found long"
+    calls = spark.createDataFrame([(1.0,), (3.0,), (None,), (9.0,)], "ms double")
+    r = E.report(spark.createDataFrame([(1.0, 0.5, 1.0, 2), (0.0, 0.0, 0.0, 0)], shape), calls, "ms").first()
+    assert (r.recall, r.mrr, r.matched, r.calls, r.latency_p50, r.latency_p95) == (0.5, 0.5, 2, 3, 3.0, 9.0) and r.latency_mean == pytest.approx(13 / 3)
+    with pytest.raises(Exception, match="belong together"):
+        E.report(spark.createDataFrame([(0.0, 0.0, 0.0, 0)], shape), calls, "ms").collect()
+    none = E.report(spark.createDataFrame([], shape), calls.limit(0), "ms").first()
+    assert none.recall is None and none.calls == 0 and none.latency_p95 is None
