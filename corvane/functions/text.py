@@ -13,16 +13,30 @@ CAMEL = "[a-z0-9][A-Z]"
 PREFIXED = "^[A-Za-z][A-Za-z0-9]*:[0-9A-Za-z]{4,}$"
 BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 CYRILLIC = r"[\x{0400}-\x{052F}]"
+# Dates in headers and front matter, front matter itself, a header's line.
 HEADER_DATE = r"\[Document:[^|]*\|\s*Section:[^|]*\|\s*Date:\s*([0-9]{4}-[0-9]{2}-[0-9]{2}|unknown)\s*\]"
 FRONT_DATE = r"(?m)^(?:date|updated|last_updated):\s*['\x22]?([0-9]{4}-[0-9]{2}-[0-9]{2})"
 FRONT = r"^[ \t\r]*---[ \t\r]*\n(?:[^\n]*\n){0,198}?[ \t\r]*---[ \t\r]*(?:\n|$)"
 HEADER_LINE = r"(?m)^\[Document: [^\n]*\| Date: [^\n]*\]\n\n"
+# What says of itself that it is out of date.
 MARKER = r"(?i)^\s*[-–—]*\s*(?:DEPRECATED|OBSOLETE|RETRACTED|SUPERSEDED)\b"
 SELF = r"(?i)\*\*THIS (?:MEMORY|DOCUMENT|NOTE) IS (?:DEPRECATED|OBSOLETE|SUPERSEDED)\b"
+# The sections of root folders.
 SECTIONS = {".session": "session", ".reports": "report", ".plans": "plan", "docs": "docs", "memory": "memory"}
-STOP = "the what which who how why when where and for with that this from into about than were was are does did has have had its their there then them these those been being over under still also used use using value should".split()
-GREP_STOP = "what how when where which does procedure team describe explain show list about standard used from with for".split()
-KEYWORD_STOP = "this that with from have will should would".split()
+# Words that are no terms, in text, in literal searches and as keywords.
+STOP = [
+    "the", "what", "which", "who", "how", "why", "when", "where", "and", "for", "with", "that", "this", "from",
+    "into", "about", "than", "were", "was", "are", "does", "did", "has", "have", "had", "its", "their", "there",
+    "then", "them", "these", "those", "been", "being", "over", "under", "still", "also", "used", "use", "using",
+    "value", "should",
+]
+GREP_STOP = [
+    "what", "how", "when", "where", "which", "does", "procedure", "team", "describe", "explain", "show", "list",
+    "about", "standard", "used", "from", "with", "for",
+]
+KEYWORD_STOP = [
+    "this", "that", "with", "from", "have", "will", "should", "would",
+]
 
 
 def identifier_runs(text: Column) -> Column:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from corvane.operators.chunking import FENCE, HEADING
 from corvane.operators.lists import each_list
 
+# What a list's item, a table's row, a quote and a document's header look like, and where a cell may be cut, best first.
 ITEM, ROW, QUOTE = r"([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+\S", r"[ \t]*\|", r"[ \t]{0,3}>"
 HEADER = r"^\s*\[Document: .*\]\s*$"
-#: A cell's places to cut after, best first.
 BREAKS = (re.compile(r"(?i)<br\s*/?>"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 MARKS = re.compile(r"\\.|(?<!`)(?P<tick>`+)(?!`)(?P<code>.*?)(?<!`)(?P=tick)(?!`)|(?P<pipe>\|)", re.S)
 
