@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import chunk_id
+from corvane.functions.text import FRONT, chunk_id
 
 HEADING = r"^(#{1,6})[ \t]+(\S.*?)[ \t]*$"
 FENCE = r"^[ \t]*(?:```|~~~)"
@@ -54,10 +54,10 @@ def line_at(text: Column, offset: Column) -> Column:
 
 
 def sections(notes: DataFrame, text: str = "note") -> DataFrame:
-    """CHK-9: (doc_id, ord, level, title, start_line, end_line, has_table, has_code, chars): a note's sections, the part before the first heading as level 0.
+    """CHK-9: (doc_id, ord, level, title, start_line, end_line, has_table, has_code, chars, tokens): a note's sections, the part before the first heading as level 0.
 
     A section runs up to the line before the next heading. Sections without a line that
-    isn't blank, of level 0, have no row.
+    isn't blank, of level 0, have no row. tokens is TXT-30's estimate of chars.
     """
     own = lines(notes, text).withColumn("bare", F.regexp_replace("line", "\r$", ""))
     head = ~F.col("fenced") & F.col("bare").rlike(HEADING)
@@ -74,7 +74,16 @@ def sections(notes: DataFrame, text: str = "note") -> DataFrame:
         F.sum(F.length("line")).alias("chars"),
     )
     each = each.filter("end_line is not null")
-    return each.select("doc_id", "ord", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("title", F.lit("")).alias("title"), "start_line", "end_line", (F.col("t") == 1).alias("has_table"), (F.col("c") == 1).alias("has_code"), "chars")
+    return each.select("doc_id", "ord", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("title", F.lit("")).alias("title"), "start_line", "end_line", (F.col("t") == 1).alias("has_table"), (F.col("c") == 1).alias("has_code"), "chars", F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).alias("tokens"))
+
+
+def titles(notes: DataFrame, text: str = "note", path: str = "path") -> DataFrame:
+    """CHK-9: (doc_id, doc_title): a title in the front matter, else the first heading of level 1, else the file's name without its suffix; empty if there is none of them."""
+    front = F.regexp_extract(F.regexp_extract(text, FRONT, 0), r"(?m)^title:[ \t]*['\x22]?(.*?)['\x22]?[ \t\r]*$", 1)
+    stem = F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    first = headings(notes, text).filter("level = 1").groupBy("doc_id").agg(F.min_by("title", "pos").alias("first"))
+    own = notes.select("doc_id", front.alias("front"), stem.alias("stem")).join(first, "doc_id", "left")
+    return own.select("doc_id", F.coalesce(F.nullif("front", F.lit("")), "first", "stem").alias("doc_title"))
 
 
 def located(chunks: DataFrame, texts: DataFrame) -> DataFrame:

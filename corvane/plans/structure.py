@@ -50,10 +50,12 @@ def chk_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chk_9",
     rf"""{LINES}, s AS (SELECT *, regexp_matches(line, '^(#{{1,6}})[ \t]+(\S.*?)[ \t]*$') AND NOT fenced AS head FROM lines), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS ord FROM s)
     SELECT doc_id, ord, coalesce(max(length(regexp_extract(line, '^(#{{1,6}})', 1))) FILTER (head), 0)::INT AS level, coalesce(max(regexp_extract(line, '^(#{{1,6}})[ \t]+(\S.*?)[ \t]*$', 2)) FILTER (head), '') AS title, min(pos) + 1 AS start_line, max(pos + 1) FILTER (trim(line) <> '') AS end_line,
-        bool_or(NOT fenced AND regexp_matches(line, '^[ \t]*\|')) AS has_table, bool_or(fenced) AS has_code, sum(length(line))::BIGINT AS chars FROM n GROUP BY doc_id, ord HAVING end_line IS NOT NULL""",
+        bool_or(NOT fenced AND regexp_matches(line, '^[ \t]*\|')) AS has_table, bool_or(fenced) AS has_code, sum(length(line))::BIGINT AS chars, greatest(1, sum(length(line))::BIGINT // 4)::BIGINT AS tokens, any_value(doc_title) AS doc_title
+    FROM n JOIN (SELECT doc_id, coalesce(first, regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1)) AS doc_title FROM notes LEFT JOIN (SELECT doc_id, arg_min(title, pos) AS first FROM heads WHERE level = 1 GROUP BY 1) USING (doc_id)) USING (doc_id) GROUP BY doc_id, ord HAVING end_line IS NOT NULL""",
 )
 def chk_9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sections(notes(spark, sf_dir))
+    own = notes(spark, sf_dir)
+    return C.sections(own).join(C.titles(own), "doc_id")
 
 
 @query("chk_1")

@@ -236,3 +236,9 @@ def test_a_report_over_another_corpus_is_an_error(spark):
         E.report(spark.createDataFrame([(0.0, 0.0, 0.0, 0)], shape), calls, "ms").collect()
     none = E.report(spark.createDataFrame([], shape), calls.limit(0), "ms").first()
     assert none.recall is None and none.calls == 0 and none.latency_p95 is None
+
+
+def test_titles_take_precedence(spark):
+    rows = [(1, "---\ntitle: 'Front title'\n---\n# H1\n", "a/b.md"), (2, "---\nname: x\n---\n## H2\n# First\n# Second\n", "a/b.md"), (3, "plain", "a/note.v2.md"), (4, "```\n# no\n```\n", None), (5, None, "x/y")]
+    got = {r.doc_id: r.doc_title for r in C.titles(spark.createDataFrame(rows, "doc_id long, note string, path string")).collect()}
+    assert got == {1: "Front title", 2: "First", 3: "note.v2", 4: "", 5: "y"}
