@@ -85,27 +85,53 @@ def fingerprint_of(rows: DataFrame, line, digits: int = 16) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", half(1).cast("string"), half(13).cast("string")), 256).alias("digest")).select("n", F.left("digest", F.lit(digits)).alias("digest"))
 
 
-def near_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """MIN-3: (item_id, other, share): pairs of items (item_id, words as a set), other the smaller id, that share least or more of their words.
-
-    Words are put in order of how rare they are. Two sets of which that share is common
-    have one of their first words in common: of n words, all but the last ceil(least * n)
-    and one more. Only those are joined, so that frequent words pair nothing, and each pair
-    found is checked on its whole sets. Null ids and empty sets have no pairs.
-    """
+def by_rarity(rows: DataFrame) -> DataFrame:
+    """(item_id, ws) of items (item_id, words as a set), stored: the words in order of how rare they are. Null ids and empty sets are left out."""
     each = rows.filter("item_id is not null").select("item_id", F.explode("words").alias("word"))
     rank = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(rank, "word").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
-    ordered = stored(ordered.select("item_id", F.transform("ws", lambda x: x["word"]).alias("ws")), "ordered")
+    return stored(ordered.select("item_id", F.transform("ws", lambda x: x["word"]).alias("ws")), "ordered")
+
+
+def near_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """MIN-3: (item_id, other, share): pairs of items (item_id, words as a set), other the smaller id, that share least or more of their words. Null ids and empty sets have no pairs."""
+    return pairs_of(by_rarity(rows), least)
+
+
+def pairs_of(ordered: DataFrame, least: float, asked: DataFrame | None = None) -> DataFrame:
+    """(item_id, other, share): the pairs of near_pairs() among items of by_rarity(), of those asked for (item_id) with smaller ids; of a bound of 0 those that share a word.
+
+    Two sets of which that share is common have one of their first words in common: of n
+    words, all but the last ceil(least * n) and one more. Only those are joined, so that
+    frequent words pair nothing, and each pair found is checked on its whole sets.
+    """
     n = F.size("ws")
     first = ordered.select("item_id", n.alias("n"), F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("word"))
     other = first.select(F.col("item_id").alias("other"), F.col("n").alias("m"), "word")
-    met = first.join(other, "word").filter((F.col("item_id") > F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("item_id", "other").distinct()
+    mine = first if asked is None else first.join(asked, "item_id", "left_semi")
+    met = mine.join(other, "word").filter((F.col("item_id") > F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("item_id", "other").distinct()
     both = met.join(ordered, "item_id").join(ordered.select(F.col("item_id").alias("other"), F.col("ws").alias("vs")), "other")
     share = F.size(F.array_intersect("ws", "vs")) / F.size(F.array_union("ws", "vs"))
     return both.select("item_id", "other", share.alias("share")).filter(F.col("share") >= least)
 
 
+def nearest_share(ordered: DataFrame, least: float) -> DataFrame:
+    """(item_id, nearest): the largest share that each item of by_rarity() has in common with one of a smaller id; items that share no word with any are left out.
+
+    Found in rounds of a falling bound, least first: an item that has a pair at the bound
+    has its nearest among such pairs, so only the others go on. The last round, without
+    a bound, is for those that are near nothing, and joins them on all their words.
+    """
+    out, left = None, ordered.select("item_id")
+    for bound in (least, least / 2, least / 4, 0.0):
+        found = stored(pairs_of(ordered, bound, left).groupBy("item_id").agg(F.max("share").alias("nearest")), "nearest")
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found, "item_id", "left_anti"), "asked")
+        if left.isEmpty():
+            break
+    return out
+
+
 def taken(rows: DataFrame, near: DataFrame) -> DataFrame:
     """MIN-3: (item_id, taken): items in ascending order are taken unless an earlier taken one is near (item_id, other).
 

@@ -313,25 +313,25 @@ def min_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
 
 
-_NEAR = "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS ws FROM benchmark), k AS (SELECT item_id, unnest(ws) AS t FROM w), p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM k a JOIN k b ON a.t = b.t AND a.item_id > b.item_id), j AS (SELECT p.a, p.b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS s FROM p JOIN w x ON x.item_id = p.a JOIN w y ON y.item_id = p.b WHERE s >= 0.48::DOUBLE)"
+_NEAR = "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS ws FROM benchmark), k AS (SELECT item_id, unnest(ws) AS t FROM w), p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM k a JOIN k b ON a.t = b.t AND a.item_id > b.item_id), j AS (SELECT p.a, p.b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS s FROM p JOIN w x ON x.item_id = p.a JOIN w y ON y.item_id = p.b)"
 
 
-def near_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("words"))
-    return K.near_pairs(own, 0.48)
+def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("words"))
 
 
-@query("min_3", f"{_NEAR}, n AS (SELECT a AS item_id, max(s) AS nearest FROM j GROUP BY a) SELECT item_id, nearest, nearest IS NOT NULL AS near FROM benchmark LEFT JOIN n USING (item_id)")
+@query("min_3", f"{_NEAR}, n AS (SELECT a AS item_id, max(s) AS nearest FROM j GROUP BY a) SELECT item_id, nearest, coalesce(nearest >= 0.48::DOUBLE, false) AS near FROM benchmark LEFT JOIN n USING (item_id)")
 def min_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest earlier question that shares 0.48 or more of the words."""
-    best = near_questions(spark, sf_dir).groupBy("item_id").agg(F.max("share").alias("nearest"))
-    return table(spark, sf_dir, "benchmark").select("item_id").join(best, "item_id", "left").withColumn("near", F.col("nearest").isNotNull())
+    """The share of words that each question has in common with the nearest earlier one, and whether that is 0.48 or more."""
+    best = K.nearest_share(K.by_rarity(question_words(spark, sf_dir)), 0.48)
+    near = F.coalesce(F.col("nearest") >= 0.48, F.lit(False))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(best, "item_id", "left").withColumn("near", near)
 
 
 @query("min_3a")
 def min_3a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions taken in their order, each unless a taken one is near: no SQL; the tests compare a plain loop."""
-    return K.taken(table(spark, sf_dir, "benchmark").select("item_id"), near_questions(spark, sf_dir))
+    return K.taken(table(spark, sf_dir, "benchmark").select("item_id"), K.near_pairs(question_words(spark, sf_dir), 0.48))
 
 
 @query("min_5", "SELECT o_orderkey, ('0x' || substring(sha256(o_orderkey || '|' || o_custkey), 1, 8))::BIGINT % 2 AS bucket FROM orders")

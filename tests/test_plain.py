@@ -242,3 +242,14 @@ def test_titles_take_precedence(spark):
     rows = [(1, "---\ntitle: 'Front title'\n---\n# H1\n", "a/b.md"), (2, "---\nname: x\n---\n## H2\n# First\n# Second\n", "a/b.md"), (3, "plain", "a/note.v2.md"), (4, "```\n# no\n```\n", None), (5, None, "x/y")]
     got = {r.doc_id: r.doc_title for r in C.titles(spark.createDataFrame(rows, "doc_id long, note string, path string")).collect()}
     assert got == {1: "Front title", 2: "First", 3: "note.v2", 4: "", 5: "y"}
+
+
+def test_each_question_has_its_nearest_however_far(spark):
+    words = {1: "a b c d", 2: "a b c e", 3: "a x y z w v", 4: "q r", 5: "a", 6: "", 7: "q s t u o p n m l k"}
+    sets = {k: set(t.split()) for k, t in words.items()}
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "item_id long, words array<string>")
+    want = {}
+    for k, s in sets.items():
+        shares = [len(s & o) / len(s | o) for j, o in sets.items() if j < k and s & o]
+        want |= {k: max(shares)} if shares else {}
+    assert {r.item_id: r.nearest for r in K.nearest_share(K.by_rarity(rows), 0.48).collect()} == want
