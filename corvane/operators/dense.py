@@ -12,6 +12,8 @@ from corvane.operators.lists import each_list
 
 #: Asked vectors of a block: what one task holds besides its own batch.
 BLOCK = 1024
+#: Scores that a task has at a time.
+CELLS = 1 << 20
 
 
 def unit(rows: DataFrame, given: str, name: str) -> DataFrame:
@@ -25,9 +27,10 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int, block: int = BLOCK) -> Da
     """DN-2, TOP-2: (query_id, vec_id, score, rank), the k vectors of greatest cosine for each asked one, ties by vec_id.
 
     rows: vec_id, embedding; asked: query_id, embedding. Asked vectors are gathered in
-    blocks of about that many, a list each; every block meets all rows once, batch by
-    batch, by one matrix product, and of each batch only k candidates a query leave. So no
-    row is made for a pair, and a task holds one block and one batch. Blocks beyond the
+    blocks of about that many, a list each; every block meets all rows once, by matrix
+    products of CELLS scores at most, and only what is among a query's k best of its task
+    so far leaves. So no row is made for a pair, and a task holds one block, one batch of
+    rows and a few arrays of CELLS numbers, however large the tables. Blocks beyond the
     first add a pass over the rows each. Null vectors are left out; a zero vector has cosine 0.
     Ids come back as they are, null ones too.
     """
@@ -47,20 +50,23 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int, block: int = BLOCK) -> Da
         ids, q = pa.array([p[0] for p in pairs], pa.int64()), np.array([p[1] for p in pairs], float)
         lengths = np.sqrt((q * q).sum(1))
         held = spark.sparkContext.broadcast((ids, q, lengths))  # one block
+        step = max(1, CELLS // len(ids))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, step=step) -> Iterator[pa.RecordBatch]:
             ids, q, lengths = held.value
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                v = np.stack(x.column("embedding").to_numpy(zero_copy_only=False)).astype(float)
-                size = np.sqrt((v * v).sum(1))[:, None] * lengths
-                score = np.divide(v @ q.T, size, out=np.zeros((len(v), len(ids))), where=size > 0)
-                few = min(k, len(v))
-                # k-th best of each query, and all that tie with it within rounding: the exact order comes later
-                least = np.partition(score, len(v) - few, 0)[len(v) - few]
-                r, c = np.nonzero(score >= least - 1e-9)
-                yield pa.record_batch([ids.take(pa.array(c)), x.column("vec_id").take(pa.array(r)), pa.array(score[r, c])], ["query_id", "vec_id", "score"])
+            best = np.empty((0, len(ids)))  # the k best scores of each query so far
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    x = whole.slice(at, step)
+                    v = np.stack(x.column("embedding").to_numpy(zero_copy_only=False)).astype(float)
+                    size = np.sqrt((v * v).sum(1))[:, None] * lengths
+                    score = np.divide(v @ q.T, size, out=np.zeros((len(v), len(ids))), where=size > 0)
+                    best = np.concatenate([best, score])
+                    if len(best) > k:
+                        best = np.partition(best, len(best) - k, 0)[-k:].copy()
+                    # what may still be one of the k best, and all that tie with the last within rounding: the exact order comes later
+                    r, c = np.nonzero(score >= (best.min(0) if len(best) == k else -np.inf) - 1e-9)
+                    yield pa.record_batch([ids.take(pa.array(c)), x.column("vec_id").take(pa.array(r)), pa.array(score[r, c])], ["query_id", "vec_id", "score"])
 
         part = rows.filter("embedding is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)

@@ -253,3 +253,17 @@ def test_each_question_has_its_nearest_however_far(spark):
         shares = [len(s & o) / len(s | o) for j, o in sets.items() if j < k and s & o]
         want |= {k: max(shares)} if shares else {}
     assert {r.item_id: r.nearest for r in K.nearest_share(K.by_rarity(rows), 0.48).collect()} == want
+
+
+def test_nearest_in_slices_gives_the_same(spark, monkeypatch):
+    import numpy as np
+    from corvane.operators import dense as D
+
+    v = np.random.default_rng(3).normal(size=(400, 8)).round(1)
+    v[200:240] = v[:40]
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(1)
+    ask = rows.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    run = lambda: sorted(tuple(r)[:2] + (r.rank,) for r in D.nearest(rows, ask, 5).collect())
+    whole = run()
+    monkeypatch.setattr(D, "CELLS", 120)
+    assert run() == whole and len(whole) == 200
