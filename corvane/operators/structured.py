@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from corvane.operators.chunking import FENCE, HEADING
 from corvane.operators.lists import each_list
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 # What a list's item, a table's row, a quote and a document's header look like, and where a cell may be cut, best first.
 ITEM, ROW, QUOTE = r"([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+\S", r"[ \t]*\|", r"[ \t]{0,3}>"
 HEADER = r"^\s*\[Document: .*\]\s*$"
@@ -289,6 +293,13 @@ def section_rows(notes: DataFrame, text: str = "note") -> DataFrame:
     return each.select("doc_id", "ord", "level", "head", F.transform("chain", lambda x: x["head"]).alias("path"), F.transform("chain", lambda x: x["title"]).alias("titles"), "body", "start", "below")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """So many rows of a batch at a time, so that what a task makes of them doesn't grow with the batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 PIECES = "doc_id long, ord int, k int, part int, parts int, start long, end long, prefix string, body string, skip int, weight long, bare_weight long"
 
 
@@ -301,22 +312,21 @@ def _pieces(sections: DataFrame, room: int, m: Measure) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                out = []
-                for r in whole.slice(at, 128).to_pylist():
-                    prefix, first = r["prefix"], r["first"]
-                    if prefix and m.weight(prefix + "\n\n") > room // 2:
-                        prefix, first = "", first or r["head"]
-                    for k, (a, b, part, parts, text) in enumerate(section_parts(r["body"], prefix, first, room, m, r["ord"] < 0)):
-                        if not text and not prefix:
-                            continue
-                        skip = len(r["first"]) + 2 if k == 0 and parts == 1 and r["first"] and text.startswith(r["first"] + "\n\n") else 0
-                        bare = m.weight(text[skip:])
-                        place = {"start": r["start"] + a, "end": r["start"] + b} if r["start"] is not None else {"start": None, "end": None}
-                        weight = m.weight(f"{prefix}\n\n{text}" if prefix and text else prefix or text)
-                        out.append({c: r[c] for c in ("doc_id", "ord")} | {"k": k, "part": part, "parts": parts, "prefix": prefix, "body": text, "skip": skip, "weight": weight, "bare_weight": bare} | place)
-                yield pa.RecordBatch.from_pylist(out, schema)
+        for x in sliced(batches):
+            out = []
+            for r in x.to_pylist():
+                prefix, first = r["prefix"], r["first"]
+                if prefix and m.weight(prefix + "\n\n") > room // 2:
+                    prefix, first = "", first or r["head"]
+                for k, (a, b, part, parts, text) in enumerate(section_parts(r["body"], prefix, first, room, m, r["ord"] < 0)):
+                    if not text and not prefix:
+                        continue
+                    skip = len(r["first"]) + 2 if k == 0 and parts == 1 and r["first"] and text.startswith(r["first"] + "\n\n") else 0
+                    bare = m.weight(text[skip:])
+                    place = {"start": r["start"] + a, "end": r["start"] + b} if r["start"] is not None else {"start": None, "end": None}
+                    weight = m.weight(f"{prefix}\n\n{text}" if prefix and text else prefix or text)
+                    out.append({c: r[c] for c in ("doc_id", "ord")} | {"k": k, "part": part, "parts": parts, "prefix": prefix, "body": text, "skip": skip, "weight": weight, "bare_weight": bare} | place)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return sections.select("doc_id", "ord", "prefix", "first", "head", "body", "start").mapInArrow(run, PIECES)
 
@@ -430,7 +440,7 @@ def hard_spans(texts: DataFrame, budget: int, measure: Measure = CHARS, text: st
     room = measure.room(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in sliced(batches):
             rows = [(d, n, a, b) for d, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True) if t for n, (a, b) in enumerate(hard_split(t, room, measure))]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "n", "start", "end"])
@@ -445,7 +455,7 @@ def table_parts(rows: DataFrame, header: Column, budget: int, measure: Measure =
     room = measure.room(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in sliced(batches):
             out = []
             for d, row, head in zip(*(x.column(k).to_pylist() for k in range(3)), strict=True):
                 if row is not None:
