@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.chunking import FENCE, HEADING
 from corvane.operators.lists import each_list
+from corvane.store import stored
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -293,6 +294,11 @@ def section_rows(notes: DataFrame, text: str = "note") -> DataFrame:
     return each.select("doc_id", "ord", "level", "head", F.transform("chain", lambda x: x["head"]).alias("path"), F.transform("chain", lambda x: x["title"]).alias("titles"), "body", "start", "below")
 
 
+def stored_sections(notes: DataFrame, text: str = "note") -> DataFrame:
+    """The rows of section_rows(), stored: pieces and groups are made of them, by more than one chunker if need be."""
+    return stored(section_rows(notes, text), "sections")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """So many rows of a batch at a time, so that what a task makes of them doesn't grow with the batch."""
     for whole in batches:
@@ -348,7 +354,7 @@ def _put_together(pieces: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def structured_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, least: int = 0, text: str = "note") -> DataFrame:
+def structured_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, least: int = 0, text: str = "note", sections: DataFrame | None = None) -> DataFrame:
     """CHK-8, 8d: (doc_id, chunk_index, breadcrumb, part, parts, start_char, end_char, content, members) of each note; no content exceeds the budget.
 
     Each section's chunks begin with its heading lines, joined by " > ". Headings that only
@@ -358,20 +364,20 @@ def structured_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, l
     it has chunks of its own. With least, neighbours of one top-level section of which one
     weighs less than that are merged while they fit; pieces of a cut block never are.
     members has the places of what is in a chunk. Null and blank notes have no chunks. One
-    row of notes for each doc_id.
+    row of notes for each doc_id. sections: what stored_sections() gave for the notes.
     """
     room, m = measure.room(budget), measure
     small = measure.room(least) if least else 0
     if budget <= 0 or room < 8:
         raise ValueError("the budget has to allow 8 at least")
-    rows = section_rows(notes, text)
+    rows = stored_sections(notes, text) if sections is None else sections
     leads = (F.col("ord") > 0) & (F.trim("body") == "") & (F.coalesce("below", F.lit(0)) > F.col("level"))
     rows = rows.withColumns({"prefix": F.array_join("path", " > "), "first": F.lit("")}).filter(~leads & ((F.col("ord") > 0) | (F.regexp_replace("body", r"\s", "") != "")))
     whole, after = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("ord").rowsBetween(0, Window.unboundedFollowing)
     roots = F.size(F.collect_set(F.get("path", F.lit(0))).over(whole))  # with one root, its children name the groups
     own = F.when(roots == 1, F.get("path", F.lit(1))).otherwise(F.get("path", F.lit(0)))
     groups = rows.select("doc_id", "ord", "path", F.first(own, ignorenulls=True).over(after).alias("group"))
-    pieces = _pieces(rows, room, m)
+    pieces = stored(_pieces(rows, room, m), "pieces")
 
     def decide(listed: list[dict]) -> list[dict]:
         out, cur, chunk = [], None, -1
@@ -393,7 +399,7 @@ def structured_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, l
     return _put_together(pieces, runs)
 
 
-def section_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, least: int = 0, text: str = "note") -> DataFrame:
+def section_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, least: int = 0, text: str = "note", sections: DataFrame | None = None) -> DataFrame:
     """CHK-10: the same columns; one chunk for each section that fits, behind its path [A > B] and its heading's line.
 
     A section whose body weighs less than least joins the chunk before, behind its title in
@@ -405,12 +411,12 @@ def section_chunks(notes: DataFrame, budget: int, measure: Measure = CHARS, leas
     small = measure.room(least) if least else 0
     if budget <= 0 or room < 8:
         raise ValueError("the budget has to allow 8 at least")
-    rows = section_rows(notes, text)
+    rows = stored_sections(notes, text) if sections is None else sections
     prefix = F.when(F.size("titles") > 0, F.concat(F.lit("["), F.array_join("titles", " > "), F.lit("]"))).otherwise("")
     rows = rows.withColumns({"prefix": prefix, "first": F.col("head")}).filter((F.col("ord") > 0) | (F.regexp_replace("body", r"\s", "") != ""))
     bare = F.regexp_replace("body", r"^\s+|\s+$", "")
     titles = rows.select("doc_id", "ord", "titles", F.length("head").alias("head_chars"), (bare == "").alias("empty"))
-    pieces = _pieces(rows, room, m)
+    pieces = stored(_pieces(rows, room, m), "pieces")
 
     def decide(listed: list[dict]) -> list[dict]:
         out, cur, chunk = [], None, -1

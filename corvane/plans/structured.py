@@ -55,6 +55,7 @@ def chk_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chk_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both chunkers under a budget of 100 estimated tokens: one code, another measure."""
     own = notes(spark, sf_dir)
-    made = {"structured": S.structured_chunks(own, 100, S.ESTIMATE, 25), "sections": S.section_chunks(own, 100, S.ESTIMATE, 25)}
+    rows = S.stored_sections(own)
+    made = {"structured": S.structured_chunks(own, 100, S.ESTIMATE, 25, sections=rows), "sections": S.section_chunks(own, 100, S.ESTIMATE, 25, sections=rows)}
     both = [df.select(F.lit(name).alias("chunker"), *_SHOWN, F.floor(F.length("content") / 4).cast("int").alias("tokens")) for name, df in made.items()]
     return both[0].unionByName(both[1])
