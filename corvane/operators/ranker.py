@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.lists import each_list
 from corvane.store import drop, stored
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
+#: Pairs of items that a task has at a time.
+CELLS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -32,24 +40,73 @@ def score(trees: list[Tree], x: Column) -> Column:
     return sum((t.value(x) for t in trees), F.lit(0.0))
 
 
-def lambdas(rows: list[dict]) -> list[dict]:
-    """First and second derivatives for each item of one query (item_id, label, score, bins): what swapping each pair of unequal labels would change in nDCG, weighted by how wrong their scores are."""
+def derivatives(s: np.ndarray, y: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second derivatives for the items of many queries, a row each of scores, labels and the ids' order: what swapping each pair of unequal labels would change in nDCG, weighted by how wrong their scores are; and whether a query has a label above 0."""
     import numpy as np
 
-    s, y = np.array([r["score"] for r in rows]), np.array([r["label"] for r in rows], float)
-    order = sorted(range(len(rows)), key=lambda k: (-s[k], str(rows[k]["item_id"])))
-    place = np.empty(len(rows))
-    place[order] = np.arange(len(rows))
-    gain, discount = 2**y - 1, 1 / np.log2(place + 2)
-    ideal = float((np.sort(gain)[::-1] / np.log2(np.arange(len(rows)) + 2)).sum())
-    if ideal == 0:
-        return []
-    above = y[:, None] > y[None, :]
-    change = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal
-    wrong = 1 / (1 + np.exp(np.clip(s[:, None] - s[None, :], -30, 30)))
+    n = s.shape[1]
+    place = np.empty(s.shape)
+    np.put_along_axis(place, np.lexsort((rank, -s), axis=-1), np.broadcast_to(np.arange(n, dtype=float), s.shape), 1)
+    gain, discount = 2.0**y - 1, 1 / np.log2(place + 2)
+    ideal = (np.sort(gain, 1)[:, ::-1] / np.log2(np.arange(n) + 2)).sum(1)
+    above = y[:, :, None] > y[:, None, :]
+    change = np.abs((gain[:, :, None] - gain[:, None, :]) * (discount[:, :, None] - discount[:, None, :])) / np.where(ideal == 0, 1, ideal)[:, None, None]
+    wrong = 1 / (1 + np.exp(np.clip(s[:, :, None] - s[:, None, :], -30, 30)))
     g, h = np.where(above, wrong * change, 0), np.where(above, wrong * (1 - wrong) * change, 0)
-    first, second = g.sum(1) - g.sum(0), h.sum(1) + h.sum(0)
-    return [{k: r[k] for k in ("item_id", "label", "score", "bins")} | {"g": float(a), "h": float(b)} for r, a, b in zip(rows, first, second, strict=True)]
+    return g.sum(2) - g.sum(1), h.sum(2) + h.sum(1), ideal > 0
+
+
+def lambdas(rows: list[dict]) -> list[dict]:
+    """derivatives() for each item of one query (item_id, label, score, bins), equal scores in the order of the ids as text; none without a label above 0."""
+    import numpy as np
+
+    rank = np.unique([str(r["item_id"]) for r in rows], return_inverse=True)[1]
+    g, h, some = derivatives(*(np.array([x]) for x in ([r["score"] for r in rows], [float(r["label"]) for r in rows], rank)))
+    return [{k: r[k] for k in ("item_id", "label", "score", "bins")} | {"g": float(a), "h": float(b)} for r, a, b in zip(rows, g[0], h[0], strict=True)] if some[0] else []
+
+
+def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bins, g, h) of the items of lists (query, list of item_id, label, score, bins): lists of one length go through derivatives() together, CELLS pairs at a time at most unless one list has more."""
+    import numpy as np
+    import pyarrow as pa
+
+    for x in batches:
+        lists = x.column(1)
+        starts, lengths = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.value_lengths().to_numpy()
+        flat = lists.flatten()
+        label, score = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "score"))
+        code = flat.field("item_id").cast(pa.string()).dictionary_encode()
+        names = code.dictionary.to_numpy(zero_copy_only=False)
+        rank = np.argsort(np.argsort(names.astype(str), kind="stable"), kind="stable")[code.indices.to_numpy()]
+        for n in np.unique(lengths):
+            mine, step = starts[lengths == n], max(1, CELLS // int(n) ** 2)
+            for at in range(0, len(mine), step):
+                i = mine[at : at + step, None] + np.arange(n)
+                g, h, some = derivatives(score[i], label[i], rank[i])
+                yield pa.RecordBatch.from_arrays([flat.field("bins").take(pa.array(i[some].ravel())), pa.array(g[some].ravel()), pa.array(h[some].ravel())], ["bins", "g", "h"])
+
+
+def histogram(rows: DataFrame, nodes: list[int], width: int, bins: int) -> DataFrame:
+    """(node, feature, bin, g, h): sums of the derivatives of rows (node, bins, g, h), summed in arrays by each task first; bins without a row are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(nodes) * width * bins
+        total = np.zeros((3, size))
+        for x in batches:
+            if x.num_rows:
+                at = np.searchsorted(nodes, x.column("node").to_numpy())
+                cell = ((at[:, None] * width + np.arange(width)) * bins + x.column("bins").flatten().to_numpy().reshape(-1, width)).ravel()
+                g, h = (np.repeat(x.column(c).to_numpy(), width) for c in ("g", "h"))
+                total += [np.bincount(cell, w, size) for w in (np.ones(len(cell)), g, h)]
+        there = np.flatnonzero(total[0])
+        node, feature, place = np.unravel_index(there, (len(nodes), width, bins))
+        ints = [pa.array(v, pa.int32()) for v in (np.array(nodes)[node], feature, place)]
+        yield pa.RecordBatch.from_arrays([*ints, pa.array(total[1][there]), pa.array(total[2][there])], ["node", "feature", "bin", "g", "h"])
+
+    parts = rows.select("node", "bins", "g", "h").mapInArrow(run, "node int, feature int, bin int, g double, h double")
+    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def bin_edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
@@ -62,9 +119,9 @@ def bin_edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
 def fit(rows: DataFrame, width: int, trees: int = 15, depth: int = 3, bins: int = 16, rate: float = 0.2, least: float = 1e-3, shrink: float = 1.0) -> list[Tree]:
     """Boosted trees for rows (query_id, item_id, label, x): label 0 or more, x an array of width numbers, nulls lowest.
 
-    A query's pool is bounded, so its pairs are made in one list at a time. Each level of a
-    tree is one aggregation: for each node, feature and bin the sums of the derivatives,
-    partly summed before the shuffle; 2**depth * width * bins rows reach the driver, which
+    A query's pool is bounded, so its pairs are made in arrays, lists of one length together.
+    Each level of a tree is one aggregation: for each node, feature and bin the sums of the
+    derivatives, summed by each task before the shuffle; 2**depth * width * bins rows reach the driver, which
     picks the splits, whatever the size of the training set. least: the second derivatives
     that a child needs; shrink keeps small leaves small. Rows of a null query or without
     a label don't count. No pair to learn from gives no trees.
@@ -74,12 +131,11 @@ def fit(rows: DataFrame, width: int, trees: int = 15, depth: int = 3, bins: int
     place = lambda v, k: F.when(v.isNull(), 0).otherwise(F.size(F.filter(held[k], lambda e: e < v)))
     own = rows.filter("query_id is not null and label is not null and x is not null")
     # bin b holds what is above edges[b - 1] and at or below edges[b], so a bin above b means a value above edges[b]
-    kind = dict(rows.dtypes)["query_id"], dict(rows.dtypes)["item_id"]
     data = stored(own.select("query_id", "item_id", F.col("label").cast("double").alias("label"), F.lit(0.0).alias("score"), F.transform("x", place).alias("bins")), "ranker")
-    shape = f"query_id {kind[0]}, item_id {kind[1]}, label double, score double, bins array<int>, g double, h double"
     model: list[Tree] = []
     for _ in range(trees):
-        cur = stored(each_list(data, "query_id", ["item_id", "label", "score", "bins"], lambdas, shape), "lambdas")
+        lists = data.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "label", "score", "bins"))).alias("list"))
+        cur = stored(lists.mapInArrow(gradients, "bins array<int>, g double, h double"), "lambdas")
         splits: dict[int, tuple[int, int]] = {}
         leaves: dict[int, float] = {}
         open_nodes = [0]
@@ -87,8 +143,7 @@ def fit(rows: DataFrame, width: int, trees: int = 15, depth: int = 3, bins: int
             if not open_nodes:
                 break
             node = _node(splits, F.col("bins"))
-            each = cur.select(node.alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin")).filter(F.col("node").isin(open_nodes))
-            sums = each.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            sums = histogram(cur.select(node.alias("node"), "bins", "g", "h").filter(F.col("node").isin(open_nodes)), sorted(open_nodes), width, bins).collect()
             following = []
             for n in open_nodes:
                 mine = [r for r in sums if r.node == n]

@@ -17,6 +17,7 @@ from corvane.plans.evaluation import features, ltr_4
 from corvane.plans.fixtures import NOTES, notes
 from corvane.plans.ranking import FUSED, fused
 from corvane.plans.sparse import CHUNKS, chunks
+from corvane.store import stored
 
 _OUT = "concat('entity<|#|>', source, '<|#|>a<|#|>b', chr(10), repeat(concat('relation<|#|>x<|#|>y<|#|>k<|#|>d', chr(10)), CAST(doc_id % 13 + 9 AS INT)), CASE WHEN doc_id % 4 = 0 THEN concat('cut off', chr(10)) WHEN doc_id % 4 = 1 THEN concat('<|COMPLETE|>', chr(10)) ELSE '' END)"
 
@@ -202,6 +203,7 @@ LEARNT = ["dense_norm", "sparse_norm", "grep_norm", "dense", "sparse", "grep", "
 def ltr_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LambdaRank on four fifths of the queries; each item of the others with its label, the model's score and the place that it gives. The tests compare nDCG with the base order."""
     own = features(spark, sf_dir).join(ltr_4(spark, sf_dir), ["query_id", "item_id"]).select("query_id", "item_id", "rank", "label", F.array(*LEARNT).alias("x"))
+    own = stored(own, "features")
     held = F.pmod(F.xxhash64("query_id"), F.lit(5)) == 0
     model = R.fit(own.filter(~held), len(LEARNT), trees=8)
     scored = own.filter(held).select("query_id", "item_id", "rank", "label", R.score(model, F.col("x")).alias("score"))

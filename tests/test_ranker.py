@@ -77,3 +77,19 @@ def test_nothing_to_learn_gives_no_trees(spark):
     flat = spark.createDataFrame([(1, 1, 1, [0.0]), (1, 2, 1, [1.0]), (2, 1, 0, [0.5]), (None, 3, 2, [0.1]), (3, 1, None, [0.2]), (3, 2, 1, None)], SHAPE)
     assert R.fit(flat, 1) == [] and R.fit(flat.limit(0), 1) == []
     assert flat.select(R.score([], F.col("x")).alias("s")).first().s == 0.0
+
+
+def test_lists_of_many_lengths_get_the_derivatives_of_each_alone(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "CELLS", 20)
+    r = random.Random(2)
+    lists = [[{"item_id": k * 7 % 23, "label": float(r.randrange(3)), "score": r.choice([0.0, 0.5, -1.0]), "bins": [q, k]} for k in range(r.randrange(1, 9))] for q in range(40)]
+    lists[3] = [x | {"label": 0.0} for x in lists[3]]
+    item = pa.struct([("item_id", pa.int64()), ("label", pa.float64()), ("score", pa.float64()), ("bins", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(lists, pa.list_(item))], ["query_id", "list"])
+    got = {tuple(x["bins"]): (x["g"], x["h"]) for b in R.gradients(iter([batch.slice(0, 15), batch.slice(15)])) for x in b.to_pylist()}
+    want = {tuple(x["bins"]): (x["g"], x["h"]) for own in lists for x in R.lambdas(own)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and want
