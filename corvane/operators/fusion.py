@@ -20,6 +20,11 @@ def per_query() -> WindowSpec:
     return Window.partitionBy("query_id")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by hash of keys in spark.sql.shuffle.partitions tasks: left to itself, Spark joins them to about one a core, whose sorts and windows then grow with the input."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def outer(dense: DataFrame, sparse: DataFrame, name: str = "sparse", left: str = "dense") -> DataFrame:
     """JN-1: the full outer join of two channels (or of a pool and one more channel: JN-2)."""
     a = dense.withColumnRenamed("score", left)

@@ -267,3 +267,9 @@ def test_nearest_in_slices_gives_the_same(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(D, "CELLS", 120)
     assert run() == whole and len(whole) == 200
+
+
+def test_pools_are_dealt_over_all_shuffle_partitions(spark, sf_dir):
+    from corvane.plans import ranking
+
+    assert ranking.pool(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not one a core
