@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm.scratch import slices, stored
-from corvane.llm.token_files import LETTER, LONGEST, SIGN, SPACE, SPACED, PieceCoder
+from corvane.llm.token_files import LETTER, SIGN, SPACE, SPACED, WORD, PieceCoder
 from corvane.llm.token_files import PIECES as FINE
 from corvane.llm.tokens import Counter
 
-#: Pieces (twice, in two generations) that a worker remembers, bytes of text that go together, and pairs of ids up to which their counts are broadcast (16 bytes each, about 100 MB as a table).
-CACHED, CHARS, PAIRS = 120_000, 2_000_000, 2_000_000
+#: Pieces, and code points of them, that a worker remembers (and a stretch's more), bytes of text that go together, and pairs of ids up to which their counts are broadcast (16 bytes each, about 100 MB as a table).
+CACHED, KEPT, CHARS, PAIRS = 300_000, 6_000_000, 4_000_000, 2_000_000
 #: A token in one number: its end, then 0 for A or 1 for B, then its id; all ones below the end mark a group's end.
 WIDE = 32
 MARK = (1 << WIDE + 1) - 1
+#: What stands behind a token of a group, behind A's last one, and behind B's.
+SIGNS = ",|;"
 
 
 class Bytes:
@@ -44,6 +46,36 @@ def byte_level(library: Tokenizer) -> Bytes:
     return Bytes([added[i] if i in added else bytes(map(sign.__getitem__, name)) for i, name in enumerate(names)])
 
 
+class Lists:
+    """Lists of numbers, one after another."""
+
+    def __init__(self, sizes: np.ndarray | list[int] = (), data: np.ndarray | list[int] = ()):
+        self.sizes, self.data = np.asarray(sizes, np.int64), np.asarray(data, np.int32)
+
+    def add(self, more: Lists) -> None:
+        self.sizes, self.data = np.concatenate([self.sizes, more.sizes]), np.concatenate([self.data, more.data])
+
+    def take(self, at: np.ndarray) -> Lists:
+        n = self.sizes[at]
+        starts = (np.cumsum(self.sizes) - self.sizes)[at]
+        return Lists(n, self.data[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+
+    def ends(self) -> Lists:
+        """The running sums of each list."""
+        sums = np.concatenate(([0], np.cumsum(self.data, dtype=np.int64)))
+        return Lists(self.sizes, sums[1:] - np.repeat(sums[np.cumsum(self.sizes) - self.sizes], self.sizes))
+
+    def arrow(self, kind: pa.DataType) -> pa.ListArray:
+        return listed(self.sizes, pa.array(self.data).cast(kind))
+
+
+def distinct(numbers: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, and the place of each in them."""
+    there = np.zeros(below, bool)
+    there[numbers] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[numbers]
+
+
 class Pair:
     """Both tokenizers of one worker; texts in, pieces and their tokens out.
 
@@ -62,44 +94,70 @@ class Pair:
         plain = [x for i, x in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
         self.fine = self.a.cuts and not any(re.search(f"[{LETTER}][{SIGN}]|[{SIGN}][{LETTER}]", x) for x in plain)
         self.apart = sorted({c for x in plain for c in re.findall(f"(?<=[^{SPACE}▁])[{SPACE}▁]", x)})
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.b_feed = m.encode("\n")[1]
+        self.forget()
+
+    def forget(self) -> None:
+        """Free what is remembered: pieces by number, with their tokens and their shape, which is the lengths of both kinds' tokens."""
+        self.number: dict[str, int] = {}
+        self.shape_number: dict[tuple[bytes, bytes], int] = {}
+        self.ids, self.lengths = (Lists(), Lists()), (Lists(), Lists())
+        self.shape, self.held = np.zeros(0, np.int32), 0
 
     def pieces(self, text: str) -> list[str]:
         """The text begins with a space."""
         return FINE.findall(text) if self.fine and not any(x in text for x in self.apart) else SPACED.split(text)[1:] if self.a.cuts else [text]
 
-    def tokens_of(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """A's and B's ids of each piece, as bytes. B encodes it behind a line feed, two tokens that no other joins."""
-        a = dict(self.a.encoded(pieces)) if self.fine else dict(zip(pieces, self.a.packed(pieces), strict=True))
-        b = self.b.model.encode(["\n" + p for p in pieces], num_threads=1)
-        return {p: (a[p], struct.pack(f"<{len(ids) - 2}I", *ids[2:])) for p, ids in zip(pieces, b, strict=True)}
-
-    def cut(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
-        """The tokens of all pieces, each once, and the places in that list of each text's pieces; none where either tokenizer's bytes aren't the text's."""
+    def learn(self, pieces: list[str]) -> None:
+        """Tokens of new pieces. Words go to both tokenizers many at a time, line by line (see PieceCoder and Counter); B encodes others behind a line feed, two tokens that no other joins."""
+        words = [p for p in pieces if self.fine and WORD.fullmatch(p)]
+        others = [p for p in pieces if not (self.fine and WORD.fullmatch(p))]
+        a, b = Lists(), Lists()
+        for at in range(0, len(words), 512):
+            lines = "\n" + "\n".join(words[at : at + 512])
+            for of, ids, feed in ((a, self.a.library.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.a.feed), (b, self.b.model.encode(lines)[1:], self.b_feed)):
+                row = np.array(ids, np.int32)
+                ends = np.flatnonzero(row == feed)
+                if len(ends) != lines.count("\n") or ends[0]:
+                    raise ValueError("a line feed is no token of its own")
+                of.add(Lists(np.diff(ends, append=len(row)) - 1, row[row != feed]))
+        packed = [x for _, x in self.a.encoded(others)] if self.fine else self.a.packed(others)
+        a.add(Lists([len(x) // self.a.dtype.itemsize for x in packed], np.frombuffer(b"".join(packed), self.a.dtype)))
+        each = [x[2:] for x in self.b.model.encode(["\n" + p for p in others], num_threads=1)]
+        b.add(Lists(list(map(len, each)), list(chain.from_iterable(each))))
+        keys = list(zip(lengths_of(a, self.a_bytes), lengths_of(b, self.b_bytes), strict=True))
+        new = [x for x in dict.fromkeys(keys) if x not in self.shape_number]
+        for k in (0, 1):
+            self.ids[k].add((a, b)[k])
+            self.lengths[k].add(Lists([len(x[k]) // 4 for x in new], np.frombuffer(b"".join(x[k] for x in new), np.int32)))
+        self.shape_number.update(zip(new, range(len(self.shape_number), len(self.shape_number) + len(new)), strict=True))
+        self.shape = np.concatenate([self.shape, np.array(list(map(self.shape_number.__getitem__, keys)), np.int32)])
+        self.number.update(zip(words + others, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
+
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of all pieces, each once, the places in them of the texts' pieces, and how many each text has; none where either tokenizer's bytes aren't the text's."""
+        if len(self.number) > CACHED or self.held > KEPT:
+            self.forget()
         each = [self.pieces(" " + t) if t else [] for t in texts]
-        every = list(set().union(*each))
-        if len(self.known) + len(every) > CACHED:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        fresh = self.tokens_of([p for p in every if p not in known and p not in older])
-        found = [known.get(p) or older.get(p) or fresh[p] for p in every]
-        known.update((p, x) for p, x in zip(every, found, strict=True) if len(p) <= LONGEST)
-        place = dict(zip(every, range(len(every)), strict=True))
-        at = [list(map(place.__getitem__, own)) if not t or self.whole(t, [found[place[p]] for p in own] if self.doubtful(t) else None) else [] for t, own in zip(texts, each, strict=True)]
-        return found, at
+        every = list(chain.from_iterable(each))
+        self.learn([p for p in set(every) if p not in self.number])
+        at, sizes = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every)), np.array(list(map(len, each)), np.int64)
+        starts, keep = np.cumsum(sizes) - sizes, np.ones(len(every), bool)
+        for k, t in enumerate(texts):
+            own = slice(starts[k], starts[k] + sizes[k])
+            if t and self.doubtful(t) and not self.whole(t, at[own]):
+                keep[own], sizes[k] = False, 0
+        return *distinct(at[keep], len(self.number)), sizes
 
     def doubtful(self, text: str) -> bool:
         """Whether tokens may spell other bytes than the text's: without a normaliser A's never do, and B is proven (see Counter) to change but the space sign."""
         return not self.a.cuts or "▁" in text
 
-    def whole(self, text: str, own: list[tuple[bytes, bytes]] | None) -> bool:
-        """Whether the bytes of a text's tokens, all joined, are the text's."""
-        if own is None:
-            return True
-        a, b = (b"".join(x[k] for x in own) for k in (0, 1))
-        want = b" " + text.encode()
-        return self.a_bytes.joined(np.frombuffer(a, self.a.dtype)) == want == self.b_bytes.joined(np.frombuffer(b, "<u4"))
+    def whole(self, text: str, own: np.ndarray) -> bool:
+        """Whether the bytes of a text's tokens, all joined, are the text's. own: the numbers of its pieces."""
+        a, b = (of.joined(x.take(own).data) for of, x in zip((self.a_bytes, self.b_bytes), self.ids, strict=True))
+        return a == b" " + text.encode() == b
 
 
 @lru_cache(1)
@@ -111,34 +169,35 @@ def listed(sizes: np.ndarray, flat: np.ndarray | pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat if isinstance(flat, pa.Array) else pa.array(flat))
 
 
-def ids_and_ends(packed: list[bytes], dtype: np.dtype, of: Bytes) -> tuple[pa.ListArray, pa.ListArray]:
-    """Lists of ids, and of the bytes of the piece at which their tokens end."""
-    sizes = np.array(list(map(len, packed)), np.int64) // dtype.itemsize
-    ids = np.frombuffer(b"".join(packed), dtype)
-    ends = np.cumsum(of.size[ids])
-    first = np.cumsum(sizes) - sizes
-    before = np.concatenate(([0], ends))[first]
-    return listed(sizes, ids.astype(np.int32)), listed(sizes, ends - np.repeat(before, sizes))
+def lengths_of(ids: Lists, of: Bytes) -> list[bytes]:
+    """The lengths of each list's tokens, as the bytes of 32-bit integers."""
+    data, at = of.size[ids.data].astype(np.int32).tobytes(), [0, *(np.cumsum(ids.sizes) * 4).tolist()]
+    return [data[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
-PIECES = "array<struct<a: array<int>, a_ends: array<long>, b: array<int>, b_ends: array<long>>>"
+SHAPES = "array<struct<a_ends: array<long>, b_ends: array<long>>>"
+PIECES = "array<struct<a: array<int>, b: array<int>, shape: int>>"
 DOCS = "array<struct<doc_id: long, n_a: long, n_b: long, at: array<int>>>"
 
 
 def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(pieces, docs): rows of about CHARS code points of texts. pieces has the tokens of each distinct piece, ids and the bytes at which they end; docs the places of each text's pieces in it."""
+    """(shapes, pieces, docs): rows of about CHARS code points of texts.
+
+    shapes has the bytes at which tokens end, once for all pieces that are cut alike;
+    pieces the ids of each distinct piece and the place of its shape; docs the places of
+    each text's pieces.
+    """
 
     def row(own: Pair, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        found, at = own.cut([t for x in parts for t in x.column("text").to_pylist()])
-        a, a_ends = ids_and_ends([x[0] for x in found], own.a.dtype, own.a_bytes)
-        b, b_ends = ids_and_ends([x[1] for x in found], np.dtype("<u4"), own.b_bytes)
-        pieces = pa.StructArray.from_arrays([a, a_ends, b, b_ends], ["a", "a_ends", "b", "b_ends"])
-        sizes = np.array(list(map(len, at)), np.int64)
-        flat = np.array([i for x in at for i in x], np.int32)
-        lengths = [np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy()[flat])))[np.concatenate(([0], np.cumsum(sizes)))] for x in (a, b)]
+        used, flat, sizes = own.cut([t for x in parts for t in x.column("text").to_pylist()])
+        a, b = (x.take(used) for x in own.ids)
+        kinds, shape = distinct(own.shape[used], len(own.shape_number))
+        shapes = pa.StructArray.from_arrays([x.take(kinds).ends().arrow(pa.int64()) for x in own.lengths], ["a_ends", "b_ends"])
+        pieces = pa.StructArray.from_arrays([a.arrow(pa.int32()), b.arrow(pa.int32()), pa.array(shape.astype(np.int32))], ["a", "b", "shape"])
+        lengths = [np.concatenate(([0], np.cumsum(x.sizes[flat])))[np.concatenate(([0], np.cumsum(sizes)))] for x in (a, b)]
         ids = pa.concat_arrays([x.column("doc_id") for x in parts])
-        texts = pa.StructArray.from_arrays([ids, *(pa.array(np.diff(x)) for x in lengths), listed(sizes, flat)], ["doc_id", "n_a", "n_b", "at"])
-        return pa.record_batch([listed(np.array([len(pieces)]), pieces), listed(np.array([len(texts)]), texts)], ["pieces", "docs"])
+        texts = pa.StructArray.from_arrays([ids, *(pa.array(np.diff(x)) for x in lengths), listed(sizes, flat.astype(np.int32))], ["doc_id", "n_a", "n_b", "at"])
+        return pa.record_batch([listed(np.array([len(x)]), x) for x in (shapes, pieces, texts)], ["shapes", "pieces", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts, held = pair(path_a, path_b), [], 0
@@ -151,7 +210,7 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         if parts:
             yield row(own, parts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"pieces {PIECES}, docs {DOCS}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"shapes {SHAPES}, pieces {PIECES}, docs {DOCS}")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -200,28 +259,35 @@ def links_of(group: Column) -> Column:
     return F.when(F.size(group) == 2, F.array(linked(id_of(group[0]), id_of(group[1])))).otherwise(F.aggregate(F.reverse(group), state, step, lambda s: s["out"]))
 
 
-def said(group: Column) -> Column:
-    """A group as its ids: a1,a2|b1."""
-    ids = lambda keep: F.array_join(F.transform(F.filter(group, keep), lambda x: id_of(x).cast("string")), ",")
-    return F.when(F.size(group) == 2, F.concat_ws("|", id_of(group[0]).cast("string"), id_of(group[1]).cast("string"))).otherwise(F.concat(ids(lambda x: ~is_b(x)), F.lit("|"), ids(is_b)))
+def laid_out(group: Column, n_a: Column, n: Column) -> Column:
+    """A group's text, a1,a2|b1; as places: tokens (B's behind all n_a of A's), and behind all n tokens the signs of SIGNS."""
+
+    def part(keep: Callable[[Column], Column], base: Column, last: int) -> Column:
+        own = lambda x: F.flatten(F.transform(x, lambda t, k: F.array(id_of(t).cast("int") + base, n + F.when(k == F.size(x) - 1, last).otherwise(0))))
+        return bound(F.filter(group, keep), own)
 
+    return F.concat(part(lambda x: ~is_b(x), F.lit(0), 1), part(is_b, n_a, 2))
 
-def aligned(p: Column) -> Column:
-    """(n, groups, links) of one piece: how many groups, their text, and the links."""
-    done = lambda n, text, links: F.struct(n.cast("long").alias("n"), text.alias("groups"), links.alias("links"))
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    link = lambda a, b: linked(a.cast("long"), b.cast("long"))
-    na, nb = F.size(p["a"]), F.size(p["b"])
-    whole = F.concat(ids(p["a"]), F.lit("|"), ids(p["b"]))
 
-    def many(groups: Column) -> Column:
-        return done(F.size(groups), F.array_join(F.transform(groups, said), ";"), F.flatten(F.transform(groups, links_of)))
+def aligned(s: Column) -> Column:
+    """(n, text, a, b) of one shape, its tokens numbered from 0: how many groups, their text as places, and the tokens that each link joins."""
+    n_a, n_b = F.size(s["a_ends"]), F.size(s["b_ends"])
+    numbers = lambda n: F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
 
-    return (
-        F.when(na == 1, done(F.lit(1), whole, F.transform(p["b"], lambda y: link(p["a"][0], y))))
-        .when(nb == 1, done(F.lit(1), whole, F.transform(p["a"], lambda x: link(x, p["b"][0]))))
-        .otherwise(bound(groups_of(p["a"], p["a_ends"], p["b"], p["b_ends"]), many))
-    )
+    def done(groups: Column) -> Column:
+        text = F.flatten(F.transform(groups, lambda g: laid_out(g, n_a, n_a + n_b)))
+        sides = lambda x: [F.transform(x, lambda y: F.shiftright(y, WIDE).cast("int")).alias("a"), F.transform(x, lambda y: id_of(y).cast("int")).alias("b")]
+        return bound(F.flatten(F.transform(groups, links_of)), lambda x: F.struct(F.size(groups).cast("long").alias("n"), text.alias("text"), *sides(x)))
+
+    return bound(groups_of(numbers(n_a), s["a_ends"], numbers(n_b), s["b_ends"]), done)
+
+
+def filled(p: Column, s: Column) -> Column:
+    """(n, groups, links) of a piece with the aligned shape s: how many groups, their text (each with a ; behind it), and the links."""
+    said = F.concat(p["a"].cast("array<string>"), p["b"].cast("array<string>"), F.array(*map(F.lit, SIGNS)))
+    text = bound(said, lambda x: F.array_join(F.transform(s["text"], lambda k: x[k]), ""))
+    links = F.zip_with(s["a"], s["b"], lambda i, j: linked(p["a"][i].cast("long"), p["b"][j].cast("long")))
+    return F.struct(s["n"].alias("n"), text.alias("groups"), links.alias("links"))
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -235,13 +301,16 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def of_docs(pieces: Column) -> Column:
         def of_doc(x: Column) -> Column:
             n = F.aggregate(x["at"], F.lit(0).cast("long"), lambda s, i: s + pieces[i]["n"])
-            text = F.array_join(F.transform(x["at"], lambda i: pieces[i]["groups"]), ";")
+            text = F.rtrim(F.array_join(F.transform(x["at"], lambda i: pieces[i]["groups"]), ""), F.lit(";"))
             links = F.flatten(F.transform(x["at"], lambda i: pieces[i]["links"]))
             return F.struct(x["doc_id"].alias("doc_id"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), n.alias("n_groups"), text.alias("groups"), links.alias("links"))
 
         return F.transform("docs", of_doc)
 
-    each = tokenised(docs, path_a, path_b).select(F.inline(bound(F.transform("pieces", aligned), of_docs)))
+    def of_pieces(shapes: Column) -> Column:
+        return F.transform("pieces", lambda p: bound(shapes[p["shape"]], lambda s: filled(p, s)))
+
+    each = tokenised(docs, path_a, path_b).select(F.inline(bound(bound(F.transform("shapes", aligned), of_pieces), of_docs)))
     return each.withColumn("row", F.monotonically_increasing_id())
 
 

@@ -223,6 +223,20 @@ def test_alignment_of_wide_groups_and_of_nothing(spark, docs):
     assert align.alignment_report(docs.limit(0), A, B).count() == 0
 
 
+def test_pieces_cut_alike_share_a_shape(docs):
+    """Ends of tokens stand once for all pieces that are cut alike; ids and ends give the pieces' bytes back."""
+    own, rows = align.Pair(A, B), align.tokenised(docs, A, B).collect()
+    assert sum(len(r.shapes) for r in rows) < 0.7 * sum(len(r.pieces) for r in rows)
+    for r in rows:
+        shapes = [(tuple(x.a_ends), tuple(x.b_ends)) for x in r.shapes]
+        assert len(set(shapes)) == len(shapes) <= len(r.pieces)
+        for x in r.pieces:
+            ends = shapes[x.shape]
+            data = own.a_bytes.joined(np.array(x.a))
+            assert data == own.b_bytes.joined(np.array(x.b)) and len(data) == ends[0][-1] == ends[1][-1]
+            assert np.cumsum(own.a_bytes.size[x.a]).tolist() == list(ends[0]) and np.cumsum(own.b_bytes.size[x.b]).tolist() == list(ends[1])
+
+
 def test_their_queries_cover_whole_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op11_token_files", "op12_runs", "op13_align"):
