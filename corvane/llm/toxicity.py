@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHARS = 12, 8, 8, 4096
 #: Defaults of trained(): the classifier is fitted on so many labelled documents at most, none longer than so many code points; scoring has no such bounds.
 FIT_DOCS, FIT_CHARS, VOCABULARY = 4000, 20_000, 20_000
-#: Least score that counts as toxic; words whose inputs a worker remembers.
-THRESHOLD, CACHED = 0.3, 50_000
+#: Least score that counts as toxic; words whose inputs a worker remembers (about 500 bytes each), and trigrams; windows that are scored together.
+THRESHOLD, CACHED, GRAMS, BLOCK = 0.3, 240_000, 100_000, 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -36,6 +38,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+@lru_cache(GRAMS)
+def bucket(trigram: str) -> int:
+    return zlib.crc32(trigram.encode()) % CHARS
+
+
 class Network:
     """Windows of words to the probability of the label.
 
@@ -57,30 +64,36 @@ class Network:
     @staticmethod
     def trigrams(word: str) -> list[int]:
         x = f"<{word}>"
-        return [zlib.crc32(x[i : i + 3].encode()) % CHARS for i in range(len(x) - 2)]
+        return [bucket(x[i : i + 3]) for i in range(len(x) - 2)]
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """A row for each word."""
         grams = [self.trigrams(w) for w in words]
         sizes = np.array([len(g) for g in grams])
-        flat = np.concatenate(grams)
+        flat = np.fromiter(chain.from_iterable(grams), np.int64, sizes.sum())
         chars = np.add.reduceat(self.p["C"][flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), 0) / sizes[:, None]
         return np.hstack([self.p["E"][[self.number.get(w, 0) for w in words]], chars]).astype(np.float32)
 
-    def states(self, side: str, a: list[np.ndarray], keep: list | None = None) -> list[np.ndarray]:
-        """States of one GRU over its projected inputs, in the order given."""
-        u, h, n = self.p["U" + side], np.zeros((len(a[0]), HIDDEN), np.float32), HIDDEN
-        out = []
-        for x in a:
+    def states(self, side: str, a: list[np.ndarray], out: list[np.ndarray], keep: list | None = None) -> None:
+        """States of one GRU over its projected inputs, in the order given, put into out."""
+        u, n, h = self.p["U" + side], HIDDEN, np.zeros((len(a[0]), HIDDEN), a[0].dtype)
+        for x, place in zip(a, out, strict=True):
             g = h @ u
-            zr = sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
+            zr = x[:, : 2 * n] + g[:, : 2 * n]  # sigmoid, in place
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
+            c = r * g[:, 2 * n :]
+            c += x[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, z, r, c, g[:, 2 * n :]))
-            h = c + z * (h - c)
-            out.append(h)
-        return out
+            h = h - c
+            h *= z
+            h += c
+            place[:] = h
 
     def pooled(self, states: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = np.where(there, states @ self.p["v"], -1e9)
@@ -89,9 +102,11 @@ class Network:
         return alpha, (alpha[:, :, None] * states).sum(1)
 
     def both(self, a: dict[str, list[np.ndarray]], keep: dict | None = None) -> np.ndarray:
-        f = self.states("f", a["f"], None if keep is None else keep["f"])
-        b = self.states("b", a["b"][::-1], None if keep is None else keep["b"])[::-1]
-        return np.concatenate([np.stack(f, 1), np.stack(b, 1)], 2)
+        steps = len(a["f"])
+        out = np.empty((len(a["f"][0]), steps, 2 * HIDDEN), a["f"][0].dtype)
+        for side, order, part in (("f", range(steps), slice(HIDDEN)), ("b", range(steps - 1, -1, -1), slice(HIDDEN, None))):
+            self.states(side, [a[side][k] for k in order], [out[:, k, part] for k in order], None if keep is None else keep[side])
+        return out
 
     def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean cross entropy, and the inputs'."""
@@ -136,7 +151,7 @@ class Network:
             self.forget()
             self.rows: dict[str, int] = {}
             self.tables = {s: np.zeros((1024, 3 * HIDDEN), np.float32) + self.p["B" + s] for s in "fb"}
-        new = list({w for d in documents for w in d if w not in self.rows})
+        new = [w for w in set().union(*documents) if w not in self.rows]
         if new:
             x, at = self.inputs(new), len(self.rows) + 1
             while at + len(new) > len(self.tables["f"]):  # twice the room, so that rows are seldom copied
@@ -146,13 +161,14 @@ class Network:
                 t[at : at + len(new)] = x @ self.p["W" + side] + self.p["B" + side]
         cuts, out = [], []
         for d in documents:
-            ids = np.fromiter((self.rows[w] for w in d), np.int64, len(d))
+            ids = np.fromiter(map(self.rows.__getitem__, d), np.int64, len(d))
             cuts.append(np.concatenate([ids, np.zeros(WINDOW, np.int64)])[windows(len(d))[:, None] + np.arange(WINDOW)] if d else np.zeros((0, WINDOW), np.int64))
         flat = np.concatenate(cuts) if cuts else np.zeros((0, WINDOW), np.int64)
         found = [np.zeros(0, np.float32)]
-        for at in range(0, len(flat), 2048):
-            ids = flat[at : at + 2048]
-            h = self.both({s: [self.tables[s][ids[:, k]] for k in range(WINDOW)] for s in "fb"})
+        for at in range(0, len(flat), BLOCK):
+            ids = flat[at : at + BLOCK]
+            places = np.ascontiguousarray(ids.T)
+            h = self.both({s: [self.tables[s].take(k, 0) for k in places] for s in "fb"})
             found.append(sigmoid(self.pooled(h, ids > 0)[1] @ self.p["w"] + self.p["b"]))
         every, at = np.concatenate(found), 0
         for c in cuts:

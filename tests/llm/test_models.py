@@ -49,6 +49,17 @@ def test_toxic_documents_are_found_wherever_the_word_is(spark):
     assert toxicity.toxicity(spark.createDataFrame([], DOCS), net).count() == 0
 
 
+def test_words_of_many_documents_are_projected_once(monkeypatch):
+    net, asked = toxicity.Network(["a"]), []
+    real = net.inputs
+    monkeypatch.setattr(net, "inputs", lambda words: asked.extend(words) or real(words))
+    documents = [[f"w{k}" for k in range(at, at + 1000)] for at in range(0, 60_000, 1000)]
+    first = [net.scores([d])[0] for d in documents]
+    again = [net.scores([d])[0] for d in documents]
+    assert len(asked) == len(set(asked)) == 60_000
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
 def test_no_labels_still_score():
     assert [len(s) for s in toxicity.fit([], []).scores([["a"], []])] == [1, 0]
 
