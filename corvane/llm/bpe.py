@@ -195,7 +195,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, reach: i
     One row for each row of docs (columns doc_id, text; others are ignored). A null or
     empty text has no tokens and the digests of no bytes. ids_sha256 is of the ids as
     little-endian unsigned 32-bit integers. ids=False leaves the column out. reach: see
-    ByteBPE; without it long texts are matched in one go.
+    ByteBPE; without it long texts are matched in one go. What a worker remembers stays
+    for its next task: the tables are bounded, and each task would fill them again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,6 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, reach: i
                     out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), "<i4"))))
                 yield pa.record_batch(out, names)
         finally:
-            coder.forget()
             release()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]

@@ -135,6 +135,27 @@ def test_bpe_joins_small_leaves_and_long_texts():
         assert usual.decode(usual.encode(text)) == text.encode()
 
 
+def test_bpe_tables_stay_for_the_next_task(spark, monkeypatch):
+    """The second task of a worker merges nothing that the first one has merged."""
+    import pyarrow as pa
+
+    class Held:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    merged, real = [], bpe.ByteBPE.merged
+    monkeypatch.setattr(bpe.ByteBPE, "merged", lambda self, data: merged.append(data) or real(self, data))
+    bpe.loaded.cache_clear()
+    run = bpe.encoded(Held(), library()[0], P.PATTERN, reach=3)
+    batch = pa.record_batch([pa.array([1]), pa.array(["zorblatt quixmere vundalo"])], ["doc_id", "text"])
+    first = [x.to_pylist() for x in run(iter([batch]))]
+    n = len(merged)
+    assert [x.to_pylist() for x in run(iter([batch]))] == first and len(merged) == n > 0
+
+
 def test_bpe_digests_and_empty_table(spark, docs):
     import struct
 
