@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -95,23 +96,34 @@ class Pair:
         self.fine = self.a.cuts and not any(re.search(f"[{LETTER}][{SIGN}]|[{SIGN}][{LETTER}]", x) for x in plain)
         self.apart = sorted({c for x in plain for c in re.findall(f"(?<=[^{SPACE}▁])[{SPACE}▁]", x)})
         self.b_feed = m.encode("\n")[1]
-        self.forget()
-
-    def forget(self) -> None:
-        """Free what is remembered: pieces by number, with their tokens and their shape, which is the lengths of both kinds' tokens."""
-        self.number: dict[str, int] = {}
+        # What is remembered: pieces by number, with their tokens and their shape, which is the lengths of both kinds' tokens; the numbers that the last texts have.
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new piece gets the next number
         self.shape_number: dict[tuple[bytes, bytes], int] = {}
         self.ids, self.lengths = (Lists(), Lists()), (Lists(), Lists())
-        self.shape, self.held = np.zeros(0, np.int32), 0
+        self.shape, self.last, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+
+    def forget(self) -> None:
+        """Free all pieces but those of the last texts, and these too if they are too many."""
+        names, shapes = list(self.number), list(self.shape_number)
+        kept = [names[i] for i in self.last]
+        if len(kept) > CACHED or sum(map(len, kept)) > KEPT:
+            kept, self.last = [], self.last[:0]
+        kinds, self.shape = distinct(self.shape[self.last], len(shapes))
+        self.number.clear()
+        self.number.update(zip(kept, range(len(kept)), strict=True))
+        self.shape_number = {shapes[i]: k for k, i in enumerate(kinds.tolist())}
+        self.ids, self.lengths = tuple(x.take(self.last) for x in self.ids), tuple(x.take(kinds) for x in self.lengths)
+        self.last, self.held = np.arange(len(kept)), sum(map(len, kept))
 
     def pieces(self, text: str) -> list[str]:
         """The text begins with a space."""
         return FINE.findall(text) if self.fine and not any(x in text for x in self.apart) else SPACED.split(text)[1:] if self.a.cuts else [text]
 
     def learn(self, pieces: list[str]) -> None:
-        """Tokens of new pieces. Words go to both tokenizers many at a time, line by line (see PieceCoder and Counter); B encodes others behind a line feed, two tokens that no other joins."""
-        words = [p for p in pieces if self.fine and WORD.fullmatch(p)]
-        others = [p for p in pieces if not (self.fine and WORD.fullmatch(p))]
+        """Tokens of new pieces, in the order of their numbers. Words go to both tokenizers many at a time, line by line (see PieceCoder and Counter); B encodes others behind a line feed, two tokens that no other joins."""
+        plain = np.array([bool(self.fine and WORD.fullmatch(p)) for p in pieces], bool)
+        words, others = (list(compress(pieces, x)) for x in (plain, ~plain))
         a, b = Lists(), Lists()
         for at in range(0, len(words), 512):
             lines = "\n" + "\n".join(words[at : at + 512])
@@ -125,6 +137,8 @@ class Pair:
         a.add(Lists([len(x) // self.a.dtype.itemsize for x in packed], np.frombuffer(b"".join(packed), self.a.dtype)))
         each = [x[2:] for x in self.b.model.encode(["\n" + p for p in others], num_threads=1)]
         b.add(Lists(list(map(len, each)), list(chain.from_iterable(each))))
+        order = np.argsort(np.argsort(~plain, kind="stable"))
+        a, b = a.take(order), b.take(order)
         keys = list(zip(lengths_of(a, self.a_bytes), lengths_of(b, self.b_bytes), strict=True))
         new = [x for x in dict.fromkeys(keys) if x not in self.shape_number]
         for k in (0, 1):
@@ -132,23 +146,24 @@ class Pair:
             self.lengths[k].add(Lists([len(x[k]) // 4 for x in new], np.frombuffer(b"".join(x[k] for x in new), np.int32)))
         self.shape_number.update(zip(new, range(len(self.shape_number), len(self.shape_number) + len(new)), strict=True))
         self.shape = np.concatenate([self.shape, np.array(list(map(self.shape_number.__getitem__, keys)), np.int32)])
-        self.number.update(zip(words + others, range(len(self.number), len(self.number) + len(pieces)), strict=True))
         self.held += sum(map(len, pieces))
 
     def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of all pieces, each once, the places in them of the texts' pieces, and how many each text has; none where either tokenizer's bytes aren't the text's."""
         if len(self.number) > CACHED or self.held > KEPT:
             self.forget()
-        each = [self.pieces(" " + t) if t else [] for t in texts]
-        every = list(chain.from_iterable(each))
-        self.learn([p for p in set(every) if p not in self.number])
-        at, sizes = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every)), np.array(list(map(len, each)), np.int64)
-        starts, keep = np.cumsum(sizes) - sizes, np.ones(len(every), bool)
+        each = [np.fromiter(map(self.number.__getitem__, self.pieces(" " + t) if t else []), np.int32) for t in texts]
+        new = islice(self.number, len(self.shape), None)
+        while some := list(islice(new, 16_384)):
+            self.learn(some)
+        at, sizes = np.concatenate([np.zeros(0, np.int32), *each]), np.array(list(map(len, each)), np.int64)
+        starts, keep = np.cumsum(sizes) - sizes, np.ones(len(at), bool)
         for k, t in enumerate(texts):
             own = slice(starts[k], starts[k] + sizes[k])
             if t and self.doubtful(t) and not self.whole(t, at[own]):
                 keep[own], sizes[k] = False, 0
-        return *distinct(at[keep], len(self.number)), sizes
+        self.last, places = distinct(at[keep], len(self.number))
+        return self.last, places, sizes
 
     def doubtful(self, text: str) -> bool:
         """Whether tokens may spell other bytes than the text's: without a normaliser A's never do, and B is proven (see Counter) to change but the space sign."""
@@ -214,8 +229,13 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with value computed once however often it is used. It is the start of an aggregate over nothing: transform() would copy what use() returns, down to the last element."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
+
+
+def joined(*arrays: Column) -> Column:
+    """The arrays one after another. concat() makes a lazy list of them each time, which shows where they are many and small."""
+    return F.flatten(F.array(*arrays))
 
 
 def id_of(token: Column) -> Column:
@@ -238,7 +258,7 @@ def groups_of(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
     """
     packed = lambda ends, ids, kind: F.zip_with(ends, ids, lambda e, i: F.shiftleft(e, WIDE + 1).bitwiseOR(F.lit(kind << WIDE)).bitwiseOR(i.cast("long")))
     marks = F.transform(F.array_intersect(a_ends, b_ends), lambda e: F.shiftleft(e, WIDE + 1).bitwiseOR(F.lit(MARK)))
-    row = F.sort_array(F.concat(packed(a_ends, a, 0), packed(b_ends, b, 1), marks))
+    row = F.sort_array(joined(packed(a_ends, a, 0), packed(b_ends, b, 1), marks))
 
     def cut(x: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: x[i - 1].bitwiseAND(MARK) == MARK)
@@ -266,28 +286,29 @@ def laid_out(group: Column, n_a: Column, n: Column) -> Column:
         own = lambda x: F.flatten(F.transform(x, lambda t, k: F.array(id_of(t).cast("int") + base, n + F.when(k == F.size(x) - 1, last).otherwise(0))))
         return bound(F.filter(group, keep), own)
 
-    return F.concat(part(lambda x: ~is_b(x), F.lit(0), 1), part(is_b, n_a, 2))
+    return joined(part(lambda x: ~is_b(x), F.lit(0), 1), part(is_b, n_a, 2))
 
 
 def aligned(s: Column) -> Column:
-    """(n, text, a, b) of one shape, its tokens numbered from 0: how many groups, their text as places, and the tokens that each link joins."""
+    """(text, a, b) of one shape, its tokens numbered from 0: its groups' text as places, without the last sign, and the tokens that each link joins."""
     n_a, n_b = F.size(s["a_ends"]), F.size(s["b_ends"])
     numbers = lambda n: F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
 
     def done(groups: Column) -> Column:
         text = F.flatten(F.transform(groups, lambda g: laid_out(g, n_a, n_a + n_b)))
         sides = lambda x: [F.transform(x, lambda y: F.shiftright(y, WIDE).cast("int")).alias("a"), F.transform(x, lambda y: id_of(y).cast("int")).alias("b")]
-        return bound(F.flatten(F.transform(groups, links_of)), lambda x: F.struct(F.size(groups).cast("long").alias("n"), text.alias("text"), *sides(x)))
+        shown = bound(text, lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+        return bound(F.flatten(F.transform(groups, links_of)), lambda x: F.struct(shown.alias("text"), *sides(x)))
 
     return bound(groups_of(numbers(n_a), s["a_ends"], numbers(n_b), s["b_ends"]), done)
 
 
 def filled(p: Column, s: Column) -> Column:
-    """(n, groups, links) of a piece with the aligned shape s: how many groups, their text (each with a ; behind it), and the links."""
-    said = F.concat(p["a"].cast("array<string>"), p["b"].cast("array<string>"), F.array(*map(F.lit, SIGNS)))
+    """(groups, links) of a piece with the aligned shape s: its groups' text, and the links."""
+    said = joined(p["a"].cast("array<string>"), p["b"].cast("array<string>"), F.array(*map(F.lit, SIGNS)))
     text = bound(said, lambda x: F.array_join(F.transform(s["text"], lambda k: x[k]), ""))
-    links = F.zip_with(s["a"], s["b"], lambda i, j: linked(p["a"][i].cast("long"), p["b"][j].cast("long")))
-    return F.struct(s["n"].alias("n"), text.alias("groups"), links.alias("links"))
+    links = bound(p["a"], lambda a: bound(p["b"], lambda b: F.zip_with(s["a"], s["b"], lambda i, j: linked(a[i].cast("long"), b[j].cast("long")))))
+    return F.struct(text.alias("groups"), links.alias("links"))
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -298,20 +319,21 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shifted by 32 bits, and B's.
     """
 
-    def of_docs(pieces: Column) -> Column:
+    def of_docs(groups: Column, links: Column) -> Column:
         def of_doc(x: Column) -> Column:
-            n = F.aggregate(x["at"], F.lit(0).cast("long"), lambda s, i: s + pieces[i]["n"])
-            text = F.rtrim(F.array_join(F.transform(x["at"], lambda i: pieces[i]["groups"]), ""), F.lit(";"))
-            links = F.flatten(F.transform(x["at"], lambda i: pieces[i]["links"]))
-            return F.struct(x["doc_id"].alias("doc_id"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), n.alias("n_groups"), text.alias("groups"), links.alias("links"))
+            text = F.array_join(F.transform(x["at"], lambda i: groups[i]), ";")
+            own = F.flatten(F.transform(x["at"], lambda i: links[i]))
+            return F.struct(x["doc_id"].alias("doc_id"), x["n_a"].alias("n_a"), x["n_b"].alias("n_b"), text.alias("groups"), own.alias("links"))
 
         return F.transform("docs", of_doc)
 
     def of_pieces(shapes: Column) -> Column:
         return F.transform("pieces", lambda p: bound(shapes[p["shape"]], lambda s: filled(p, s)))
 
-    each = tokenised(docs, path_a, path_b).select(F.inline(bound(bound(F.transform("shapes", aligned), of_pieces), of_docs)))
-    return each.withColumn("row", F.monotonically_increasing_id())
+    whole = lambda pieces: bound(pieces["groups"], lambda groups: bound(pieces["links"], lambda links: of_docs(groups, links)))
+    each = tokenised(docs, path_a, path_b).select(F.inline(bound(bound(F.transform("shapes", aligned), of_pieces), whole)))
+    n_groups = F.col("n_a") + F.col("n_b") - F.size("links")  # a group has one link less than tokens
+    return each.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", n_groups.alias("n_groups"), "groups", "links")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

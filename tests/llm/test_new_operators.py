@@ -237,6 +237,34 @@ def test_pieces_cut_alike_share_a_shape(docs):
             assert np.cumsum(own.a_bytes.size[x.a]).tolist() == list(ends[0]) and np.cumsum(own.b_bytes.size[x.b]).tolist() == list(ends[1])
 
 
+def test_pieces_of_the_last_texts_stay(docs, monkeypatch):
+    """A full table forgets what the last texts don't have, and only that; tokens and shapes stay those of their pieces."""
+    texts = [r.text for r in docs.collect()]
+    own, fresh, learnt, learn = align.Pair(A, B), align.Pair(A, B), [], align.Pair.learn
+    monkeypatch.setattr(align.Pair, "learn", lambda self, pieces: (learnt.append(len(pieces)), learn(self, pieces)))
+    own.cut(texts[::2])
+    own.cut(texts[1::2])
+    before = sum(learnt)
+    monkeypatch.setattr(align, "CACHED", len(own.number) - 1)
+    used, places, sizes = own.cut(texts[1::2])
+    assert before > 100 and sum(learnt) - before < 0.1 * before  # pieces of texts without tokens aren't kept
+    wanted, at, n = fresh.cut(texts[1::2])
+    assert sizes.tolist() == n.tolist() and max(used) < len(own.number) == len(own.shape)
+
+    def rows(x, used, places):
+        every = list(x.number)
+        names = [every[i] for i in used]
+        kinds = x.shape[used]
+        lists = [np.split(y.take(k).data, np.cumsum(y.take(k).sizes)[:-1]) for y, k in ((x.ids[0], used), (x.ids[1], used), (x.lengths[0], kinds), (x.lengths[1], kinds))]
+        return [(p, *(z.tolist() for z in parts)) for p, *parts in zip(names, *lists, strict=True)], [names[k] for k in places]
+
+    (got, order), (want, expected) = rows(own, used, places), rows(fresh, wanted, at)
+    assert sorted(got) == sorted(want) and order == expected
+    monkeypatch.setattr(align, "CACHED", 0)
+    own.cut(["one two"])
+    assert len(own.number) == 2  # more than fit aren't kept
+
+
 def test_their_queries_cover_whole_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op11_token_files", "op12_runs", "op13_align"):
