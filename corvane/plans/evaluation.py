@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query, table
@@ -10,7 +10,8 @@ from corvane.functions import text as T
 from corvane.operators import evaluation as E
 from corvane.operators import fusion as U
 from corvane.plans.fixtures import NOTES, notes
-from corvane.plans.ranking import CHANNELS, FUSED, channel, fused, fused_sql, norm, pool, triple
+from corvane.plans.ranking import CHANNELS, FUSED, channel, channels_at_once, fused, fused_sql, norm, pool, triple
+from corvane.store import bounded_broadcast, stored
 
 RUN = f"{FUSED}, gold AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS item_id FROM lineitem WHERE l_linenumber <= 2)"
 JUDGED = f"""{RUN}, h AS (SELECT query_id, item_id, rank FROM gold LEFT JOIN fused USING (query_id, item_id)),
@@ -325,14 +326,27 @@ for _c in ("dense", "sparse", "grep"):
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LTR-1: features of a pool's items, all from windows of one exchange; items keep the fused rank."""
     own = fused(spark, sf_dir).join(channel(spark, sf_dir, "grep").withColumnRenamed("score", "grep"), ["query_id", "item_id"], "left")
-    own = own.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name"), "item_id")
+    return _featured(own.join(_names(spark, sf_dir), "item_id"))
+
+
+def graded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features() with the labels of ltr_4, in one shuffle of the lines if the items' names can be broadcast."""
+    own = U.fused(channels_at_once(spark, sf_dir, label=F.max(_grade())), 0.15)
+    return _featured(own.join(bounded_broadcast(stored(_names(spark, sf_dir), "names"), 64), "item_id"), "label")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.log1p(F.length("p_name")).alias("log_chars"), T.is_code(F.col("p_name")).cast("double").alias("code"))
+
+
+def _featured(own: DataFrame, *also: str) -> DataFrame:
     out = {f"{c}_norm": U.min_max(c) for c in ("dense", "sparse", "grep")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dense", "sparse", "grep")}
     out |= {"fused": F.col("score"), "gap": F.max("score").over(U.per_query()) - F.col("score"), "base_rr": 1.0 / F.col("rank")}
     out["channels"] = sum((F.col(c).isNotNull().cast("double") for c in ("dense", "sparse", "grep")), F.lit(0.0))
-    out |= {"log_chars": F.log1p(F.length("p_name")), "code": T.is_code(F.col("p_name")).cast("double")}
+    out |= {c: F.col(c) for c in ("log_chars", "code")}
     for c in ("dense", "sparse", "grep"):
         out[f"{c}_rr"] = F.when(F.col(c).isNull(), 0.0).otherwise(1.0 / F.row_number().over(U.per_query().orderBy(F.desc_nulls_last(c), "item_id")))
-    return own.select("query_id", "item_id", "rank", *(v.alias(k) for k, v in out.items()))
+    return own.select("query_id", "item_id", "rank", *also, *(v.alias(k) for k, v in out.items()))
 
 
 @query("ltr_1", f"{_LTR} SELECT query_id, item_id, rank, {', '.join(f'{v} AS {k}' for k, v in _FEATURES.items())} FROM t WINDOW w AS (PARTITION BY query_id)")
@@ -371,11 +385,14 @@ def rr_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRADE = "CASE WHEN l_linenumber = 1 THEN 2 WHEN l_linenumber <= 3 THEN 1 ELSE 0 END"
 
 
+def _grade() -> Column:
+    return F.when(F.col("l_linenumber") == 1, 2).when(F.col("l_linenumber") <= 3, 1).otherwise(0)
+
+
 @query("ltr_4", f"SELECT l_orderkey AS query_id, l_partkey AS item_id, max({_GRADE})::INT AS label FROM lineitem GROUP BY ALL")
 def ltr_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0, 1 (of a gold document) or 2 (holds the answer)."""
-    grade = F.when(F.col("l_linenumber") == 1, 2).when(F.col("l_linenumber") <= 3, 1).otherwise(0)
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id")).agg(F.max(grade).alias("label"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id")).agg(F.max(_grade()).alias("label"))
 
 
 @query("ltr_5", "SELECT o_orderkey, CASE WHEN ('0x' || substring(sha256(o_orderkey::VARCHAR || ':13'), 1, 7))::BIGINT % 1000 < 200 THEN 'valid' ELSE 'train' END AS side FROM orders")

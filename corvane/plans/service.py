@@ -13,7 +13,7 @@ from corvane.operators import chunking as C
 from corvane.operators import ranker as R
 from corvane.operators import upkeep as K
 from corvane.operators.structured import typed_blocks
-from corvane.plans.evaluation import features, ltr_4
+from corvane.plans.evaluation import graded_features
 from corvane.plans.fixtures import NOTES, notes
 from corvane.plans.ranking import FUSED, fused
 from corvane.plans.sparse import CHUNKS, chunks
@@ -202,8 +202,7 @@ LEARNT = ["dense_norm", "sparse_norm", "grep_norm", "dense", "sparse", "grep", "
 @query("ltr_6")
 def ltr_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LambdaRank on four fifths of the queries; each item of the others with its label, the model's score and the place that it gives. The tests compare nDCG with the base order."""
-    own = features(spark, sf_dir).join(ltr_4(spark, sf_dir), ["query_id", "item_id"]).select("query_id", "item_id", "rank", "label", F.array(*LEARNT).alias("x"))
-    own = stored(own, "features")
+    own = stored(graded_features(spark, sf_dir).select("query_id", "item_id", "rank", "label", F.array(*LEARNT).alias("x")), "features")
     held = F.pmod(F.xxhash64("query_id"), F.lit(5)) == 0
     model = R.fit(own.filter(~held), len(LEARNT), trees=8)
     scored = own.filter(held).select("query_id", "item_id", "rank", "label", R.score(model, F.col("x")).alias("score"))

@@ -93,3 +93,61 @@ def test_lists_of_many_lengths_get_the_derivatives_of_each_alone(monkeypatch):
     got = {tuple(x["bins"]): (x["g"], x["h"]) for b in R.gradients(iter([batch.slice(0, 15), batch.slice(15)])) for x in b.to_pylist()}
     want = {tuple(x["bins"]): (x["g"], x["h"]) for own in lists for x in R.lambdas(own)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and want
+
+
+def test_lists_are_stored_once_for_all_trees_and_give_each_node_its_sums(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(R, "stored", lambda df, tag, keep=R.stored: tables.append(keep(df, tag)) or tables[-1])
+    monkeypatch.setattr(R, "BLOCK", 50)
+    rows = corpus(30, 5)
+    rows += [(99, k, 0, [0.1, 0.2, 0.3]) for k in range(70)] + [(100, k, k % 3, [k / 70, None, math.nan]) for k in range(70)]
+    own = spark.createDataFrame(rows, SHAPE)
+    monkeypatch.setattr(R, "drop", lambda df: None)
+    edges = R.bin_edges(own, 3, 300)
+    assert len(R.fit(own, 3, trees=3, depth=2, bins=300)) == 3 and len(tables) == 1
+    assert 1 < tables[0].count()
+    split = (0, 149)
+    got = {(r.node, r.feature, r.bin): (r.g, r.h) for r in R.histogram(tables[0], [({0: split}, {1: 0.25, 2: -0.5})], {0: split}, [2], 3, 300).collect()}
+    lists = {}
+    place = lambda v, e: 0 if v is None else len(e) if math.isnan(v) else sum(x < v for x in e)
+    for q, i, label, x in rows:
+        bins = [place(v, e) for v, e in zip(x, edges, strict=True)]
+        lists.setdefault(q, []).append({"item_id": i, "label": label, "score": -0.5 if bins[0] > 149 else 0.25, "bins": bins})
+    want = {}
+    for x in (x for each in lists.values() for x in R.lambdas(each) if x["bins"][0] > 149):
+        for k, b in enumerate(x["bins"]):
+            old = want.get((2, k, b), (0, 0))
+            want[2, k, b] = (old[0] + x["g"], old[1] + x["h"])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want) and want
+
+
+def test_a_long_list_takes_no_square_of_memory():
+    import tracemalloc
+
+    n = 2000
+    own = pa_lists([[{"item_id": k, "label": float(k % 3), "score": k % 7 / 7, "bins": [k]} for k in range(n)]])
+    tracemalloc.start()
+    assert sum(x.num_rows for x in R.gradients(iter([own]))) == n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n / 4
+
+
+def pa_lists(lists):
+    import pyarrow as pa
+
+    item = pa.struct([("item_id", pa.int64()), ("label", pa.float64()), ("score", pa.float64()), ("bins", pa.list_(pa.int32()))])
+    return pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(item))], ["query_id", "list"])
+
+
+def test_features_in_one_shuffle_equal_those_of_joined_channels(spark, tmp_path):
+    from corvane.plans.evaluation import features, graded_features, ltr_4
+
+    lines = [(1, 10, 1, 5.0, 7.0, 0.02, "R"), (1, 10, 2, 20.0, 9.0, 0.01, "N"), (1, 11, 3, 12.0, None, 0.05, "R"), (1, 12, 4, 3.0, None, 0.03, "A"), (1, 13, 5, 2.0, 1.0, 0.04, "R"), (1, 14, 6, None, 4.0, None, None)]
+    lines += [(2, 10, 1, 30.0, 8.0, 0.0, "A"), (2, 99, 2, 30.0, 8.0, 0.0, "A"), (None, 10, 1, 30.0, 8.0, 0.0, "A"), (3, None, 1, 30.0, 8.0, 0.0, "A"), (4, 11, 3, 11.0, 8.0, 0.0, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"{'`' * 20 if k == 12 else ''}part {k}") for k in range(10, 15)] + [(11, "another")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    at = str(tmp_path)
+    want = features(spark, at).join(ltr_4(spark, at), ["query_id", "item_id"])
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(graded_features(spark, at)) == rows(want) and want.count() == 7
